@@ -20,7 +20,7 @@ _REASONS_SQL = f"""concat(CASE WHEN price <= 1.0 THEN 'price_at_floor ' ELSE ''
 
 
 @query("fraud_rules", f"""
-    SELECT p_partkey, trim({_REASONS_SQL}) AS reasons, CASE WHEN {_REASONS_SQL} = '' THEN 0.05 ELSE 0.9 END AS score FROM {{listings}}""")
+    SELECT p_partkey, trim({_REASONS_SQL}) AS reasons, CAST(CASE WHEN {_REASONS_SQL} = '' THEN 0.05 ELSE 0.9 END AS DOUBLE) AS score FROM {{listings}}""")
 def fraud_rules(t: Tables) -> DataFrame:
     ruled = s.fraud_rules(t.listings, s.medians_table(t.spark, _MEDIANS), _KEYWORDS)
     return ruled.select("p_partkey", F.array_join("reasons", " ").alias("reasons"), "score")

@@ -1,0 +1,122 @@
+"""Streaming jobs run over the whole event table and read back; their batch twins check them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from catalogue.base import VIEWS, Tables, query, r6, sql_bucket, sql_stamp, stamp
+from catalogue.drift import SLIDE, WINDOW, WINDOW_COLUMNS, WINDOW_SQL, present_windows, window_sides
+from modelkeel.operators import drift as d
+from modelkeel.operators.rates import FALLBACK_CRITICAL
+from modelkeel.session import fresh_path
+from modelkeel.sources.records import read_log, record_schema
+from modelkeel.sources.sinks import fan_out, json_sink, parquet_sink
+from modelkeel.streaming import common, log, state, windows
+
+
+def call_stream(t: Tables) -> DataFrame:
+    """The call view over a stream of the event files."""
+    events = common.file_stream(t.spark, t.path("events"), t.events.schema)
+    return events.selectExpr(*VIEWS["calls"][1])
+
+
+@query("stream_log_append", """
+    SELECT use_case, model, strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, round(sum(value), 4) AS total
+    FROM {calls} GROUP BY 1, 2, 3""")
+def stream_log_append(t: Tables) -> DataFrame:
+    path = fresh_path(t.spark, "stream-log")
+    records = call_stream(t).select(
+        F.col("ts").cast("timestamp").alias("ts"), "use_case", "model", "model_version", "value", "prediction", "source"
+    )
+    common.drain(log.log_writer(records, path), f"{path}-checkpoint")
+    return read_log(t.spark, path, record_schema({"value": "double"})).groupBy("use_case", "model", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")
+    )
+
+
+@query("stream_emit_fanout", """
+    SELECT sink, model, count(*) AS n FROM {calls} CROSS JOIN (VALUES ('lines'), ('table')) AS s(sink) GROUP BY 1, 2""")
+def stream_emit_fanout(t: Tables) -> DataFrame:
+    """Every micro-batch to two sinks."""
+    root = fresh_path(t.spark, "stream-fanout")
+    sinks = {"lines": json_sink(f"{root}/lines"), "table": parquet_sink(f"{root}/table")}
+    common.drain_batches(call_stream(t).select("event_id", "model"), fan_out(sinks, f"{root}/outcome"), "stream-fanout")
+    lines = t.spark.read.schema("event_id bigint, model string").json(f"{root}/lines").select(F.lit("lines").alias("sink"), "model")
+    table = t.spark.read.parquet(f"{root}/table").select(F.lit("table").alias("sink"), "model")
+    return lines.unionByName(table).groupBy("sink", "model").agg(F.count(F.lit(1)).alias("n"))
+
+
+# a window is closed once the watermark (newest event less ten minutes, in milliseconds) passes its end
+_WATERMARK = "(SELECT max(epoch_us(ts)) // 1000 - 600000 FROM events)"
+_GRID = f"""g AS (SELECT epoch_us({sql_bucket("ts", 3600)}) // 1000000 AS t, use_case, count(*) AS calls, avg((source = 'fallback')::INT) AS ratio
+             FROM {{calls}} GROUP BY 1, 2 HAVING (t + 3600) * 1000 <= {_WATERMARK})"""
+
+
+def _ratios(t: Tables) -> DataFrame:
+    calls = common.with_event_time(call_stream(t))
+    return windows.ratio_stream(calls, F.col("source") == "fallback", ["use_case"], "1 hour")
+
+
+@query("stream_fallback_ratio", f"""
+    WITH {_GRID} SELECT {sql_stamp("make_timestamp(t * 1000000)")} AS window_start, use_case, calls, round(ratio, 6) AS ratio FROM g""")
+def stream_fallback_ratio(t: Tables) -> DataFrame:
+    """Closed hourly windows in append mode."""
+    ratios = common.drain_to_table(_ratios(t), "stream-ratio")
+    return ratios.select(stamp("window_start").alias("window_start"), "use_case", "calls", r6("ratio").alias("ratio"))
+
+
+@query("stream_drift_windows", f"""
+    SELECT * FROM ({WINDOW_SQL}) WHERE epoch_us(CAST(window_end AS TIMESTAMP)) // 1000 <= {_WATERMARK}""")
+def stream_drift_windows(t: Tables) -> DataFrame:
+    """Sliding windows over the stream of live calls against the frozen reference."""
+    reference, _ = window_sides(t)
+    edges, shares = d.reference_bins(reference, WINDOW_COLUMNS, ["model"])
+    numeric = d.numeric_columns(reference, WINDOW_COLUMNS)
+    live = common.with_event_time(call_stream(t).filter("ts >= TIMESTAMP_NTZ '2024-01-11'"))
+    panes = windows.pane_stream(live, edges, WINDOW_COLUMNS, ["model"], numeric, SLIDE, ["model_version"])
+    counts = windows.window_stream(panes, ["model", "model_version"], WINDOW, SLIDE)
+    path = fresh_path(t.spark, "stream-drift")
+    process = windows.psi_batches(edges, shares, ["model", "model_version"], ["model"], path)
+    common.drain_batches(counts, process, "stream-drift")
+    return present_windows(t.spark.read.parquet(path))
+
+
+@query("stream_alert_hold", f"""
+    WITH {_GRID},
+    n AS (SELECT *, t - 3600 * row_number() OVER (PARTITION BY use_case ORDER BY t) AS span FROM g WHERE ratio > 0.2),
+    spans AS (SELECT use_case, min(t) AS s, max(t) AS e FROM n GROUP BY use_case, span HAVING max(t) - min(t) >= 7200)
+    SELECT use_case AS "key", 'firing' AS event, s AS since_s, s + 7200 AS at_s FROM spans
+    UNION ALL SELECT spans.use_case, 'resolved', s, min(t) FROM spans JOIN g ON g.use_case = spans.use_case AND g.t > e GROUP BY 1, 2, 3""")
+def stream_alert_hold(t: Tables) -> DataFrame:
+    """Recorded ratios as one stream, the alert on their table as a second."""
+    path = fresh_path(t.spark, "stream-ratio")
+    ratios = common.drain_to_table(_ratios(t), "stream-ratio", path)
+    grid = common.file_stream(t.spark, path, ratios.schema).select(
+        F.col("use_case").alias("key"), F.unix_timestamp("window_start").alias("t"),
+        (F.col("ratio") > FALLBACK_CRITICAL).alias("active"),
+    )
+    return common.drain_to_table(state.hold_stream(grid, 3600, 7200), "stream-hold")
+
+
+@query("stream_breaker_timeline")
+def stream_breaker_timeline(t: Tables) -> DataFrame:
+    """Breaker transitions per pod and model."""
+    calls = call_stream(t).select(
+        F.concat_ws("/", "pod", "model").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+        F.col("event_id").alias("id"), (F.col("outcome") != "ok").alias("failed"),
+    )
+    return common.drain_to_table(state.breaker_stream(calls), "stream-breaker")
+
+
+@query("stream_monitor_staleness", f"""
+    WITH s AS (SELECT use_case || '/' || model AS "key", epoch_us(ts) // 1000 AS ms FROM {{calls}} WHERE prediction = 'purchase'),
+    l AS (SELECT "key", ms, lead(ms) OVER (PARTITION BY "key" ORDER BY ms) AS following FROM s),
+    w AS (SELECT max(epoch_us(ts)) // 1000 - 600000 AS mark FROM {{calls}} WHERE prediction = 'purchase')
+    SELECT "key", ms AS last_ms FROM l, w
+    WHERE following - ms > 21600000 OR (following IS NULL AND ms + 21600000 + 1 <= mark)""")
+def stream_monitor_staleness(t: Tables) -> DataFrame:
+    """Stretches of more than six hours without a purchase sample per model."""
+    samples = common.with_event_time(call_stream(t).filter(F.col("prediction") == "purchase"))
+    keyed = samples.select(F.concat_ws("/", "use_case", "model").alias("key"), "ts", F.unix_millis("ts").alias("ms"))
+    return common.drain_to_table(state.silence_stream(keyed, 21600), "stream-silence")
