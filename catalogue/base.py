@@ -66,7 +66,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         "CASE event_type WHEN 'error' THEN '500' WHEN 'signup' THEN '404' ELSE '200' END AS status",
         "CASE WHEN user_id % 5 = 0 THEN '/healthz' ELSE '/v1/analyze' END AS handler",
         "CASE WHEN user_id % 4 = 0 THEN 'api-7c9f-x1' ELSE 'api-5d2b-x2' END AS pod",
-        "event_type AS prediction",
+        "event_type AS prediction", "CASE event_type WHEN 'purchase' THEN value END AS paid",
     )),
     # a counter per series that restarts now and then
     "counters": ("events", (

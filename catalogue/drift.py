@@ -67,11 +67,11 @@ def psi_categorical(t: Tables) -> DataFrame:
 
 _REF_END = "2024-01-11"
 _LIVE_MINUTES = 18 * 24 * 60
-_NUMERIC, _CATEGORICAL = ("value", "user_id", "k"), ("prediction",)
+_NUMERIC, _CATEGORICAL = ("value", "user_id", "k", "paid"), ("prediction",)
 _COLUMNS = [*_NUMERIC, *_CATEGORICAL]
 
 _SIDES = f"""
-    SELECT use_case, model, value, user_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, prediction, ts < TIMESTAMP '{_REF_END}' AS is_ref
+    SELECT use_case, model, value, user_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, paid, prediction, ts < TIMESTAMP '{_REF_END}' AS is_ref
     FROM {{calls}} c
     WHERE ts < TIMESTAMP '{_REF_END}'
        OR (ts >= (SELECT max(ts) FROM events) - INTERVAL {_LIVE_MINUTES} MINUTE

@@ -115,9 +115,10 @@ def _bin_plan(both: DataFrame, by: Sequence[str], columns: Sequence[str], numeri
 
 
 def equal_width_bin(value: Column, lo: Column, width: Column, k: Column) -> Column:
-    """Bin number 0…k-1; values outside the edges fall into the outer bins."""
+    """Bin number 0…k-1; values outside the edges fall into the outer bins, null has none."""
     raw = F.floor((value - lo) / width)
-    return F.greatest(F.least(raw, k.cast("long") - 1), F.lit(0).cast("long"))
+    clamped = F.greatest(F.least(raw, k.cast("long") - 1), F.lit(0).cast("long"))
+    return F.when(value.isNotNull(), clamped)  # least and greatest would skip the null
 
 
 def psi_term(n_ref: Column, rows_ref: Column, n_live: Column, rows_live: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="modelkeel-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return _local_fallback()
+
+
+@cache
+def _local_fallback() -> str:
+    return tempfile.mkdtemp(prefix="modelkeel-")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
