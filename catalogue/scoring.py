@@ -117,7 +117,7 @@ def ngrams(t: Tables) -> DataFrame:
 
 @query("doc_frequency", f"WITH {_TERMS} SELECT term, df FROM df")
 def doc_frequency(t: Tables) -> DataFrame:
-    return f.document_frequency(f.term_counts(t.documents, "doc_id", "text"))
+    return f.document_frequency(t.documents, "text")
 
 
 @query("tfidf_terms", f"""

@@ -34,7 +34,7 @@ def axis_number(df: DataFrame, column: str) -> Column:
 
 def _borders(axis: DataFrame, chunks: int) -> list[float]:
     probabilities = [i / chunks for i in range(1, chunks)]
-    return axis.approxQuantile("_axis", probabilities, 1.0 / (4 * chunks))
+    return axis.approxQuantile("_axis", probabilities, 1.0 / (2 * chunks))
 
 
 def _bucket(df: DataFrame, axis: Column, borders: Sequence[float], name: str) -> DataFrame:

@@ -59,10 +59,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work all cores when the input has fewer splits than cores.
+
+    A table of any size has more splits than that and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that the side has at most ``max_rows`` rows.
+    """Broadcast a side only when it really has at most ``max_rows`` rows.
 
-    The count stops at ``max_rows + 1``. A larger side is returned unhinted, so
-    Spark joins it with a shuffle and AQE splits the skewed partitions.
+    The side is computed once, up to ``max_rows + 1`` rows. If it ends before that, the rows
+    themselves become the broadcast, so nothing is computed again. A larger side is returned
+    as it is: Spark joins it with a shuffle and AQE splits the skewed partitions.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))

@@ -49,11 +49,12 @@ LOG_PARTITIONS = ("use_case", "model", "date")
 def append_log(records: DataFrame, path: str, *, rows_per_file: int = 2_000_000) -> None:
     """Append records as JSON lines below ``use_case=/model=/date=`` folders.
 
-    No shuffle: a model that makes a third of the traffic is written by every task
-    that holds some of it. Rows per file are bounded by the writer itself.
+    The rows are rebalanced by folder first: AQE merges the small folders into one task and
+    splits a folder that holds a large share of the rows, so there are neither many tiny
+    files nor one long task.
     """
     (
-        records.write.mode("append")
+        records.hint("rebalance", *LOG_PARTITIONS).write.mode("append")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*LOG_PARTITIONS)
         .json(path)

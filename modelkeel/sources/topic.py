@@ -54,6 +54,12 @@ def decode_window(
     return decoded if model is None else decoded.filter(F.col("model") == model)
 
 
+def publish(records: DataFrame, bootstrap: str, topic: str = DEFAULT_TOPIC) -> None:
+    """Write records to a topic. Needs the Kafka connector on the class path."""
+    rows = to_topic_rows(records, topic)
+    rows.write.format("kafka").option("kafka.bootstrap.servers", bootstrap).save()
+
+
 def to_topic_rows(records: DataFrame, topic: str = DEFAULT_TOPIC) -> DataFrame:
     """Key by model, value is the whole record as JSON."""
     return records.select(
