@@ -20,6 +20,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
@@ -28,7 +29,10 @@ class Tables:
         return self.read(name)
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
+        """The table; its schema is looked up once per query."""
+        if table not in self._read:
+            self._read[table] = self.spark.read.parquet(self.path(table))
+        return self._read[table]
 
     def path(self, table: str) -> str:
         return f"{self.folder}/{table}.parquet"

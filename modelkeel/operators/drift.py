@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from modelkeel.functions.vectors import category, coerce_number
 from modelkeel.operators.quality import shared_columns
 from modelkeel.schema import columns as columns_of
-from modelkeel.session import broadcast_if_small
+from modelkeel.session import broadcast_if_small, small_table
 
 #: Floor of a bin share, distinct values up to which a number is binned by
 #: value, policy thresholds (strict), guard and cadence of the monitor.
@@ -77,7 +77,7 @@ def _few_valued(both: DataFrame, by: Sequence[str], numeric: Sequence[str], sket
     if settled and by:  # leave out the key/column pairs whose sketch is clearly large
         large = {(*[r[b] for b in by], c) for r in settled for c in unsure if r[f"nd:{c}"] > 3 * MAX_VALUE_BINS}
         schema = T.StructType([*[ref.schema[b] for b in by], T.StructField("c", T.StringType())])
-        skip = F.broadcast(ref.sparkSession.createDataFrame(sorted(large, key=str), schema))
+        skip = F.broadcast(small_table(ref.sparkSession, sorted(large, key=str), schema))
         long = ref.select(*by, F.inline(F.array(*pairs))).join(skip, [*by, "c"], "left_anti")
     else:
         long = ref.select(*by, F.inline(F.array(*pairs)))
@@ -111,7 +111,7 @@ def _bin_plan(both: DataFrame, by: Sequence[str], columns: Sequence[str], numeri
         [*[both.schema[b] for b in by], *columns_of(
             n_ref="long", n_live="long", column="string", lo="double", width="double", k="integer").fields]
     )
-    return both.sparkSession.createDataFrame(rows, schema)
+    return small_table(both.sparkSession, rows, schema)
 
 
 def equal_width_bin(value: Column, lo: Column, width: Column, k: Column) -> Column:
@@ -121,6 +121,13 @@ def equal_width_bin(value: Column, lo: Column, width: Column, k: Column) -> Colu
     return F.when(value.isNotNull(), clamped)  # least and greatest would skip the null
 
 
+def _bin_text() -> Column:
+    """Bin of a cell ``num`` or ``text`` under the plan ``lo, width, k``; only bins become text."""
+    by_value = F.coalesce("text", F.col("num").cast("string"))
+    number = equal_width_bin(F.col("num"), F.col("lo"), F.col("width"), F.col("k"))
+    return F.when(F.col("k").isNull(), by_value).otherwise(number.cast("string"))
+
+
 def psi_term(n_ref: Column, rows_ref: Column, n_live: Column, rows_live: Column) -> Column:
     p = F.greatest(n_ref / rows_ref, F.lit(SHARE_FLOOR))
     q = F.greatest(n_live / rows_live, F.lit(SHARE_FLOOR))
@@ -149,12 +156,11 @@ def psi_by_column(
         F.struct(
             F.lit(c).alias("column"),
             (F.col(c) if c in numeric else F.lit(None).cast("double")).alias("num"),
-            (F.col(c).cast("string") if c in numeric else F.col(c)).alias("text"),
+            (F.lit(None).cast("string") if c in numeric else F.col(c)).alias("text"),
         ) for c in columns
     ])
     long = both.select(*keys, "side", F.inline(cells)).join(F.broadcast(plan), [*keys, "column"])
-    number = equal_width_bin(F.col("num"), F.col("lo"), F.col("width"), F.col("k")).cast("string")
-    binned = long.withColumn("bin", F.when(F.col("k").isNull(), F.col("text")).otherwise(number))
+    binned = long.withColumn("bin", _bin_text())
     counts = binned.groupBy(*keys, "column", "n_ref", "n_live", "bin").agg(
         F.sum((F.col("side") == REFERENCE).cast("long")).alias("c_ref"),
         F.sum((F.col("side") == LIVE).cast("long")).alias("c_live"),
@@ -256,12 +262,11 @@ def _to_bins(df, edges, columns, by, numeric, extra=()) -> DataFrame:
         F.struct(
             F.lit(c).alias("column"),
             (coerce_number(F.col(c)) if c in numeric else F.lit(None).cast("double")).alias("num"),
-            (coerce_number(F.col(c)).cast("string") if c in numeric else category(F.col(c))).alias("text"),
+            (F.lit(None).cast("string") if c in numeric else category(F.col(c))).alias("text"),
         ) for c in columns
     ])
     long = df.select(*extra, *by, F.inline(cells)).join(F.broadcast(edges), [*by, "column"])
-    number = equal_width_bin(F.col("num"), F.col("lo"), F.col("width"), F.col("k")).cast("string")
-    return long.withColumn("bin", F.when(F.col("k").isNull(), F.col("text")).otherwise(number))
+    return long.withColumn("bin", _bin_text())
 
 
 def live_panes(

@@ -6,8 +6,11 @@ import tempfile
 import uuid
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Runtime settings every job of the library relies on.
 RUNTIME_DEFAULTS = {
@@ -59,6 +62,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few driver rows as a local relation, which needs no job to be scanned or broadcast."""
+    table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work all cores when the input has fewer splits than cores.
 
