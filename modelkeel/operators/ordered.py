@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 #: Rows one task should hold, and the most chunks the summaries may have per key.
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 10_000
+#: Distance between chunk numbers, above the number of cuts a tied value can get.
+TIE_SPAN = 1_000_000
 
 
 def axis_number(df: DataFrame, column: str) -> Column:
@@ -49,7 +51,7 @@ def _bucket(df: DataFrame, axis: Column, borders: Sequence[float], name: str) ->
 def with_chunks(
     df: DataFrame, order: Sequence[str], *, rows_per_chunk: int = ROWS_PER_CHUNK, name: str = "chunk"
 ) -> DataFrame:
-    """Add a ``chunk`` struct that is monotone in the order columns.
+    """Add a ``chunk`` number that never falls as the order columns grow.
 
     ``order`` is one column, or a time-like column followed by a unique integer tie-breaker.
     A first-column value so frequent that it fills whole chunks gets a bucket of its own and
@@ -59,7 +61,7 @@ def with_chunks(
     rows = df.count()
     chunks = min(MAX_CHUNKS, -(-rows // rows_per_chunk))
     if chunks <= 1:
-        return df.withColumn(name, F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+        return df.withColumn(name, F.lit(0).cast("long"))
     axis = axis_number(df, first)
     borders = _borders(df.select(axis.alias("_axis")), chunks)
     repeated = sorted({x for x in borders if borders.count(x) > 1}) if len(set(borders)) < len(borders) else []
@@ -74,21 +76,31 @@ def with_chunks(
         second = F.when(hot, F.col("_b")).otherwise(F.lit(0))
     else:
         second = F.lit(0)
-    return cut.withColumn(name, F.struct(F.col("_a").alias("a"), second.alias("b"))).drop("_a", "_b")
+    return cut.withColumn(name, F.col("_a").cast("long") * TIE_SPAN + second).drop("_a", "_b")
 
 
 def _cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunking: dict) -> DataFrame:
-    """Chunked rows with ``_k``, the struct of key columns and chunk every step is partitioned by.
+    """Rows with their cell: chunk number ``_c`` and key struct ``_k``, which replaces the keys.
 
     A struct is never null and compares null fields as equal, so windows, summaries and the
-    join share one hash partitioning without null-safe rewrites.
+    join share one hash partitioning without null-safe rewrites. The number comes first
+    because it sorts fast.
     """
-    cut = with_chunks(df, order, **chunking)
-    return cut.withColumn("_k", F.struct(*keys, "chunk")).drop("chunk")
+    cut = with_chunks(df, order, name="_c", **chunking)
+    return cut.withColumn("_k", F.struct(*keys)).drop(*keys)
 
 
-def _across(keys: Sequence[str]):
-    return Window.partitionBy(*[F.col(f"_k.{k}") for k in keys]).orderBy(F.col("_k.chunk"))
+CELL = ["_c", "_k"]
+
+
+def _across():
+    return Window.partitionBy("_k").orderBy("_c")
+
+
+def _restore(df: DataFrame, like: DataFrame, keys: Sequence[str], name: str, value: Column) -> DataFrame:
+    """The columns of the input in their order, and the computed one."""
+    columns = [F.col(f"_k.{c}").alias(c) if c in keys else F.col(c) for c in like.columns]
+    return df.select(*columns, value.alias(name))
 
 
 def lag_chunked(
@@ -96,12 +108,12 @@ def lag_chunked(
 ) -> DataFrame:
     """``lag(value)`` per key in the given order, for keys of any size."""
     cells = _cells(df, keys, order, chunking)
-    local = Window.partitionBy("_k").orderBy(*order)
+    local = Window.partitionBy(*CELL).orderBy(*order)
     inside = cells.withColumn("_lag", F.lag(value).over(local)).withColumn("_rn", F.row_number().over(local))
-    last = cells.groupBy("_k").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    carry = last.select("_k", F.lag("_last").over(_across(keys)).alias("_carry"))
+    last = cells.groupBy(*CELL).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    carry = last.select(*CELL, F.lag("_last").over(_across()).alias("_carry"))
     previous = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag"))
-    return inside.join(carry, "_k").withColumn(name, previous).drop("_lag", "_rn", "_carry", "_k")
+    return _restore(inside.join(carry, CELL), df, keys, name, previous)
 
 
 def running_sum_chunked(
@@ -109,14 +121,12 @@ def running_sum_chunked(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key in the given order, for keys of any size."""
     cells = _cells(df.withColumn("_v", value), keys, order, chunking)
-    local = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cells.groupBy("_k").agg(F.sum("_v").alias("_t"))
-    carry = totals.select("_k", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
-    return (
-        cells.withColumn("_run", F.sum("_v").over(local)).join(carry, "_k")
-        .withColumn(name, F.col("_run") + F.col("_carry")).drop("_v", "_run", "_carry", "_k")
-    )
+    local = Window.partitionBy(*CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = _across().rowsBetween(Window.unboundedPreceding, -1)
+    totals = cells.groupBy(*CELL).agg(F.sum("_v").alias("_t"))
+    carry = totals.select(*CELL, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
+    running = cells.withColumn("_run", F.sum("_v").over(local)).join(carry, CELL)
+    return _restore(running, df, keys, name, F.col("_run") + F.col("_carry"))
 
 
 def streak_chunked(
@@ -129,20 +139,20 @@ def streak_chunked(
     the sum of the trailing runs of the chunks back to the latest one with a miss.
     """
     cells = _cells(df.withColumn("_h", F.coalesce(hit, F.lit(False)).cast("long")), keys, order, chunking)
-    local = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     counted = cells.withColumn("_hits", F.sum("_h").over(local))
     based = counted.withColumn("_base", F.max(F.when(F.col("_h") == 0, F.col("_hits"))).over(local))
-    tails = based.groupBy("_k").agg(F.max("_hits").alias("_total"), F.max("_base").alias("_b")).select(
-        "_k", F.col("_b").isNotNull().cast("long").alias("_miss"),
+    tails = based.groupBy(*CELL).agg(F.max("_hits").alias("_total"), F.max("_base").alias("_b")).select(
+        *CELL, F.col("_b").isNotNull().cast("long").alias("_miss"),
         (F.col("_total") - F.coalesce("_b", F.lit(0))).alias("_tail"),
     )
-    upto = _across(keys).rowsBetween(Window.unboundedPreceding, 0)
-    since_miss = Window.partitionBy(*[F.col(f"_k.{k}") for k in keys], "_g").orderBy(F.col("_k.chunk"))
+    upto = _across().rowsBetween(Window.unboundedPreceding, 0)
+    since_miss = Window.partitionBy("_k", "_g").orderBy("_c")
     ends = tails.withColumn("_g", F.sum("_miss").over(upto)).withColumn(
         "_end", F.sum("_tail").over(since_miss.rowsBetween(Window.unboundedPreceding, 0))
     )
-    carry = ends.select("_k", F.coalesce(F.lag("_end").over(_across(keys)), F.lit(0)).alias("_carry"))
+    carry = ends.select(*CELL, F.coalesce(F.lag("_end").over(_across()), F.lit(0)).alias("_carry"))
     streak = F.when(F.col("_base").isNotNull(), F.col("_hits") - F.col("_base")).otherwise(
         F.col("_hits") + F.col("_carry")
     )
-    return based.join(carry, "_k").withColumn(name, streak).drop("_h", "_hits", "_base", "_carry", "_k")
+    return _restore(based.join(carry, CELL), df, keys, name, streak)
