@@ -76,7 +76,10 @@ def with_chunks(
         second = F.when(hot, F.col("_b")).otherwise(F.lit(0))
     else:
         second = F.lit(0)
-    return cut.withColumn(name, F.col("_a").cast("long") * TIE_SPAN + second).drop("_a", "_b")
+    # never null, like the order of the rows: a missing order value comes first. It also keeps
+    # the joins on the number from repeating the cut in a null filter.
+    number = F.coalesce(F.col("_a").cast("long") * TIE_SPAN + second, F.lit(-1).cast("long"))
+    return cut.withColumn(name, number).drop("_a", "_b")
 
 
 def _cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunking: dict) -> DataFrame:

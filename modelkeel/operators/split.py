@@ -10,7 +10,7 @@ that holds most of the table costs nothing extra.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,14 +52,16 @@ def _should_stratify(df: DataFrame, target: str) -> bool:
     return stratify_decision(df, target).first()["stratify"]
 
 
-def _first_k_thresholds(hashed: DataFrame, quotas: DataFrame) -> DataFrame:
+def _first_k_thresholds(hashed: DataFrame, quota_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``s, threshold``: the hash of the last row of the first ``quota`` rows of each stratum.
 
-    ``hashed`` has ``s`` (a non-null struct naming the stratum) and ``h``; ``quotas`` has
-    ``s, quota`` with ``quota >= 1``. Only rows in the prefix where a quota ends are ranked.
+    ``hashed`` has ``s`` (a non-null struct naming the stratum) and ``h``; ``quota_of`` turns
+    the sizes ``s, rows`` into ``s, quota``. Sizes and prefixes come from the same counts, so
+    one scan finds the edge and a second ranks the few rows around it.
     """
     prefixed = hashed.select("s", "h", F.substring("h", 1, PREFIX).alias("p"))
     counts = prefixed.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"))
+    quotas = quota_of(counts.groupBy("s").agg(F.sum("n").alias("rows"))).filter("quota > 0").select("s", "quota")
     upto = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     cumulated = counts.withColumn("c", F.sum("n").over(upto)).join(quotas, "s")
     edge = cumulated.filter((F.col("c") >= F.col("quota")) & (F.col("c") - F.col("n") < F.col("quota")))
@@ -70,19 +72,16 @@ def _first_k_thresholds(hashed: DataFrame, quotas: DataFrame) -> DataFrame:
     return ranked.select("s", F.col("h").alias("threshold"))
 
 
-def stratum_quotas(df: DataFrame, strata: Sequence[str], ratio: float) -> DataFrame:
-    """``s, rows, quota`` per stratum: ``ceil(rows * ratio)`` in total, by largest remainder.
+def stratum_quotas(sizes: DataFrame, ratio: float) -> DataFrame:
+    """``s, rows, quota`` from ``s, rows``: ``ceil(rows * ratio)`` in total, by largest remainder.
 
     One row per stratum; a stratum is a class of the target, so this table is small.
     """
-    counts = df.groupBy(F.struct(*strata).alias("s") if strata else F.struct(F.lit(0).alias("a")).alias("s")).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
     everything = Window.partitionBy(F.lit(0))
     total = F.sum("rows").over(everything)
     wanted = F.ceil(F.round(total * ratio, 6))
     share = wanted * F.col("rows") / total
-    based = counts.withColumn("wanted", wanted).withColumn("base", F.floor(share).cast("long")).withColumn(
+    based = sizes.withColumn("wanted", wanted).withColumn("base", F.floor(share).cast("long")).withColumn(
         "rest", F.round(share - F.floor(share), 9)
     )
     order = F.row_number().over(everything.orderBy(F.desc("rest"), "s"))
@@ -99,8 +98,7 @@ def with_holdout(
     """
     s = F.struct(*strata) if strata else F.struct(F.lit(0).alias("a"))
     hashed = df.withColumn("h", order_hash(seed, *key)).withColumn("s", s)
-    quotas = stratum_quotas(df, strata, ratio).filter("quota > 0").select("s", "quota")
-    thresholds = _first_k_thresholds(hashed.select("s", "h"), quotas)
+    thresholds = _first_k_thresholds(hashed.select("s", "h"), lambda sizes: stratum_quotas(sizes, ratio))
     labelled = hashed.join(broadcast_if_small(thresholds), "s", "left")
     inside = F.coalesce(F.col("h") <= F.col("threshold"), F.lit(False))
     return labelled.withColumn("is_holdout", inside).drop("s", "h", "threshold")
@@ -118,10 +116,10 @@ def train_holdout(
 def frozen_sample(df: DataFrame, key: Sequence[str], rows: int = REFERENCE_ROWS, *, seed: int) -> DataFrame:
     """``min(rows, all)`` rows in hash order, without replacement, for any ``rows``."""
     hashed = df.withColumn("h", order_hash(seed, *key)).withColumn("s", F.struct(F.lit(0).alias("a")))
-    available = hashed.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    quotas = available.select("s", F.least(F.lit(rows), F.col("n")).alias("quota")).filter("quota > 0")
-    thresholds = _first_k_thresholds(hashed.select("s", "h"), quotas)
-    kept = hashed.join(F.broadcast(thresholds), "s").filter(F.col("h") <= F.col("threshold"))
+    thresholds = _first_k_thresholds(
+        hashed.select("s", "h"), lambda sizes: sizes.withColumn("quota", F.least(F.lit(rows), F.col("rows")))
+    )
+    kept = hashed.join(broadcast_if_small(thresholds), "s").filter(F.col("h") <= F.col("threshold"))
     return kept.drop("s", "h", "threshold")
 
 

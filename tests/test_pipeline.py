@@ -200,3 +200,17 @@ def test_saved_pipelines_load(spark, tmp_path):
     model.write().save(f"{tmp_path}/m")
     again = PipelineModel.load(f"{tmp_path}/m")
     assert [r["v"] for r in again.transform(df).collect()] == [r["v"] for r in model.transform(df).collect()]
+
+
+def test_scoring_a_stream_equals_scoring_a_table(spark, tmp_path):
+    from modelkeel.streaming.common import drain_to_table, file_stream
+
+    frame = Toy().ingest(spark, "colour", rows=120)
+    model = Toy().build_model("colour", 120).fit(frame)
+    frame.select("text", "size", "colour").repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, max_files=1)
+    labels = tr.class_labels(model)
+    wanted = ["text", "size", "prediction", "confidence", "model_version"]
+    got = drain_to_table(tr.score(model, stream, version="4", labels=labels).select(*wanted), "score")
+    want = tr.score(model, frame, version="4", labels=labels).select(*wanted)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
