@@ -65,10 +65,9 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: Seq
     """
     keys = list(by) or ["_all"]
     keyed = df if by else df.withColumn("_all", F.lit(0))
-    per_value = keyed.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    running = running_sum_chunked(per_value, keys, ["v"], F.col("n"), "upto")
+    raw = keyed.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    per_value = raw.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    running = running_sum_chunked(per_value, keys, ["v"], F.col("n"), "upto", measured=raw)
     entries = F.array(*[
         F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("total") - 1)).alias("at")) for q in quantiles
     ])

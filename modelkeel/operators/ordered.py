@@ -49,21 +49,26 @@ def _bucket(df: DataFrame, axis: Column, borders: Sequence[float], name: str) ->
 
 
 def with_chunks(
-    df: DataFrame, order: Sequence[str], *, rows_per_chunk: int = ROWS_PER_CHUNK, name: str = "chunk"
+    df: DataFrame, order: Sequence[str], *, rows_per_chunk: int = ROWS_PER_CHUNK, name: str = "chunk",
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Add a ``chunk`` number that never falls as the order columns grow.
 
     ``order`` is one column, or a time-like column followed by a unique integer tie-breaker.
     A first-column value so frequent that it fills whole chunks gets a bucket of its own and
     is cut further along the tie-breaker, so ties cannot pile up in one task either.
+
+    ``measured`` may name a cheaper frame to take sizes and cuts from, such as the raw rows
+    ``df`` was aggregated from: they hold the same order columns at least as often.
     """
     first, tie = order[0], order[1] if len(order) > 1 else None
-    rows = df.count()
+    sized = df if measured is None else measured
+    rows = sized.count()
     chunks = min(MAX_CHUNKS, -(-rows // rows_per_chunk))
     if chunks <= 1:
         return df.withColumn(name, F.lit(0).cast("long"))
     axis = axis_number(df, first)
-    borders = _borders(df.select(axis.alias("_axis")), chunks)
+    borders = _borders(sized.select(axis_number(sized, first).alias("_axis")), chunks)
     repeated = sorted({x for x in borders if borders.count(x) > 1}) if len(set(borders)) < len(borders) else []
     if repeated and tie:
         step = 1.0  # times and integer keys: the next value starts a new bucket
@@ -71,7 +76,8 @@ def with_chunks(
     cut = _bucket(df, axis, borders, "_a")
     if repeated and tie:
         hot = axis.isin(repeated)
-        ties = _borders(df.filter(hot).select(axis_number(df, tie).alias("_axis")), chunks)
+        tied = sized.filter(axis_number(sized, first).isin(repeated))
+        ties = _borders(tied.select(axis_number(sized, tie).alias("_axis")), chunks)
         cut = _bucket(cut, axis_number(df, tie), ties, "_b")
         second = F.when(hot, F.col("_b")).otherwise(F.lit(0))
     else:

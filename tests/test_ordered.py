@@ -39,6 +39,21 @@ def test_chunks_bound_ties(spark):
     assert sum(sizes) == 1000 and max(sizes) <= 250
 
 
+def test_quantiles_in_many_chunks(spark, monkeypatch):
+    import numpy as np
+
+    from modelkeel.operators import histograms, ordered
+
+    cut = ordered.running_sum_chunked
+    monkeypatch.setattr(histograms, "running_sum_chunked", lambda *a, **k: cut(*a, rows_per_chunk=5, **k))
+    rng = random.Random(4)
+    rows = [(rng.choice("aab"), float(rng.randint(0, 40))) for _ in range(200)]
+    got = exact_quantiles(spark.createDataFrame(rows, "k string, v double"), "v", ["k"], [0.1, 0.5, 0.99]).collect()
+    for r in got:
+        assert r["value"] == pytest.approx(float(np.quantile([v for k, v in rows if k == r["k"]], r["q"])))
+    assert len(got) == 6
+
+
 def test_exact_quantiles(spark):
     import numpy as np
 
