@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.base import Tables, query, r6, sql_stamp, stamp
-from modelkeel.functions.text import registered_name
-from modelkeel.session import fresh_path
+from modelkeel.functions.text import experiment_name, registered_name
 from modelkeel.operators.drift import psi_by_column
 from modelkeel.operators.rates import latest
 from modelkeel.operators.split import sample_records as sampled
+from modelkeel.session import fresh_path
 from modelkeel.sources.datasets import RESULTS, files_since, read_dataset, scalar_entries, write_dataset
 from modelkeel.sources.layout import uri_bucket, uri_key
 from modelkeel.sources.metric_text import drift_gauges, parse_samples
@@ -255,8 +255,6 @@ def fallback_totals(t: Tables) -> DataFrame:
 @query("registry_names", """
     SELECT DISTINCT use_case || '-' || model AS registered, use_case || '/' || model AS experiment FROM {calls}""")
 def registry_names(t: Tables) -> DataFrame:
-    from modelkeel.functions.text import experiment_name
-
     return t.calls.select(
         registered_name("use_case", "model").alias("registered"), experiment_name("use_case", "model").alias("experiment")
     ).distinct()

@@ -26,6 +26,8 @@ MAX_VALUE_BINS = 20
 WARN, RETRAIN = 0.2, 0.3
 MIN_ROWS = 200
 WINDOW_MINUTES, SLIDE_MINUTES = 30, 10
+#: Most models one report may have; their bin plan is a table on the driver.
+MAX_KEYS = 100_000
 PREDICTION = "prediction"
 
 REFERENCE, LIVE = "ref", "live"
@@ -92,7 +94,9 @@ def _bin_plan(both: DataFrame, by: Sequence[str], columns: Sequence[str], numeri
     Its size is (number of models) × (number of drift columns); both come from declared
     specifications, not from the data volume.
     """
-    sketch = _profile(both, by, numeric).collect()
+    sketch = _profile(both, by, numeric).limit(MAX_KEYS + 1).collect()
+    if len(sketch) > MAX_KEYS:
+        raise ValueError(f"more than {MAX_KEYS} models: group by declared models, not by data")
     few = _few_valued(both, by, numeric, sketch)
     rows = []
     for r in sketch:
