@@ -113,16 +113,20 @@ def validate(run: Run) -> dict:
 
 
 _ROW = "_row"
+#: The id of the writing job inside a part file's name.
+JOB_ID = "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
 
 
 def _with_row_key(run: Run, raw: DataFrame) -> tuple[DataFrame, list[str]]:
     """Rows of a landed data set are identified by file and position, unless columns do it.
 
-    Landed files never change, so the key is stable; equal rows still get different keys.
+    Landed files never change, so the key is stable; equal rows still get different keys. The
+    job id inside a file name is left out, so landing the same rows again gives the same keys.
     """
     if run.key:
         return raw, list(run.key)
-    position = F.concat_ws("#", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string"))
+    part = F.regexp_replace(F.col("_metadata.file_name"), JOB_ID, "")
+    position = F.concat_ws("#", part, F.col("_metadata.row_index").cast("string"))
     return raw.withColumn(_ROW, position), [_ROW]
 
 

@@ -143,6 +143,16 @@ def test_copies_do_not_bend_the_split(spark, tmp_path):
     assert (done["train_rows"], done["holdout_rows"]) == (225, 75)
 
 
+def test_landing_the_same_rows_again_gives_the_same_split(spark, tmp_path):
+    parts = []
+    for run_id in ("a", "b"):
+        run = p.Run(spark, Toy(), "colour", run_id, str(tmp_path))
+        p.ingest(run, rows=200)
+        p.preprocess(run, reference_rows=40)
+        parts.append([sorted(map(tuple, run.read(n).collect())) for n in ("train", "holdout", "reference")])
+    assert parts[0] == parts[1] and [len(x) for x in parts[0]] == [150, 50, 40]
+
+
 def listing_rows(spark, profile, seed):
     rng = random.Random(seed)
     words = {"electronics": "phone laptop charger", "books": "novel atlas story", "kids": "toy crib doll",
