@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from modelkeel.llm import mixing
+from modelkeel.llm import chat, mixing, warc
 
-QUERIES = {"op2_mix_sources": mixing.op2_mix_sources}
-ORACLES = {"op2_mix_sources": mixing.ORACLE}
+QUERIES = {
+    "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_warc": warc.op4_warc,
+    "op9_chat_format": chat.op9_chat_format,
+}
+ORACLES = {"op2_mix_sources": mixing.ORACLE, "op4_warc": warc.ORACLE}
