@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from modelkeel.llm import chat, mixing, warc
+from modelkeel.llm import chat, editembed, mixing, warc
 
 QUERIES = {
+    "op1_edit_fingerprint": editembed.op1_edit_fingerprint,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_warc": warc.op4_warc,
     "op9_chat_format": chat.op9_chat_format,
