@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from modelkeel.llm import chat, editembed, mixing, nbsvm, warc
+from modelkeel.llm import bottomk, chat, editembed, mixing, nbsvm, warc
 
 QUERIES = {
     "op1_edit_fingerprint": editembed.op1_edit_fingerprint,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_warc": warc.op4_warc,
     "op7_quality_nbsvm": nbsvm.op7_quality_nbsvm,
+    "op8_bottom_k": bottomk.op8_bottom_k,
     "op9_chat_format": chat.op9_chat_format,
 }
 ORACLES = {"op2_mix_sources": mixing.ORACLE, "op4_warc": warc.ORACLE}
