@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modelkeel.llm import bottomk, chat, editembed, mixing, nbsvm, warc
+from modelkeel.llm import bottomk, chat, decontam, editembed, mixing, nbsvm, warc
 
 QUERIES = {
     "op1_edit_fingerprint": editembed.op1_edit_fingerprint,
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_quality_nbsvm": nbsvm.op7_quality_nbsvm,
     "op8_bottom_k": bottomk.op8_bottom_k,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_decontaminate": decontam.op10_decontaminate,
 }
 ORACLES = {"op2_mix_sources": mixing.ORACLE, "op4_warc": warc.ORACLE}
