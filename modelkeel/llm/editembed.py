@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from modelkeel.llm.hashing import mix
 from modelkeel.session import materialise
 
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 4 << 20
 SAMPLES = 64
 PERIOD = 64
 BANDS, BAND_BYTES, BAND_BITS = 10, 6, 4
