@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from modelkeel.llm import bottomk, chat, decontam, editembed, linededup, mixing, nbsvm, warc
+from modelkeel.llm import bottomk, chat, decontam, editembed, linededup, logbilinear, mixing, nbsvm, warc
 
 QUERIES = {
     "op1_edit_fingerprint": editembed.op1_edit_fingerprint,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_warc": warc.op4_warc,
+    "op5_lm_score": logbilinear.op5_lm_score,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_quality_nbsvm": nbsvm.op7_quality_nbsvm,
     "op8_bottom_k": bottomk.op8_bottom_k,
