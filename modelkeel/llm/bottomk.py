@@ -119,26 +119,54 @@ def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs of nodes whose whole sets are alike enough."""
-    near = materialise(_beside(pairs, nodes, "sketch").mapInArrow(_estimate(percent / 100), "a long, b long"), "near-pairs")
-    ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(nodes.select("node", "key", "first_id").join(ends, "node"), "near-nodes")
+def _sets(docs: DataFrame, nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """``node, whole``: the whole sets of some nodes, taken once more from the texts."""
+    wanted = materialise(nodes.select("node", "key", "first_id").join(some, "node"), "near-nodes")
     ids = wanted.select(F.col("first_id").alias("of")).distinct()
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
     sets = texts.mapInArrow(_whole, "key binary, whole binary").join(wanted.select("node", "key"), "key")
-    sets = materialise(sets.groupBy("node").agg(F.first("whole").alias("whole")), "near-sets")
+    return materialise(sets.groupBy("node").agg(F.first("whole").alias("whole")), "near-sets")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """Those pairs of nodes whose whole sets are alike enough."""
+    near = materialise(_beside(pairs, nodes, "sketch").mapInArrow(_estimate(percent / 100), "a long, b long"), "near-pairs")
+    if sets is None:
+        sets = _sets(docs, nodes, near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct())
     return materialise(_beside(near, sets, "whole").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            values = np.frombuffer(batch.column("whole")[k].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), batch.column("node")[k].as_py(), np.int64))], ["value", "node"])
+
+
+def _prefixes(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``value, node, root, n, pos``: the first shingles of whole sets in order of rarity, where alike sets must meet.
+
+    A shingle that one set alone has meets nothing, but counts in the places of the others.
+    """
+    values = sets.mapInArrow(_spread, "value long, node long")
+    times = materialise(values.groupBy("value").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "shared-shingles")
+    shared = values.join(times, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("shared"))
+    n, rest = F.col("n"), F.col("n") - F.size("shared")
+    prefix = n - F.ceil(n * percent / F.lit(100)) + 1
+    ranked = shared.join(sizes, "node").where(rest < prefix)
+    places = ranked.select("node", "root", "n", rest.alias("rest"), F.posexplode(F.slice("shared", F.lit(1), (prefix - rest).cast("int"))).alias("k", "s"))
+    return places.select(F.col("s.value").alias("value"), "node", "root", "n", (F.col("rest") + F.col("k")).alias("pos"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
     Rows with equal sets are one node from the start. Of each node's sketch only the rarest values are looked up:
     two alike sets share so many sketch values (:func:`needed`) that they share one of these. A list's nodes are
     first compared with one of them, the one with the fewest values of its own; the nodes that this joins need no
-    comparison any more. What then still stands apart in a list is compared across its components. So large groups
-    of copies cost one comparison a copy and list, while no pair that could link two components is left out.
+    comparison any more. What then still stands apart in a list is compared across components, where the whole sets
+    meet in one of their rarest shingles at a place that leaves enough to share. So large groups of copies cost one
+    comparison a copy and list, while no pair that could link two components is left out.
 
     Null and word-less texts have no set and stand alone. Rows of one doc_id are rows of their own; if that id is
     the smallest, all of them are kept. A null doc_id is never the smallest, unless a component has nothing else.
@@ -168,14 +196,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed = lists.join(joined, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("value")
     open_lists = materialise(placed.join(materialise(split, "open"), "value"), "open-lists")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
+    sets = _sets(docs, nodes, open_lists.select("node").distinct())
+    roots_of = open_lists.select("node", "root").distinct().join(nodes.select("node", "n"), "node")
+    entries = materialise(_prefixes(sets, roots_of, percent), "prefixes")
+    x, y = entries.alias("x"), entries.alias("y")
     apart = (F.col("x.value") == F.col("y.value")) & (F.col("x.root") < F.col("y.root"))
-    across = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    common = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    enough = common * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    across = x.join(y, apart & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     across = materialise(across.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "across")
-    links = links.unionByName(_links(docs, nodes, across, percent))
-
-    roots = nodes.select("key", "node", "first_id").join(materialise(components(links), "components"), "node", "left")
-    roots = roots.withColumn("root", F.coalesce("root", "node"))
+    roots = nodes.select("key", "node", "first_id").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if across.count():
+        # links between components join their roots
+        more, of = _links(docs, nodes, across, percent, sets), joined.select(F.col("node").alias("n"), "root")
+        for side in ("a", "b"):
+            more = more.join(of, F.col(side) == F.col("n"), "left").withColumn(side, F.coalesce("root", side)).drop("n", "root")
+        again = materialise(components(more).select(F.col("node").alias("r"), F.col("root").alias("top")), "components")
+        roots = roots.join(again, F.col("root") == F.col("r"), "left").withColumn("root", F.coalesce("top", "root"))
     ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialise(roots.join(ids, "root").select("key", "component_id"), "named")
     found = rows.select("doc_id", "n", "key").join(named, "key", "left")

@@ -22,21 +22,22 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     return to_low.union(lowest.select(F.col("low").alias("a"), F.col("c").alias("b"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge (a, b) hangs a node b, which has no other edge, on a node a that hangs on none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("hangs")).union(edges.select(F.col("b").alias("node"), F.lit(1).alias("hangs")))
+    seen = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.min("hangs").alias("least"))
+    return seen.where("hangs > 1 OR (hangs = 1 AND least = 0)").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``edges`` (a, b): the smallest node it is linked to, however far.
 
-    The rounds end when every node hangs on its component's smallest node, so no two rounds differ. Each round
-    is written to the shared folder, so a lost executor costs at most its tasks. Loops and repeated edges are
-    fine; null ends are dropped; no edge gives no row.
+    The rounds end when every node hangs on its component's smallest node. Each round is written to the shared
+    folder, so a lost executor costs at most its tasks. Loops and repeated edges are fine; null ends are dropped;
+    no edge gives no row.
     """
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    size = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
-    before = None
-    while True:
+    while not _are_stars(edges):
         edges = materialise(_stars(edges, larger=True), "edges")
         edges = materialise(_stars(edges, larger=False), "edges")
-        now = tuple(edges.agg(size.alias("x")).first()["x"])
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
