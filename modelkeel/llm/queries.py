@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from modelkeel.llm import bottomk, chat, decontam, editembed, linededup, logbilinear, mixing, nbsvm, warc
+from modelkeel.llm import bottomk, chat, decontam, editembed, linededup, logbilinear, mixing, nbsvm, suffixdedup, warc
 
 QUERIES = {
     "op1_edit_fingerprint": editembed.op1_edit_fingerprint,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_suffix_dedup": suffixdedup.op3_suffix_dedup,
     "op4_warc": warc.op4_warc,
     "op5_lm_score": logbilinear.op5_lm_score,
     "op6_line_dedup": linededup.op6_line_dedup,
