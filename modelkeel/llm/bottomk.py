@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelkeel.llm.components import components
-from modelkeel.llm.hashing import shingle_hashes, slices, text_bytes, word_bounds, word_hashes
+from modelkeel.llm.hashing import WORD, shingle_hashes, slices, text_bytes, word_bounds, word_hashes
 from modelkeel.session import materialise
 
 SKETCH = 48
@@ -39,8 +39,8 @@ def _key(values: np.ndarray) -> bytes | None:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
 
 
-_ROWS = "uid long, doc_id long, n long, key binary, sketch array<long>"
-_ROWS_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+_ROWS = "uid long, doc_id long, th long, n long, key binary, sketch array<long>"
+_ROWS_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate([*sketches, np.empty(0, np.int64)])
         cuts = np.concatenate(([0], np.cumsum([len(s) for s in sketches]))).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.arange(uid, uid + batch.num_rows)), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
+            pa.array(np.arange(uid, uid + batch.num_rows)), batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
             pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], schema=_ROWS_ARROW)
         uid += batch.num_rows
 
@@ -158,8 +158,8 @@ def _prefixes(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return places.select(F.col("s.value").alias("value"), "node", "root", "n", (F.col("rest") + F.col("k")).alias("pos"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``doc_id, th, n, root, component_id`` of every row of ``docs``: the hash of its text, the size of its set, its component.
 
     Rows with equal sets are one node from the start. Of each node's sketch only the rarest values are looked up:
     two alike sets share so many sketch values (:func:`needed`) that they share one of these. A list's nodes are
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     the smallest, all of them are kept. A null doc_id is never the smallest, unless a component has nothing else.
     An empty table gives an empty result; other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     rows = materialise(docs.mapInArrow(_sketch, _ROWS), "sketches")
     nodes = materialise(rows.where("n > 0").groupBy("key").agg(
         F.min("uid").alias("node"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
@@ -214,10 +214,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         again = materialise(components(more).select(F.col("node").alias("r"), F.col("root").alias("top")), "components")
         roots = roots.join(again, F.col("root") == F.col("r"), "left").withColumn("root", F.coalesce("top", "root"))
     ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialise(roots.join(ids, "root").select("key", "component_id"), "named")
-    found = rows.select("doc_id", "n", "key").join(named, "key", "left")
+    named = materialise(roots.join(ids, "root").select("key", "root", "component_id"), "named")
+    found = rows.select("doc_id", "th", "n", "key").join(named, "key", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return found.select("doc_id", "th", "n", "root", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``; see :func:`groups`."""
+    component = F.col("component_id")
+    return groups(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), component, component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all their columns: of each component one, with the smallest doc_id, and all without a set.
+
+    Of rows of that doc_id the one with the smallest hash of its text stays, of rows equal in both any one.
+    """
+    found = materialise(groups(docs, percent), "groups")
+    first = found.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("f")).select("f.doc_id", "f.th")
+    keys = [F.xxhash64("doc_id", "th").alias("k1"), F.xxhash64("th", "doc_id").alias("k2")]
+    winners = materialise(first.select(*keys).distinct(), "winners").withColumnsRenamed({"k1": "w1", "k2": "w2"})
+    place = F.row_number().over(Window.partitionBy("_d.k1", "_d.k2").orderBy("_d.k1"))
+    row = docs.select(F.struct(F.xxhash64("doc_id", F.xxhash64("text")).alias("k1"), F.xxhash64(F.xxhash64("text"), "doc_id").alias("k2"),
+                               F.struct(*docs.columns).alias("row")).alias("_d"))
+    words = F.col("_d.row.text").rlike(WORD)
+    without = row.where(~F.coalesce(words, F.lit(False))).select("_d.row.*")
+    one = row.join(winners, (F.col("_d.k1") == F.col("w1")) & (F.col("_d.k2") == F.col("w2")), "left_semi")
+    one = one.withColumn("place", place).where("place = 1").select("_d.row.*")
+    return one.unionByName(without)
 
 
 def op8_bottom_k(spark, sf_dir: str) -> DataFrame:
