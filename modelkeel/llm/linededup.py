@@ -34,7 +34,7 @@ def _numbers(values: list[int]) -> Column:
 
 def slot_ranks(docs: DataFrame) -> list[int]:
     """Place of each slot in the order of how many words of all texts fall into it, moved to begin below zero."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
+    words = docs.select(F.explode(F.split(F.translate("text", UPPER, LOWER), SEPARATORS)).alias("w")).where("w <> ''")
     counts = words.groupBy((F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1))).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     known = {r["slot"]: r["n"] for r in counts.collect()}
     ranks = [0] * SLOTS
@@ -43,17 +43,26 @@ def slot_ranks(docs: DataFrame) -> list[int]:
     return ranks
 
 
-def _lines(docs: DataFrame, ranks: Column) -> DataFrame:
-    """Lines with words: where they stand, and their set (sorted word numbers, size, key and signature)."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """All lines: where they stand, their hash and their text."""
+    cut = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return cut.select(F.struct("doc_id", "th", "line").alias("at"), F.xxhash64("text").alias("lh"), "text")
+
+
+def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
+    """Lines with words, with their sets: sorted word numbers, size, key and signature, which together name the set."""
     def number(w: Column) -> Column:
         h = F.xxhash64(w)
         return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
-    cut = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    sets = cut.select(F.struct("doc_id", "th", "line").alias("at"), F.array_sort(F.array_distinct(F.transform(_words(F.col("words")), number))).alias("ids"))
-    one = F.lit(1).cast("long")
-    parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
-    return sets.where(F.size("ids") > 0).select("at", "ids", F.size("ids").alias("n"), F.xxhash64("ids").alias("key"), parity.alias("sig"))
+    sets = lines.select("at", "lh", F.array_sort(F.array_distinct(F.transform(_words(F.col("text")), number))).alias("ids"))
+    parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
+    return sets.where(F.size("ids") > 0).select("at", "lh", "ids", F.size("ids").alias("n"), F.xxhash64("ids").alias("key"), parity.alias("sig"))
+
+
+def _bit(number: Column) -> Column:
+    """A long with the bit of the number's last six bits."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _least_common(a: Column, b: Column) -> Column:
@@ -68,48 +77,47 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     doc_id, ``th`` and number, has an equal set or one of similarity 4/5 or more. A line without words never goes;
     a null doc_id comes first, a null text has no line, and rows equal in doc_id and text are one document.
 
-    Each distinct set is looked up once, whatever its number of lines. Only the join on a word sees lists of sets;
-    its pairs are filtered inside the join, and long lists can be split as both sides are plain exchanges.
+    Each distinct set is looked up once, whatever its number of lines. Only the join on a word sees lists of sets; its
+    pairs are filtered inside the join. The whole sets of pairs are taken once more from the texts, from lines that a
+    filter of fixed size lets through.
     """
     docs = docs.select("doc_id", "text")
     ranks = _numbers(slot_ranks(docs))
-    lines = _lines(docs, ranks)
-    n = F.col("n")
-    prefix = (n - F.ceil(n * 4 / F.lit(5)) + 1).cast("int")
-    seen = lines.select("key", "sig", "n", "at", F.slice("ids", F.lit(1), prefix).alias("prefix"))
-    sets = materialise(
-        seen.groupBy("key", "sig", "n").agg(F.min("at").alias("at"), F.first("prefix").alias("prefix")).withColumn("sid", F.monotonically_increasing_id()), "line-sets")
-
-    entries = sets.select("sid", "sig", "n", F.posexplode("prefix").alias("pos", "word"))
+    n, name = F.col("n"), ["key", "sig", "n"]
+    prefix = F.slice("ids", F.lit(1), (n - F.ceil(n * 4 / F.lit(5)) + 1).cast("int"))
+    lines = materialise(_sets(_lines(docs), ranks).select("at", "lh", *name, prefix.alias("prefix")), "lines")
+
+    entries = lines.groupBy(*name).agg(F.first("prefix").alias("prefix")).select(*name, F.posexplode("prefix").alias("pos", "word"))
     x, y = entries.alias("x"), entries.alias("y")
     need = _least_common(F.col("x.n"), F.col("y.n"))
     fits = (
-        (F.col("x.word") == F.col("y.word")) & (F.col("x.sid") < F.col("y.sid"))
+        (F.col("x.word") == F.col("y.word"))
+        & ((F.col("x.key") < F.col("y.key")) | (F.col("x.key") == F.col("y.key")) & (F.struct("x.sig", "x.n") < F.struct("y.sig", "y.n")))
         & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4)
         & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)
         & (F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))) <= F.col("x.n") + F.col("y.n") - 2 * need)
     )
-    pairs = materialise(x.join(y, fits).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "line-pairs")
+    pairs = materialise(x.join(y, fits).select(F.struct("x.key", "x.sig", "x.n").alias("a"), F.struct("y.key", "y.sig", "y.n").alias("b")).distinct(), "line-pairs")
 
-    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = materialise(sets.select("sid", "key", "sig", "n", "at").join(ends, "sid"), "line-wanted")
-    place = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
-    bits = wanted.groupBy(F.shiftright(place, 6).alias("w")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    ends = pairs.select("a.*").union(pairs.select("b.*")).distinct()
+    wanted = lines.join(materialise(ends, "line-ends"), name).groupBy(*name).agg(F.min(F.struct("at", "lh")).alias("first"))
+    wanted = materialise(wanted.select(*name, "first.at", "first.lh"), "line-wanted")
+    place = F.col("lh").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = wanted.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(_bit(place)).alias("bits"))
     known = {r["w"]: r["bits"] for r in bits.collect()}
     filled = _numbers([known.get(w, 0) for w in range(FILTER_BITS // 64)])
-    maybe = F.shiftrightunsigned(F.get(filled, F.shiftright(place, 6).cast("int")), 0).bitwiseAND(
-        F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))) != 0
-    found = lines.where(maybe).select("key", "sig", "n", "ids").join(wanted.select("sid", "key", "sig", "n", "at"), ["key", "sig", "n"])
-    whole = materialise(found.groupBy("sid").agg(F.first("ids").alias("ids"), F.first("n").alias("n"), F.first("at").alias("at")), "line-ids")
+    maybe = _lines(docs).where(F.get(filled, F.shiftright(place, 6).cast("int")).bitwiseAND(_bit(place)) != 0)
+    found = _sets(maybe, ranks).select(*name, "ids").join(wanted.select(*name, "at"), name)
+    whole = materialise(found.groupBy(*name).agg(F.first("ids").alias("ids"), F.first("at").alias("at")), "line-ids")
     for side in ("a", "b"):
-        pairs = pairs.join(whole.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("ids", "n", "at")]), side)
-    alike = F.size(F.array_intersect("ids_a", "ids_b")) * 9 >= (F.col("n_a") + F.col("n_b")) * 4
-    later = pairs.where(alike).select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("sid"))
-    gone = materialise(later.distinct(), "line-gone")
-
-    verdict = materialise(sets.join(gone.withColumn("gone", F.lit(True)), "sid", "left").select("key", "sig", "n", F.col("at").alias("first_at"), "gone"), "line-verdicts")
-    judged = lines.select("at", "key", "sig", "n").join(verdict, ["key", "sig", "n"]).where("gone OR at <> first_at")
+        pairs = pairs.join(whole.select(F.struct(*name).alias(side), F.col("ids").alias(f"ids_{side}"), F.col("at").alias(f"at_{side}")), side)
+    alike = F.size(F.array_intersect("ids_a", "ids_b")) * 9 >= (F.col("a.n") + F.col("b.n")) * 4
+    later = pairs.where(alike).select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("set"))
+    gone = later.select("set.*").distinct().withColumn("gone", F.lit(True))
+
+    again = lines.groupBy(*name).agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    verdict = materialise(again.join(gone, name, "full"), "line-verdicts")
+    judged = lines.select("at", *name).join(verdict, name).where("gone OR at <> first_at")
     return judged.groupBy("at.doc_id", "at.th").agg(F.sort_array(F.collect_set("at.line")).alias("removed"))
 
 
