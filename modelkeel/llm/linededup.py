@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions alone.
 
-A line is the set of its words. Its words are ordered by rarity, and two lines whose sets have a Jaccard similarity
+A line is the set of its words, in lower case. Its words are ordered by rarity, and two lines whose sets have a Jaccard similarity
 of at least 4/5 share a word among the first few of each (prefix filter). Such pairs must also fit in length, in the
 places of the shared word (positional filter), and in a 64-bit parity signature whose differing bits cannot
 outnumber the differing words. Whole sets decide what is left.
@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 from modelkeel.session import materialise
 
 SLOTS = 1 << 16
-SEPARATORS = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SEPARATORS = " \t\n\v\f\r"
 #: Bits of the bounded filter that keeps lines without a candidate out of the join for verification.
 FILTER_BITS = 1 << 22
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), SEPARATORS), lambda w: w != "")
+    """The words of a text; separators other than blanks are rare, so cutting at blanks is the cheap way."""
+    text = F.lower(text)
+    for mark in SEPARATORS[1:]:
+        text = F.replace(text, F.lit(mark), F.lit(SEPARATORS[0]))
+    return F.array_remove(F.split(text, SEPARATORS[0]), "")
 
 
 def _numbers(values: list[int]) -> Column:
@@ -34,7 +37,7 @@ def _numbers(values: list[int]) -> Column:
 
 def slot_ranks(docs: DataFrame) -> list[int]:
     """Place of each slot in the order of how many words of all texts fall into it, moved to begin below zero."""
-    words = docs.select(F.explode(F.split(F.translate("text", UPPER, LOWER), SEPARATORS)).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
     counts = words.groupBy((F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1))).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     known = {r["slot"]: r["n"] for r in counts.collect()}
     ranks = [0] * SLOTS
@@ -55,9 +58,11 @@ def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
         h = F.xxhash64(w)
         return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
-    sets = lines.select("at", "lh", F.array_sort(F.array_distinct(F.transform(_words(F.col("text")), number))).alias("ids"))
+    # the condition is on the text: one on the numbers would be moved below them and compute them twice
+    full = lines.where(F.btrim("text", F.lit(SEPARATORS)) != "")
+    sets = full.select("at", "lh", F.sort_array(F.array_distinct(F.transform(_words(F.col("text")), number))).alias("ids"))
     parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
-    return sets.where(F.size("ids") > 0).select("at", "lh", "ids", F.size("ids").alias("n"), F.xxhash64("ids").alias("key"), parity.alias("sig"))
+    return sets.select("at", "lh", "ids", F.size("ids").alias("n"), F.xxhash64("ids").alias("key"), parity.alias("sig"))
 
 
 def _bit(number: Column) -> Column:
