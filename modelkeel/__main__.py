@@ -17,16 +17,13 @@ from modelkeel.session import prepare
 from modelkeel.sources.records import read_log, record_schema
 from modelkeel.spec import load_use_case
 
-#: Rows a run ingests by default.
-DEFAULT_ROWS = 6000
-
 
 def parser() -> argparse.ArgumentParser:
     shared = argparse.ArgumentParser(add_help=False)
     shared.add_argument("--use-case", help="module:attribute of the use case")
     shared.add_argument("--model", required=True)
     shared.add_argument("--run-id", default="manual")
-    shared.add_argument("--root", default=".")
+    shared.add_argument("--root", required=True, help="folder every executor can reach")
     shared.add_argument("--seed", type=int, default=42)
     shared.add_argument("--key", default="", help="comma-separated columns that identify a row")
     top = argparse.ArgumentParser(prog="modelkeel")
@@ -37,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
         for flag, options in arguments.items():
             sub.add_argument(f"--{flag.replace('_', '-')}", **options)
 
-    source = {"profile": {"default": None}, "rows": {"type": int, "default": DEFAULT_ROWS}}
+    source = {"profile": {"default": None}, "rows": {"type": int, "default": None, "help": "ingest so many rows; default: all"}}
     parts = {
         "holdout_ratio": {"type": float, "default": split.HOLDOUT_RATIO},
         "reference_rows": {"type": int, "default": split.REFERENCE_ROWS},
@@ -66,7 +63,7 @@ def parser() -> argparse.ArgumentParser:
 
 def _sample(run: pipeline.Run, arguments) -> list[dict]:
     """Feature records of any profile, printed one per line."""
-    frame = run.use_case.ingest(run.spark, run.model, profile=arguments.profile, seed=run.seed, rows=DEFAULT_ROWS)
+    frame = run.use_case.ingest(run.spark, run.model, profile=arguments.profile, seed=run.seed, rows=None)
     records = split.sample_records(frame, run.spec.features, run.key or frame.columns, arguments.rows, seed=run.seed)
     return [json.loads(r["record"]) for r in records.collect()]
 

@@ -22,20 +22,46 @@ def request_id(given: Column, *key: Column | str) -> Column:
     return F.coalesce(F.nullif(given, F.lit("")), derived)
 
 
+def exact_double(x: Column) -> Column:
+    """Every finite double as sign, 53-bit integer and power of two, which only that double has.
+
+    The first guess of the power is corrected, so it does not depend on how a logarithm is rounded. Both zeros are 0.
+    """
+    size = F.abs(x)
+
+    def scaled(power: Column) -> Column:
+        half = F.floor(power / 2)
+        return size * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
+
+    guess = F.floor(F.log2(size)).cast("long")
+    first = scaled(F.lit(52) - guess)
+    power = guess + F.when(first >= 2.0**53, 1).when(first < 2.0**52, -1).otherwise(0)
+    whole = scaled(F.lit(52) - power).cast("long").cast("string")
+    number = F.concat(F.when(x < 0, "-").otherwise(""), whole, F.lit("p"), power.cast("string"))
+    return F.when(F.isnan(x), "NaN").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(size == 0, "0").otherwise(number)
+
+
 def canonical_text(field: T.StructField) -> Column:
-    """One spelling per value for hashing; floats go through a decimal, nulls stay visible."""
+    """One spelling per value, after its length; null has a spelling that no value has."""
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        column = column.try_cast("decimal(38,4)")
+        text = exact_double(column.cast("double"))
     elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-        column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    elif not isinstance(field.dataType, (T.AtomicType)):
-        column = F.to_json(F.struct(column))
-    return F.coalesce(column.cast("string"), F.lit("\\N"))
+        text = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    elif isinstance(field.dataType, T.AtomicType):
+        text = column.cast("string")
+    else:
+        text = F.to_json(F.struct(column))
+    return F.when(column.isNull(), F.lit("~")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
 
 
 def row_hash(df: DataFrame) -> Column:
-    return F.md5(F.concat_ws("\x1f", *[canonical_text(f) for f in df.schema.fields]).cast("binary"))
+    return F.md5(F.concat(F.lit(""), *[canonical_text(f) for f in df.schema.fields]).cast("binary"))
+
+
+def schema_text(schema: T.StructType) -> str:
+    """Names and types of the columns, as they enter the content hash."""
+    return ",".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
 
 
 def hash_word(digest: Column, index: int) -> Column:
@@ -46,12 +72,12 @@ def hash_word(digest: Column, index: int) -> Column:
 def data_hash(df: DataFrame) -> DataFrame:
     """Content hash of a frame in one aggregation: 16 hex characters, row order irrelevant.
 
-    Sums of the digest words are associative, so each task contributes one partial
+    Column names and types are part of it. Sums of the digest words are associative, so each task contributes one partial
     row; equal rows count as often as they occur.
     """
     digest = df.select(row_hash(df).alias("d"))
     sums = [F.sum(hash_word(F.col("d"), i)).alias(f"w{i}") for i in range(4)]
     total = digest.agg(F.count(F.lit(1)).alias("rows"), *sums)
     words = [F.coalesce(F.col(f"w{i}").cast("string"), F.lit("0")) for i in range(4)]
-    text = F.concat_ws(":", F.col("rows").cast("string"), *words)
+    text = F.concat_ws(":", F.col("rows").cast("string"), *words, F.lit(schema_text(df.schema)))
     return total.select("rows", F.substring(F.md5(text.cast("binary")), 1, 16).alias("data_hash"))

@@ -7,7 +7,6 @@ so neither a hot model nor a hot value concentrates rows in a task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +15,7 @@ from pyspark.sql import types as T
 
 from modelkeel.functions.vectors import category, coerce_number
 from modelkeel.operators.quality import shared_columns
-from modelkeel.schema import columns as columns_of
-from modelkeel.session import broadcast_if_small, small_table
+from modelkeel.session import broadcast_if_small, materialise
 
 #: Floor of a bin share, distinct values up to which a number is binned by
 #: value, policy thresholds (strict), guard and cadence of the monitor.
@@ -26,8 +24,6 @@ MAX_VALUE_BINS = 20
 WARN, RETRAIN = 0.2, 0.3
 MIN_ROWS = 200
 WINDOW_MINUTES, SLIDE_MINUTES = 30, 10
-#: Most models one report may have; their bin plan is a table on the driver.
-MAX_KEYS = 100_000
 PREDICTION = "prediction"
 
 REFERENCE, LIVE = "ref", "live"
@@ -64,58 +60,44 @@ def _profile(both: DataFrame, by: Sequence[str], numeric: Sequence[str]) -> Data
     return both.groupBy(*by).agg(*aggregates)
 
 
-def _few_valued(both: DataFrame, by: Sequence[str], numeric: Sequence[str], sketch: list) -> set:
-    """Exact set of ``(key…, column)`` whose reference has at most MAX_VALUE_BINS values.
+def _few_valued(both: DataFrame, by: Sequence[str], numeric: Sequence[str], profile: DataFrame) -> DataFrame:
+    """``by…, column`` whose reference has at most MAX_VALUE_BINS values, counted exactly.
 
     Sketches far above the limit settle the clear cases. The rest have few distinct values,
     so counting them exactly aggregates to a handful of rows per task.
     """
-    unsure = {c for c in numeric if any(r[f"nd:{c}"] <= 3 * MAX_VALUE_BINS for r in sketch)}
-    if not unsure:
-        return set()
-    settled = [r for r in sketch if any(r[f"nd:{c}"] > 3 * MAX_VALUE_BINS for c in unsure)]
-    pairs = [F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in sorted(unsure)]
-    ref = both.filter(F.col("side") == REFERENCE)
-    if settled and by:  # leave out the key/column pairs whose sketch is clearly large
-        large = {(*[r[b] for b in by], c) for r in settled for c in unsure if r[f"nd:{c}"] > 3 * MAX_VALUE_BINS}
-        schema = T.StructType([*[ref.schema[b] for b in by], T.StructField("c", T.StringType())])
-        skip = F.broadcast(small_table(ref.sparkSession, sorted(large, key=str), schema))
-        long = ref.select(*by, F.inline(F.array(*pairs))).join(skip, [*by, "c"], "left_anti")
-    else:
-        long = ref.select(*by, F.inline(F.array(*pairs)))
-    distinct = long.filter("v IS NOT NULL").groupBy(*by, "c", "v").agg(F.count(F.lit(1)).alias("n"))
-    counted = distinct.groupBy(*by, "c").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") <= MAX_VALUE_BINS)
-    return {(*[r[b] for b in by], r["c"]) for r in counted.collect()}
+    sketch = profile.select(*by, *[F.col(f"nd:{c}") for c in numeric])
+    ref = both.filter(F.col("side") == REFERENCE).join(sketch, list(by))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v"), F.col(f"nd:{c}").alias("nd")) for c in numeric])
+    unsure = F.filter(cells, lambda x: (x["nd"] <= 3 * MAX_VALUE_BINS) & x["v"].isNotNull())
+    distinct = ref.select(*by, F.inline(unsure)).groupBy(*by, "column", "v").agg(F.count(F.lit(1)).alias("n"))
+    counted = distinct.groupBy(*by, "column").agg(F.count(F.lit(1)).alias("d"))
+    return counted.filter(F.col("d") <= MAX_VALUE_BINS).select(*by, "column", F.lit(True).alias("few"))
 
 
 def _bin_plan(both: DataFrame, by: Sequence[str], columns: Sequence[str], numeric: Sequence[str]) -> DataFrame:
-    """``by…, n_ref, n_live, column, lo, width, k`` as a local table; ``k`` null: bin by value.
+    """``by…, n_ref, n_live, column, lo, width, k`` as a written table; ``k`` null: bin by value.
 
-    Its size is (number of models) × (number of drift columns); both come from declared
-    specifications, not from the data volume.
+    One row per key and column, computed without the driver; written, so that the pass over the
+    rows joins a table of known size and Spark can choose how.
     """
-    sketch = _profile(both, by, numeric).limit(MAX_KEYS + 1).collect()
-    if len(sketch) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} models: group by declared models, not by data")
-    few = _few_valued(both, by, numeric, sketch)
-    rows = []
-    for r in sketch:
-        key = tuple(r[b] for b in by)
-        for c in columns:
-            lo = hi = None
-            if c in numeric:
-                lo, hi = r[f"lo:{c}"], r[f"hi:{c}"]
-            flat = lo is None or hi <= lo
-            if c not in numeric or (*key, c) in few or flat:
-                rows.append((*key, r["n_ref"], r["n_live"], c, None, None, None))
-                continue
-            k = math.ceil(math.log2(r["n_ref"] + r["n_live"]) + 1)
-            rows.append((*key, r["n_ref"], r["n_live"], c, lo, (hi - lo) / k, k))
-    schema = T.StructType(
-        [*[both.schema[b] for b in by], *columns_of(
-            n_ref="long", n_live="long", column="string", lo="double", width="double", k="integer").fields]
-    )
-    return small_table(both.sparkSession, rows, schema)
+    keys = list(by) or ["_all"]
+    if not by:
+        both = both.withColumn("_all", F.lit(0))
+    profile = _profile(both, keys, numeric)
+    none = F.lit(None).cast("double")
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), (F.col(f"lo:{c}") if c in numeric else none).alias("lo"), (F.col(f"hi:{c}") if c in numeric else none).alias("hi"))
+        for c in columns
+    ])
+    plan = profile.select(*keys, "n_ref", "n_live", F.inline(cells))
+    few = _few_valued(both, keys, numeric, profile) if numeric else None
+    plan = plan.withColumn("few", F.lit(None)) if few is None else plan.join(few, [*keys, "column"], "left")
+    rows = F.col("n_ref") + F.col("n_live")
+    wanted = F.when(rows <= 1, 1).otherwise(F.length(F.bin(rows - 1)) + 1)  # ceil(log2(rows)) + 1, exactly
+    k = F.when(F.col("few").isNull() & (F.col("hi") > F.col("lo")), wanted).cast("int")
+    sized = plan.withColumn("k", k).withColumn("width", F.when(F.col("k").isNotNull(), (F.col("hi") - F.col("lo")) / F.col("k")))
+    return materialise(sized.select(*by, "n_ref", "n_live", "column", F.when(F.col("k").isNotNull(), F.col("lo")).alias("lo"), "width", "k"), "bin-plan")
 
 
 def equal_width_bin(value: Column, lo: Column, width: Column, k: Column) -> Column:
@@ -163,7 +145,7 @@ def psi_by_column(
             (F.lit(None).cast("string") if c in numeric else F.col(c)).alias("text"),
         ) for c in columns
     ])
-    long = both.select(*keys, "side", F.inline(cells)).join(F.broadcast(plan), [*keys, "column"])
+    long = both.select(*keys, "side", F.inline(cells)).join(plan, [*keys, "column"])
     binned = long.withColumn("bin", _bin_text())
     counts = binned.groupBy(*keys, "column", "n_ref", "n_live", "bin").agg(
         F.sum((F.col("side") == REFERENCE).cast("long")).alias("c_ref"),
@@ -269,7 +251,7 @@ def _to_bins(df, edges, columns, by, numeric, extra=()) -> DataFrame:
             (F.lit(None).cast("string") if c in numeric else category(F.col(c))).alias("text"),
         ) for c in columns
     ])
-    long = df.select(*extra, *by, F.inline(cells)).join(F.broadcast(edges), [*by, "column"])
+    long = df.select(*extra, *by, F.inline(cells)).join(edges, [*by, "column"])
     return long.withColumn("bin", _bin_text())
 
 
@@ -308,7 +290,7 @@ def psi_of_counts(
     of its own bins, and the missing reference bins contribute the sum of all their
     floor-share terms minus those already matched.
     """
-    sizes = F.broadcast(edges.select(*ref_by, "column", "n_ref"))
+    sizes = edges.select(*ref_by, "column", "n_ref")
     known = reference_counts.filter("bin IS NOT NULL")
     absent_term = psi_term(F.col("c_ref"), F.col("n_ref"), F.lit(0), F.lit(1))
     unmatched = known.join(sizes, [*ref_by, "column"]).groupBy(*ref_by, "column").agg(F.sum(absent_term).alias("all_absent"))
@@ -323,7 +305,7 @@ def psi_of_counts(
     per_column = matched.groupBy(*keys, "column", "n_ref", "n_live").agg(
         F.coalesce(F.sum(own), F.lit(0.0)).alias("own"), F.coalesce(F.sum(absent), F.lit(0.0)).alias("matched_absent")
     )
-    joined = per_column.join(F.broadcast(unmatched), [*ref_by, "column"], "left")
+    joined = per_column.join(unmatched, [*ref_by, "column"], "left")
     psi = F.col("own") + F.coalesce("all_absent", F.lit(0.0)) - F.col("matched_absent")
     few = F.col("n_live") < min_rows
     return joined.select(

@@ -96,12 +96,3 @@ def counter_increase(
     return with_previous.groupBy(window_start("ts", length).alias("window_start"), *series).agg(
         F.sum(delta).alias("increase")
     )
-
-
-def max_by_labels(gauges: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    return gauges.groupBy(*by).agg(F.max(value).alias(name))
-
-
-def latest_n_windows(df: DataFrame, by: Sequence[str]) -> Column:
-    """Row number from the newest window back, over an already aggregated grid."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("window_start")))

@@ -132,8 +132,20 @@ def sample_records(df: DataFrame, features: Sequence[str], key: Sequence[str], r
 
 
 def cap_rows(df: DataFrame, key: Sequence[str], rows: int | None, *, seed: int) -> DataFrame:
-    """Ingest at most ``rows`` rows; which ones depends on the seed only."""
-    return df if rows is None else frozen_sample(df, key, rows, seed=seed)
+    """Ingest exactly ``min(rows, all)`` rows; which ones depends on the seed only.
+
+    Rows of one key are equal; where the cut falls among them, one of them is repeated as often as needed.
+    """
+    if rows is None:
+        return df
+    kept = frozen_sample(df, key, rows, seed=seed).withColumn("_h", order_hash(seed, *key))
+    last = kept.agg(F.max("_h")).first()[0]
+    if last is None:
+        return kept.drop("_h")
+    before, edge = kept.filter(F.col("_h") < last), kept.filter(F.col("_h") == last)
+    left = min(rows - before.count(), edge.count())
+    repeated = edge.limit(1).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(left)))).drop("_n") if left else edge.limit(0)
+    return before.unionByName(repeated).drop("_h")
 
 
 def category_share(df: DataFrame, category: Column) -> DataFrame:

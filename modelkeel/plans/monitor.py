@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,28 @@ def check_model(
         return run.done("drift", skipped="champion has no reference")
     reference = read_dataset(run.spark, uri)
     bound = F.lit(now).cast(records.schema["ts"].dataType)
-    live = drift.recent(records.filter(F.col("model") == run.model), bound, window_minutes)
+    live = drift.recent(_own_records(run, records, now, window_minutes), bound, window_minutes)
     if "model_version" in live.columns:
         live = live.filter(F.col("model_version").cast("string") == str(known["version"]))
+    live = live.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _judge(run, reference, live, known, now, window_minutes, warn, retrain, min_rows, in_flight, dry_run)
+    finally:
+        live.unpersist()
+
+
+def _own_records(run: Run, records: DataFrame, now: datetime, minutes: int) -> DataFrame:
+    """Records of the run's model and use case; with the log's partition columns, only of the days of the window."""
+    own = records.filter(F.col("model") == run.model)
+    if "use_case" in records.columns:
+        own = own.filter(F.col("use_case") == run.use_case.name)
+    if "date" in records.columns:
+        own = own.filter(F.col("date") >= f"{now - timedelta(minutes=minutes):%Y-%m-%d}")
+    return own
+
+
+def _judge(run, reference, live, known, now, window_minutes, warn, retrain, min_rows, in_flight, dry_run) -> dict:
+    spec = run.spec
     rows = live.count()
     watched = drift.shared_columns(tuple(spec.drift_columns), reference, live)
     if rows < min_rows or not watched:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from modelkeel.functions.ids import data_hash
 from modelkeel.operators import gate, quality, registry, split
 from modelkeel.schema import columns
+from modelkeel.session import small_table
 from modelkeel.sources import layout as names
 from modelkeel.sources.datasets import append_step_result, read_dataset, write_dataset
 from modelkeel.sources.layout import Layout
@@ -75,8 +76,10 @@ class Run:
         """An append-only table; empty while nothing was appended."""
         try:
             return self.spark.read.schema(schema).parquet(self.layout.table(name))
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as failure:
+            if failure.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return small_table(self.spark, [], schema)
 
     def append(self, name: str, rows: list[tuple], schema: T.StructType) -> None:
         frame = self.spark.createDataFrame(rows, schema)
@@ -199,7 +202,7 @@ def evaluate(run: Run) -> dict:
     finally:
         holdout.unpersist()
     metric = spec.primary_metric
-    promote, reason = gate.decide(spec, candidate[metric], old[metric] if old else None)
+    promote, reason = gate.decide(run.spark, spec, candidate[metric], old[metric] if old else None)
     logged = {f"holdout_{k}": float(v) for k, v in candidate.items()}
     logged |= {f"champion_holdout_{k}": float(v) for k, v in (old or {}).items()}
     tags = {

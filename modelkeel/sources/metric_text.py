@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: One sample line ``name{labels} value``; names of the drift gauges.
-SAMPLE_LINE = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})?\s+(\S+)\s*$"
-LABEL = r'([A-Za-z_][A-Za-z0-9_]*)="([^"]*)"'
+#: One sample line ``name{labels} value [milliseconds]``; names of the drift gauges.
+SAMPLE_LINE = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+-?\d+)?\s*$"
+LABEL = r'([A-Za-z_][A-Za-z0-9_]*)="((?:[^"\\]|\\.)*)"'
 DRIFT_PSI = "ct_drift_psi"
 DRIFT_DETECTED = "ct_drift_detected"
 DRIFT_ROWS = "ct_drift_window_rows"
@@ -18,9 +18,15 @@ DRIFT_RETRAIN = "ct_drift_threshold_retrain"
 
 def parse_labels(text: Column) -> Column:
     """``k="v",…`` to a map."""
-    return F.map_from_arrays(
-        F.regexp_extract_all(text, F.lit(LABEL), 1), F.regexp_extract_all(text, F.lit(LABEL), 2)
-    )
+    values = F.transform(F.regexp_extract_all(text, F.lit(LABEL), 2), unescape)
+    return F.map_from_arrays(F.regexp_extract_all(text, F.lit(LABEL), 1), values)
+
+
+def unescape(value: Column) -> Column:
+    r"""Label values escape backslash, quote and line feed: ``\\``, ``\"``, ``\n``."""
+    hidden = F.replace(value, F.lit("\\\\"), F.lit("\0"))
+    plain = F.replace(F.replace(hidden, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+    return F.replace(plain, F.lit("\0"), F.lit("\\"))
 
 
 def parse_samples(lines: DataFrame, column: str = "line") -> DataFrame:

@@ -71,3 +71,25 @@ def test_hash_ignores_row_order_but_not_content_or_copies(spark):
 def test_category_share(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "c string")
     assert s.category_share(df, F.col("c") == "a").first()["share"] == pytest.approx(0.5)
+
+
+def test_content_hash_is_exact(spark):
+    values = [0.00001, 0.00004, 1.0, 2.0**29, 2.0**29 - 2.0**-23, 5e-324, 1.7976931348623157e308, float("nan"), float("inf"), float("-inf"), None, -1.0, 0.0, 0.1, 0.1 + 2**-56]
+    hashes = {data_hash(spark.createDataFrame([(v,)], "x double")).first()["data_hash"] for v in values}
+    assert len(hashes) == len(values)
+    texts = [("\\N", "a"), (None, "a"), ("", "a"), ("a", None), ("a\x1f", ""), ("a", "\x1f"), ("~", "a"), ("1:a", ""), ("", "1:a")]
+    assert len({data_hash(spark.createDataFrame([t], "x string, y string")).first()["data_hash"] for t in texts}) == len(texts)
+    one = spark.createDataFrame([(1, 2)], "x long, y long")
+    assert len({data_hash(one.toDF(*n)).first()["data_hash"] for n in (("x", "y"), ("y", "x"))}) == 2
+    assert data_hash(one).first()["data_hash"] != data_hash(one.select(F.col("x").cast("int"), "y")).first()["data_hash"]
+
+
+def test_cap_counts_equal_rows(spark):
+    from modelkeel.operators.split import cap_rows
+
+    equal = spark.range(100).select(F.lit(7).alias("x"), F.lit("a").alias("y"))
+    assert cap_rows(equal, equal.columns, 10, seed=1).count() == 10
+    mixed = equal.unionByName(spark.range(50).select(F.col("id").cast("int").alias("x"), F.lit("b").alias("y")))
+    for n in (0, 1, 60, 149, 150, 400):
+        assert cap_rows(mixed, mixed.columns, n, seed=1).count() == min(n, 150)
+    assert cap_rows(equal, equal.columns, None, seed=1).count() == 100
