@@ -53,13 +53,13 @@ def champion_challenger(t: Tables) -> DataFrame:
 @query("version_lineage", """
     SELECT o_orderkey, 'run-' || o_custkey AS run_id, coalesce(data_hash, '') AS data_hash,
            coalesce(git_commit, '') AS git_commit, '' AS reference_uri
-    FROM orders LEFT JOIN (SELECT c_custkey, md5(c_name) AS data_hash, c_mktsegment AS git_commit
-                           FROM customer WHERE c_acctbal > 0) r ON o_custkey = c_custkey""")
+    FROM orders LEFT JOIN (SELECT s_suppkey, md5(s_name) AS data_hash, CAST(s_nationkey AS VARCHAR) AS git_commit
+                           FROM supplier) r ON o_custkey = s_suppkey""")
 def version_lineage(t: Tables) -> DataFrame:
-    """Versions of the orders, lineage tags of the customers' runs; some runs are gone."""
+    """Versions of the orders, lineage tags of the suppliers' runs; customers beyond them have no run."""
     versions = t.orders.select("o_orderkey", F.concat(F.lit("run-"), F.col("o_custkey")).alias("run_id"))
-    tags = F.create_map(F.lit("data_hash"), F.md5("c_name"), F.lit("git_commit"), F.col("c_mktsegment"))
-    runs = t.customer.filter("c_acctbal > 0").select(F.concat(F.lit("run-"), F.col("c_custkey")).alias("run_id"), tags.alias("tags"))
+    tags = F.create_map(F.lit("data_hash"), F.md5("s_name"), F.lit("git_commit"), F.col("s_nationkey").cast("string"))
+    runs = t.supplier.select(F.concat(F.lit("run-"), F.col("s_suppkey")).alias("run_id"), tags.alias("tags"))
     return with_lineage(versions, runs)
 
 
@@ -72,17 +72,17 @@ def version_lineage(t: Tables) -> DataFrame:
               sum((greatest(c_ref / n_ref, 1e-4) - greatest(c_live / n_live, 1e-4))
                   * ln(greatest(c_ref / n_ref, 1e-4) / greatest(c_live / n_live, 1e-4))) AS psi
             FROM bins JOIN totals USING (use_case, model) GROUP BY 1, 2),
-    busy AS (SELECT DISTINCT use_case, model FROM {runs} WHERE phase = 'Running' AND use_case || model <> 'uc0fraud')
+    ranked AS (SELECT use_case, model, phase, row_number() OVER (PARTITION BY use_case, model ORDER BY ts DESC, o_orderkey DESC) AS r FROM {runs}),
+    busy AS (SELECT use_case, model FROM ranked WHERE r = 1 AND phase = 'Running')
     SELECT use_case, model, round(psi, 6) AS max_psi FROM psi
-    WHERE psi > 0.3 AND NOT EXISTS (SELECT 1 FROM busy b WHERE b.use_case = psi.use_case AND b.model = psi.model
-                                    AND b.use_case <> 'uc2')""")
+    WHERE psi > 0.3 AND NOT EXISTS (SELECT 1 FROM busy b WHERE b.use_case = psi.use_case AND b.model = psi.model)""")
 def retrain_not_inflight(t: Tables) -> DataFrame:
-    """Models whose live half drifted away and that have no run in flight."""
+    """Models whose live half drifted away and whose latest run is not in flight."""
     split = F.lit("2024-01-16").cast("timestamp_ntz")
     watched = t.calls.withColumn("v", F.when(F.col("use_case") == "uc1", F.col("prediction")).otherwise(F.col("model_version")))
     report = psi_by_column(
         watched.filter(F.col("ts") < split), watched.filter(F.col("ts") >= split), ["v"], ["use_case", "model"]
     )
-    runs = t.runs.filter((F.concat("use_case", "model") != "uc0fraud") & (F.col("use_case") != "uc2"))
+    runs = t.runs.groupBy("use_case", "model").agg(F.max_by("phase", F.struct("ts", "o_orderkey")).alias("phase"))
     wanted = retrain_requests(drift_levels(report, ["use_case", "model"]), runs)
     return wanted.select("use_case", "model", r6("max_psi").alias("max_psi"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalogue.base import Tables, query, sql_stamp, stamp
 from modelkeel.functions.text import matches_label, run_id_slug as slug, text_length
 from modelkeel.functions.vectors import coerce_number
-from modelkeel.operators.drift import recent
+from modelkeel.operators.drift import champion_rows as rows_of_champions, recent
 from modelkeel.operators.rows import delivery_rules, listing_rules, split_valid, with_reasons
 from modelkeel.operators.scoring import model_sourced, prediction_records
 from modelkeel.sources.records import day_key, file_stamp
@@ -24,10 +24,13 @@ def derive_text_len(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text_length("text").cast("long").alias("title_len"))
 
 
-@query("champion_rows", "SELECT event_id, model FROM {calls} WHERE model_version = '2'")
+@query("champion_rows", """
+    SELECT event_id, model FROM {calls} c WHERE model_version =
+        (SELECT max(model_version) FROM {calls} k WHERE k.use_case = c.use_case AND k.model = c.model)""")
 def champion_rows(t: Tables) -> DataFrame:
-    """Rows of one known champion version, compared as text."""
-    return t.calls.filter(F.col("model_version").cast("string") == F.lit(2).cast("string")).select("event_id", "model")
+    """Rows answered by each model's champion, the latest version, compared as text."""
+    champions = t.calls.groupBy("use_case", "model").agg(F.max("model_version").cast("int").alias("version"))
+    return rows_of_champions(t.calls, champions).select("event_id", "model")
 
 
 @query("recent_window", """

@@ -76,13 +76,12 @@ def log_flush_rate(t: Tables) -> DataFrame:
 
 @query("monitor_staleness", """
     WITH n AS (SELECT max(epoch_us(ts)) // 1000000 AS now FROM events),
-    g AS (SELECT use_case, model, max(epoch_us(ts)) // 1000000 AS last FROM {calls} WHERE prediction = 'purchase' GROUP BY 1, 2)
-    SELECT use_case, model, now - last AS age_seconds, now - last > 1800 AS stale FROM g, n""")
+    g AS (SELECT use_case, model, prediction, max(epoch_us(ts)) // 1000000 AS last FROM {calls} GROUP BY 1, 2, 3)
+    SELECT use_case, model, prediction, now - last AS age_seconds, now - last > 1800 AS stale FROM g, n""")
 def monitor_staleness(t: Tables) -> DataFrame:
-    """Age of the last purchase sample per model at the newest event."""
+    """Age of the last sample of every kind per model at the newest event."""
     now = t.events.agg(F.max("ts")).first()[0]
-    samples = t.calls.filter(F.col("prediction") == "purchase")
-    return r.staleness(samples, ["use_case", "model"], F.lit(now).cast("timestamp_ntz"))
+    return r.staleness(t.calls, ["use_case", "model", "prediction"], F.lit(now).cast("timestamp_ntz"))
 
 
 @query("outcome_mix", """

@@ -110,13 +110,13 @@ def stream_breaker_timeline(t: Tables) -> DataFrame:
 
 
 @query("stream_monitor_staleness", f"""
-    WITH s AS (SELECT use_case || '/' || model AS "key", epoch_us(ts) // 1000 AS ms FROM {{calls}} WHERE prediction = 'purchase'),
+    WITH s AS (SELECT use_case || '/' || model || '/' || prediction AS "key", epoch_us(ts) // 1000 AS ms FROM {{calls}}),
     l AS (SELECT "key", ms, lead(ms) OVER (PARTITION BY "key" ORDER BY ms) AS following FROM s),
-    w AS (SELECT max(epoch_us(ts)) // 1000 - 600000 AS mark FROM {{calls}} WHERE prediction = 'purchase')
+    w AS (SELECT max(epoch_us(ts)) // 1000 - 600000 AS mark FROM {{calls}})
     SELECT "key", ms AS last_ms FROM l, w
     WHERE following - ms > 21600000 OR (following IS NULL AND ms + 21600000 + 1 <= mark)""")
 def stream_monitor_staleness(t: Tables) -> DataFrame:
-    """Stretches of more than six hours without a purchase sample per model."""
-    samples = common.with_event_time(call_stream(t).filter(F.col("prediction") == "purchase"))
-    keyed = samples.select(F.concat_ws("/", "use_case", "model").alias("key"), "ts", F.unix_millis("ts").alias("ms"))
+    """Stretches of more than six hours without a sample of a kind per model."""
+    samples = common.with_event_time(call_stream(t))
+    keyed = samples.select(F.concat_ws("/", "use_case", "model", "prediction").alias("key"), "ts", F.unix_millis("ts").alias("ms"))
     return common.drain_to_table(state.silence_stream(keyed, 21600), "stream-silence")
