@@ -25,7 +25,7 @@ from modelkeel.llm.hashing import _VALUE, _powers, mix, text_bytes
 from modelkeel.session import materialise
 
 LENGTH, GRAM = 200, 64
-BUCKET, MOST = 1 << 20, 2000
+BUCKET, MOST = 1 << 17, 500
 #: Bits of the bounded filter that keeps segments of keys with one kind of segment from being read again.
 FILTER_BITS = 1 << 24
 _PIECE = 1 << 20
