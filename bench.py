@@ -25,7 +25,8 @@ HEADLINE = (
     "gate_decision promote_events registry_previous register_versions version_lineage psi_numeric psi_categorical "
     "drift_report drift_all_models drift_level drift_windows fallback_ratio counter_increase histogram_quantile "
     "latency_percentiles alert_hold canary_verdict failure_streaks fraud_rules score_with_fallback doc_frequency "
-    "tfidf_terms log1p_standardize category_medians train_linear stream_fallback_ratio stream_drift_windows"
+    "tfidf_terms log1p_standardize category_medians train_linear train_run_summary stream_fallback_ratio "
+    "stream_drift_windows stream_alert_hold stream_monitor_staleness"
 ).split()
 
 

@@ -21,5 +21,9 @@ def test_query(spark, con, name):
     assert ok, note
 
 
+#: Queries that have no SQL yet.
+WITHOUT_SQL = {"files_since", "train_run_summary", "stream_breaker_timeline"}
+
+
 def test_oracles_belong_to_queries():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL and set(ORACLES) <= set(QUERIES)
