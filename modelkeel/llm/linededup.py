@@ -2,7 +2,7 @@
 
 A line is the set of its words, in lower case. Its words are ordered by rarity, and two lines whose sets have a Jaccard similarity
 of at least 4/5 share a word among the first few of each (prefix filter). Such pairs must also fit in length, in the
-places of the shared word (positional filter), and in a 64-bit parity signature whose differing bits cannot
+places of the shared word (positional filter), and in a 128-bit parity signature whose differing bits cannot
 outnumber the differing words. Whole sets decide what is left.
 
 Words are 64-bit hashes whose low 16 bits, the slot, are replaced by the slot's place in the order of word counts,
@@ -53,7 +53,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """Lines with words, with their sets: sorted word numbers, size, key and signature, which together name the set."""
+    """Lines with words, with their sets: sorted word numbers, size, key and two signatures, which together name the set."""
     def number(w: Column) -> Column:
         h = F.xxhash64(w)
         return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
@@ -61,8 +61,13 @@ def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
     # the condition is on the text: one on the numbers would be moved below them and compute them twice
     full = lines.where(F.btrim("text", F.lit(SEPARATORS)) != "")
     sets = full.select("at", "lh", F.sort_array(F.array_distinct(F.transform(_words(F.col("text")), number))).alias("ids"))
-    parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
-    return sets.select("at", "lh", "ids", F.size("ids").alias("n"), F.xxhash64("ids").alias("key"), parity.alias("sig"))
+    def parity(half: int) -> Column:
+        # a number flips one bit of one half of the signature
+        own = lambda x: x.bitwiseAND(F.lit(64)) == 64 * half
+        none = F.lit(0).cast("long")
+        return F.aggregate("ids", none, lambda a, x: a.bitwiseXOR(F.when(own(x), _bit(x)).otherwise(none)))
+
+    return sets.select("at", "lh", "ids", F.size("ids").alias("n"), F.xxhash64("ids").alias("key"), parity(0).alias("sig"), parity(1).alias("sig2"))
 
 
 def _bit(number: Column) -> Column:
@@ -88,21 +93,25 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     ranks = _numbers(slot_ranks(docs))
-    n, name = F.col("n"), ["key", "sig", "n"]
+    n, name = F.col("n"), ["key", "sig", "sig2", "n"]
     prefix = F.slice("ids", F.lit(1), (n - F.ceil(n * 4 / F.lit(5)) + 1).cast("int"))
     lines = materialise(_sets(_lines(docs), ranks).select("at", "lh", *name, prefix.alias("prefix")), "lines")
 
     entries = lines.groupBy(*name).agg(F.first("prefix").alias("prefix")).select(*name, F.posexplode("prefix").alias("pos", "word"))
+    packed = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    entries = entries.select("word", "key", "sig", "sig2", packed.alias("size"))
     x, y = entries.alias("x"), entries.alias("y")
-    need = _least_common(F.col("x.n"), F.col("y.n"))
+    xn, yn = (F.shiftright(f"{side}.size", 32).cast("int") for side in "xy")
+    xp, yp = (F.col(f"{side}.size").bitwiseAND(F.lit((1 << 31) - 1)).cast("int") for side in "xy")
+    need = _least_common(xn, yn)
     fits = (
         (F.col("x.word") == F.col("y.word"))
-        & ((F.col("x.key") < F.col("y.key")) | (F.col("x.key") == F.col("y.key")) & (F.struct("x.sig", "x.n") < F.struct("y.sig", "y.n")))
-        & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4)
-        & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)
-        & (F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))) <= F.col("x.n") + F.col("y.n") - 2 * need)
+        & ((F.col("x.key") < F.col("y.key")) | (F.col("x.key") == F.col("y.key")) & (F.struct("x.sig", "x.sig2", xn) < F.struct("y.sig", "y.sig2", yn)))
+        & (F.least(xn, yn) * 5 >= F.greatest(xn, yn) * 4)
+        & (F.least(xn - xp, yn - yp) >= need)
+        & (sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("sig", "sig2")) <= xn + yn - 2 * need)
     )
-    pairs = materialise(x.join(y, fits).select(F.struct("x.key", "x.sig", "x.n").alias("a"), F.struct("y.key", "y.sig", "y.n").alias("b")).distinct(), "line-pairs")
+    pairs = materialise(x.join(y, fits).select(F.struct("x.key", "x.sig", "x.sig2", xn.alias("n")).alias("a"), F.struct("y.key", "y.sig", "y.sig2", yn.alias("n")).alias("b")).distinct(), "line-pairs")
 
     ends = pairs.select("a.*").union(pairs.select("b.*")).distinct()
     wanted = lines.join(materialise(ends, "line-ends"), name).groupBy(*name).agg(F.min(F.struct("at", "lh")).alias("first"))
