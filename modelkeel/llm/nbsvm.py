@@ -7,11 +7,13 @@ descent; a logistic curve over its margin gives the score.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,26 +76,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.shift, -30, 30))))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 30, smooth: float = 1.0, seed: int = 5) -> Model:
-    """Fit on the slots of texts and their 0/1 labels. With one class only, every score is that class's smoothed share."""
+def fit(flat: np.ndarray, cuts: np.ndarray, labels: np.ndarray, cost: float = 1.0, epochs: int = 30, smooth: float = 1.0, seed: int = 5) -> Model:
+    """Fit on the slots of texts (``flat``, a text's from one cut to the next) and their 0/1 labels. With one class only, every score is that class's smoothed share."""
     n_slots, y = 1 << BITS, np.where(labels == 1, 1.0, -1.0)
     counts = {s: np.full(n_slots, smooth) for s in (1.0, -1.0)}
-    for found, s in zip(texts, y):
-        counts[s][found] += 1
+    for i, s in enumerate(y):
+        counts[s][flat[cuts[i] : cuts[i + 1]]] += 1
     ratio = np.log((counts[1.0] / counts[1.0].sum()) / (counts[-1.0] / counts[-1.0].sum()))
     if len(set(y.tolist())) < 2:
         share = ((labels == 1).sum() + 1) / (len(labels) + 2)
         return Model(ratio * 0, np.zeros(n_slots + 1), 1.0, float(np.log(share / (1 - share))))
-    weight, alpha, rng = np.zeros(n_slots + 1), np.zeros(len(texts)), np.random.default_rng(seed)
-    rows = []
-    for found in texts:
-        scale = ratio[found]
-        size = np.sqrt(scale @ scale)
-        rows.append((found, scale / size if size else scale))
+    weight, alpha, rng = np.zeros(n_slots + 1), np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(rows)):
-            found, value = rows[i]
+        for i in rng.permutation(len(y)):
+            found = flat[cuts[i] : cuts[i + 1]]
+            value = ratio[found]
+            value /= np.sqrt(value @ value) or 1.0
             square = 1.0 + (1.0 if len(found) else 0.0)
             step = 1 - y[i] * (weight[:-1][found] @ value + weight[-1])
             new = min(max(alpha[i] + step / square, 0.0), cost)
@@ -120,19 +119,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
     """
     known = labels.where("quality IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     picked = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(picked), F.col("d") == F.col("doc_id")).select("text", "label")
+    texts = docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(picked), F.col("d") == F.col("doc_id")).select("d", "text", "label")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.zeros(1 << BITS, bool)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for k in range(batch.num_rows):
-                found = slots(data[offsets[k] : offsets[k + 1]], mark).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()]), batch.column("label").slice(k, 1).cast(pa.int32())], ["slots", "label"])
-
-    got = texts.mapInArrow(cut, "slots binary, label int").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (got["slots"][i].as_py(), got["label"][i].as_py()))
-    return fit([np.frombuffer(got["slots"][i].as_py(), np.int32) for i in order], np.array([got["label"][i].as_py() for i in order]))
+                found = slots(data[offsets[k] : offsets[k + 1]], mark).astype(np.int32).tobytes()
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("d").slice(k, 1), pa.array([hashlib.md5(found).hexdigest()]), batch.column("label").slice(k, 1).cast(pa.int32()), pa.array([found])],
+                    ["d", "digest", "label", "slots"])
+
+    got = texts.mapInArrow(cut, "d long, digest string, label int, slots binary").toArrow().sort_by([("d", "ascending"), ("digest", "ascending")])
+    sizes = pa.compute.binary_length(got["slots"]).to_numpy() // 4
+    flat = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in got["slots"]] + [np.empty(0, np.int32)])
+    return fit(flat, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), got["label"].to_numpy())
 
 
 def _scores(column: pa.Array, model: Model, mark: np.ndarray) -> np.ndarray:
