@@ -31,6 +31,8 @@ BATCH_CHARS = 4 << 20
 SAMPLES = 64
 PERIOD = 64
 BANDS, BAND_BYTES, BAND_BITS = 10, 6, 4
+#: Classes of a band that all others are compared with, after the smallest one.
+FIRST = 8
 
 
 @cache
@@ -153,10 +155,10 @@ def bands(fingerprint: bytes) -> list[int]:
 
 
 _FIELDS = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
-           "near_next double, bands array<long>")
+           "near_next double")
 _COLUMNS = {
     "doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(),
-    "near_edited": pa.float64(), "near_next": pa.float64(), "bands": pa.list_(pa.int64()),
+    "near_edited": pa.float64(), "near_next": pa.float64(),
 }
 _EDGE = {"part": pa.int32(), "edge": pa.string(), "text": pa.string()}
 
@@ -173,7 +175,7 @@ def _compare(docs: list[tuple], following: list[str]) -> list[dict]:
         rows.append({
             "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(changed[k].encode("utf-8", "surrogatepass")).hexdigest(),
             "fingerprint": own[k].hex(), "edited_fingerprint": after[k].hex(),
-            "near_edited": likeness(own[k], after[k]), "near_next": likeness(own[k], nxt), "bands": bands(own[k])})
+            "near_edited": likeness(own[k], after[k]), "near_next": likeness(own[k], nxt)})
     return rows
 
 
@@ -225,27 +227,130 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return walked.where("edge IS NULL").select(*_COLUMNS).unionByName(joined)
 
 
-def near_leaders(found: DataFrame, least: float = 0.8) -> DataFrame:
-    """``doc_id, near_id``: the smallest doc_id that leads a band of the document and is verified as near.
+def blocks(fingerprint: bytes, least: float) -> np.ndarray:
+    """Keys such that any two fingerprints whose likeness is at least ``least`` have one in common.
 
-    A band is led by its smallest doc_id, and its other documents are compared with it alone, so a bucket of any
-    size gives one candidate a row. The fingerprints of candidates are compared byte by byte.
+    Places at which two such fingerprints of at most ``n`` bytes differ are at most ``(1 - least) * n``. Dealt round
+    robin into more blocks than that, at least one block has none of them and is equal as a whole. The number of
+    blocks depends on the longer of the two, so a text has the keys for every length that its partner may have.
     """
-    keys = found.where("n_chars > 0").select("doc_id", F.explode("bands").alias("band"))
-    leaders = materialise(keys.groupBy("band").agg(F.min("doc_id").alias("near_id"), F.max("doc_id").alias("most")).where("most > near_id").select("band", "near_id"), "band-leaders")
-    candidates = keys.join(leaders, "band").where("doc_id > near_id").select("doc_id", "near_id").distinct()
-    known = found.select("doc_id", "fingerprint").dropDuplicates(["doc_id"])
-    both = candidates.join(known, "doc_id").join(known.select(F.col("doc_id").alias("near_id"), F.col("fingerprint").alias("led")), "near_id")
+    keys = []
+    for level in (fingerprint[0], fingerprint[0] + 1):
+        kept = _at_level(fingerprint, level)
+        if not len(kept):
+            continue
+        longest = int(len(kept) / least + 1e-9)
+        written = mix((np.arange(1, len(kept) + 1, dtype=np.uint64) << np.uint64(8)) | kept)
+        for n in sorted({_dealt(m, least) for m in range(len(kept), longest + 1)}):
+            padded = np.zeros(-(-len(kept) // n) * n, np.uint64)
+            padded[: len(kept)] = written
+            own = np.uint64(level << 40) | (np.uint64(n) << np.uint64(20)) | np.arange(n, dtype=np.uint64)
+            keys.append(mix(padded.reshape(-1, n).sum(axis=0) + mix(own)))
+    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+
+
+def _dealt(longest: int, least: float) -> int:
+    """Blocks for pairs whose longer fingerprint has so many bytes, in steps of four so that few numbers are needed."""
+    return (int((1 - least) * longest + 1e-9) // 4 + 1) * 4
+
+
+def _keyed(least: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for row in batch.to_pylist():
+                keys = blocks(bytes.fromhex(row["fingerprint"]), least)
+                held.append((row, mix(keys ^ mix(np.array([row["band"]], np.int64).view(np.uint64))).view(np.int64)))
+                size += len(keys)
+                if size > 1 << 16:
+                    yield _key_rows(held)
+                    held, size = [], 0
+            if held:
+                yield _key_rows(held)
+
+    return work
+
+
+def _key_rows(held: list[tuple[dict, np.ndarray]]) -> pa.RecordBatch:
+    n = [len(keys) for _, keys in held]
+    repeat = lambda name, kind: pa.array(np.repeat(np.array([row[name] for row, _ in held], kind), n))
+    return pa.RecordBatch.from_arrays([repeat("node", np.int64), repeat("first_id", np.int64), repeat("seeks", bool), pa.array(np.concatenate([k for _, k in held]))],
+                                      ["node", "first_id", "seeks", "key"])
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [sorted(set(bands(bytes.fromhex(f)))) for f in batch.column("fingerprint").to_pylist()]
+        n = [len(k) for k in keys]
+        flat = np.array([k for own in keys for k in own], np.int64)
+        repeat = lambda name: pa.array(np.repeat(batch.column(name).to_numpy(), n))
+        yield pa.RecordBatch.from_arrays([repeat("node"), repeat("first_id"), pa.array(flat)], ["node", "first_id", "band"])
+
+
+def _near(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Those pairs ``node, other, other_id`` whose fingerprints are alike enough, compared byte by byte."""
+    known = classes.select("node", "fingerprint")
+    both = pairs.join(known, "node").join(known.select(F.col("node").alias("other"), F.col("fingerprint").alias("led")), "other")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("fingerprint").to_pylist(), batch.column("led").to_pylist()
-            yield batch.select(["doc_id", "near_id"]).filter(pa.array([likeness(bytes.fromhex(x), bytes.fromhex(y)) >= least for x, y in zip(a, b)], pa.bool_()))
+            yield batch.select(["node", "other", "other_id"]).filter(pa.array([likeness(bytes.fromhex(x), bytes.fromhex(y)) >= least for x, y in zip(a, b)], pa.bool_()))
 
-    return both.mapInArrow(verify, "doc_id long, near_id long").groupBy("doc_id").agg(F.min("near_id").alias("near_id"))
+    return materialise(both.mapInArrow(verify, "node long, other long, other_id long"), "near-pairs")
+
+
+def near_leaders(found: DataFrame, least: float = 0.8) -> DataFrame:
+    """``doc_id, near_id``: the smallest doc_id below it that shares a band with the document and is verified as near.
+
+    Documents of equal fingerprints are one class from the start, with its smallest doc_id. A band's classes are
+    first compared with its smallest one, and those that are not near it with the next ``FIRST`` ones. What is still
+    without a near one in a larger band is compared with all the others of the band that could be near: those that
+    share one of the :func:`blocks`. So a band of any size costs a few candidates a row where its documents are
+    alike, while no near pair of a band is left out. A class that has found a smaller one elsewhere looks no
+    further. Null doc_ids and empty texts have no near one and are none.
+    """
+    docs = found.where("n_chars > 0 AND doc_id IS NOT NULL").select("doc_id", "fingerprint")
+    classes = materialise(docs.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    keys = classes.select("node", "first_id", "fingerprint").mapInArrow(_banded, "node long, first_id long, band long")
+    smallest = F.min(F.struct("first_id", "node"))
+    leaders = materialise(keys.groupBy("band").agg(smallest.alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
+                          .select("band", "size", F.col("m.node").alias("lead"), F.col("m.first_id").alias("lead_id")), "band-leaders")
+    shared = materialise(keys.join(leaders, "band").where("node <> lead"), "bands")
+    pair = ["node", F.col("lead").alias("other"), F.col("lead_id").alias("other_id")]
+    near = _near(shared.where("lead_id < first_id").select(*pair).distinct(), classes, least)
+
+    def seekers(rows: DataFrame, upto, near: DataFrame) -> DataFrame:
+        """Rows of a band that may still find a smaller near one than any they have, beyond ``upto`` of the band."""
+        best = near.groupBy("node").agg(F.min("other_id").alias("best"))
+        return rows.join(best, "node", "left").where((F.col("first_id") > upto) & (F.col("best").isNull() | (F.col("best") > upto))).drop("best")
+
+    still = materialise(seekers(shared.where("size > 2"), F.col("lead_id"), near), "seekers")
+    place = F.row_number().over(Window.partitionBy("band").orderBy("first_id", "node"))
+    members = shared.where("size > 2").join(still.select("band").distinct(), "band", "left_semi").select("band", "node", "first_id")
+    heads = materialise(members.withColumn("place", place).where(F.col("place") <= FIRST), "band-heads")
+    aside = heads.select("band", F.col("node").alias("other"), F.col("first_id").alias("other_id"))
+    near = near.unionByName(_near(still.join(aside, "band").where("other_id < first_id").select("node", "other", "other_id").distinct(), classes, least))
+
+    ends = heads.groupBy("band").agg(F.max("first_id").alias("upto"))
+    open_rows = materialise(seekers(still.where(F.col("size") > FIRST + 1).join(ends, "band"), F.col("upto"), near).select("band", "node", "first_id", "upto"), "open-rows")
+    beyond = members.join(open_rows.groupBy("band").agg(F.first("upto").alias("upto")), "band").where("first_id >= upto")
+    listed = beyond.join(open_rows.select("band", "node", F.lit(True).alias("seeks")), ["band", "node"], "left")
+    listed = listed.join(classes.select("node", "fingerprint"), "node").select("band", "node", "first_id", F.coalesce("seeks", F.lit(False)).alias("seeks"), "fingerprint")
+    entries = materialise(listed.mapInArrow(_keyed(least), "node long, first_id long, seeks boolean, key long"), "block-keys")
+    # a key without two classes, or without one that seeks, gives no pair
+    met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("seeks").alias("any")).where("n > 1 AND any").select("key")
+    entries = entries.join(met, "key")
+    others = entries.select("key", F.col("node").alias("other"), F.col("first_id").alias("other_id"))
+    more = entries.where("seeks").join(others, "key").where("other_id < first_id").select("node", "other", "other_id").distinct()
+    near = near.unionByName(_near(more, classes, least))
+
+    best = near.groupBy("node").agg(F.min("other_id").alias("best"))
+    named = materialise(classes.join(best, "node", "left").select("fingerprint", F.coalesce("best", "first_id").alias("near_id")), "near-classes")
+    return docs.join(named, "fingerprint").where("near_id < doc_id").groupBy("doc_id").agg(F.min("near_id").alias("near_id"))
 
 
 def op1_edit_fingerprint(spark, sf_dir: str) -> DataFrame:
     found = fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     near = near_leaders(found)
-    return found.join(near, "doc_id", "left").drop("bands")
+    return found.join(near, "doc_id", "left")

@@ -74,3 +74,51 @@ def test_edges(spark):
     assert ee.fingerprint_documents(spark.createDataFrame([], SCHEMA)).collect() == []
     one = ee.fingerprint_documents(spark.createDataFrame([(1, "abcdefgh", "", 0, 0)], SCHEMA)).collect()
     assert [(r["n_chars"], r["near_next"]) for r in one] == [(8, 1.0)]
+
+
+def nearest(found, least=0.8):
+    """The smallest near doc_id of each document by comparing all pairs that share a band."""
+    keys = {d: set(ee.bands(f)) for d, f in found.items()}
+    out = {}
+    for d, f in found.items():
+        near = [e for e, g in found.items() if e < d and keys[d] & keys[e] and ee.likeness(f, g) >= least]
+        if near:
+            out[d] = min(near)
+    return out
+
+
+def test_every_near_pair_of_a_band(spark):
+    passage = prose(60)[:300]
+    texts = [passage + " " + prose(60)[:200] for _ in range(40)]
+    rows = list(enumerate(texts)) + [(100 + i, t) for i, t in enumerate(texts)] + [(200 + i, t + " more") for i, t in enumerate(texts)]
+    for i, t in enumerate(texts[:20]):
+        words = t.split(" ")
+        words[20:25] = prose(5).split(" ")
+        rows.append((300 + i, " ".join(words)))
+    found = dict(zip([d for d, _ in rows], ee.fingerprints([t for _, t in rows])))
+    docs = spark.createDataFrame([(d, t, "", 0, 0) for d, t in rows], SCHEMA)
+    got = {r["doc_id"]: r["near_id"] for r in ee.near_leaders(ee.fingerprint_documents(docs)).collect()}
+    assert got == nearest(found) and got[139] == 39
+
+
+def test_copies_apart_from_the_leader(spark):
+    rows = []
+    for k in range(0, 1000, 100):
+        passage = prose(70)[:330]
+        a, b = (passage + " " + prose(50)[:170] for _ in range(2))
+        rows += [(k + 1, a, "", 0, 0), (k + 50, b, "", 0, 0), (k + 60, b, "", 0, 0)]
+    got = {r["doc_id"]: r["near_id"] for r in ee.near_leaders(ee.fingerprint_documents(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert {d: got.get(d) for d in range(60, 1000, 100)} == {d: d - 10 for d in range(60, 1000, 100)}
+
+
+def test_blocks_meet_at_the_threshold():
+    rng = ee.np.random.default_rng(4)
+    for n in [*range(1, 140, 3), 127]:
+        a = rng.integers(0, 256, n, dtype=ee.np.uint8)
+        for short in {n, max(1, n - n // 10)}:
+            b = a[:short].copy()
+            left = n // 5 - (n - short)
+            b[rng.choice(short, left, replace=False)] += 1
+            x, y = bytes([3]) + a.tobytes(), bytes([3]) + b.tobytes()
+            assert ee.likeness(x, y) >= 0.8
+            assert set(ee.blocks(x, 0.8).tolist()) & set(ee.blocks(y, 0.8).tolist())
