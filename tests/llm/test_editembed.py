@@ -122,3 +122,26 @@ def test_blocks_meet_at_the_threshold():
             x, y = bytes([3]) + a.tobytes(), bytes([3]) + b.tobytes()
             assert ee.likeness(x, y) >= 0.8
             assert set(ee.blocks(x, 0.8).tolist()) & set(ee.blocks(y, 0.8).tolist())
+
+
+def test_edits_anywhere_share_a_band():
+    RNG.seed(6)
+    pairs, places = [], []
+    for _ in range(300):
+        words = prose(RNG.choice([85, 100, 170, 320])).split(" ")
+        n = len(words)
+        for place, at in (("start", 0), ("middle", n * 2 // 5), ("end", n - n // 6)):
+            changed = words.copy()
+            changed[at : at + n // 6] = prose(n // 6).split(" ")
+            pairs += [" ".join(words), " ".join(changed)]
+            places.append(place)
+    prints = ee.fingerprints(pairs)
+    near, met = ee.np.zeros(3), ee.np.zeros(3)
+    for k, place in enumerate(places):
+        a, b = prints[2 * k], prints[2 * k + 1]
+        if ee.likeness(a, b) >= 0.8:
+            near[k % 3] += 1
+            met[k % 3] += bool(set(ee.bands(a)) & set(ee.bands(b)))
+    assert near.min() > 20 and (met / near).min() > 0.97
+    short = ee.fingerprints(["x", "xy", "a b", prose(2), prose(5)])
+    assert all(ee.bands(f) for f in short)
