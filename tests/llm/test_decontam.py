@@ -73,3 +73,40 @@ def test_empty(spark):
     assert dc.find_leaks(none, some).collect() == []
     one = spark.createDataFrame([(1, "a b c d e f", 0, "")], DOCS)
     assert dc.find_leaks(one, some.limit(0)).collect() == [] and dc.drop_leaking(one, some.limit(0)).count() == 1
+
+
+def brute_longer(docs, items, least):
+    """Items that are longer than the document: its whole shingles against theirs."""
+    out = {}
+    shingles = lambda w: Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))
+    for d, t, *_ in docs:
+        for i, it, *_ in items:
+            w, m = words(t), words(it)
+            if len(m) > len(w) >= 5:
+                a, b = shingles(w), shingles(m)
+                alike = sum((a & b).values()) / sum((a | b).values())
+                if alike >= least:
+                    out[d, i] = round(alike, 9), 1
+    return out
+
+
+def test_documents_shorter_than_the_item(spark, monkeypatch):
+    monkeypatch.setattr(dc, "ITEMS_AT_ONCE", 9)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    same = text(20)
+    items = [(i, text(n), 0) for i, n in enumerate([9, 10, 13, 14, 20, 40, 60, 60, 200])] + [(10, "a b " * 15, 0)] + [(20 + i, same + " " + text(40), 0) for i in range(8)]
+    docs = []
+    for i, it, _ in items:
+        w = it.split()
+        for cut in range(1, len(w) // 4 + 1):
+            docs += [w[:-cut], w[cut:], w[cut // 2 : len(w) - cut + cut // 2]]
+            changed = w[:-cut]
+            changed[rng.randrange(len(changed))] = "other"
+            docs.append(changed)
+    docs = [(d, " ".join(w).upper(), 1, "") for d, w in enumerate(docs)]
+    d, b = spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS)
+    want = brute_longer(docs, items, 0.8)
+    assert {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["n_windows"]) for r in dc.find_leaks(d, b).collect()} == want and len(want) > 100
+    assert {r["doc_id"] for r in dc.drop_leaking(d, b).collect()} == {x[0] for x in docs} - {k[0] for k in want}
