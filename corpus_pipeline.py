@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again
 as the next one's documents. All stages but the last return the columns of documents; the last returns the mix: how
-often, and with how many words, each document that is left is taken.
+often, and with how many words, each document that is left is taken, and the texts that this gives.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources to their target weights."""
-    return mixing.mix(docs)
+    """The mix of the sources to their target weights: the plan of each document, and its texts, none if it is left out."""
+    return mixing.take(docs)
 
 
 STAGES = [

@@ -59,9 +59,15 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 2) -> DataFrame:
     doc_id is drawn by its size; repeated rows count as often as they occur; an empty table gives an
     empty result; columns other than doc_id, text and source are not read.
     """
+    return _plan(docs, seed, max_epochs)
+
+
+def _plan(docs: DataFrame, seed: str, max_epochs: int, *more: Column) -> DataFrame:
+    """The columns of :func:`mix`, and ``more`` ones of ``docs`` after them."""
     rows = materialise(docs.select(
         F.col("doc_id"), F.col("source").alias("key"), n_words(F.col("text")).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("draw"),
+        F.struct(F.lit(0).alias("_"), *more).alias("more"),
     ), "mix-sizes")
     totals = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     ranked = totals.withColumn("rank", F.row_number().over(Window.orderBy(F.col("key").asc_nulls_last())) - 1)
@@ -72,7 +78,7 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 2) -> DataFrame:
     joined = rows.join(sources.withColumnRenamed("key", "source_key"), F.col("key").eqNullSafe(F.col("source_key")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     drawn = joined.select(
-        "doc_id", F.col("key").alias("source"), "size", "source_size", "target", "draw", "rank",
+        "doc_id", F.col("key").alias("source"), "size", "source_size", "target", "draw", "rank", "more",
         F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("part"),
         (hex_number(F.col("draw"), 1) % cells).alias("cell"),
     )
@@ -86,8 +92,38 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 2) -> DataFrame:
     copies = (F.col("whole") + F.col("extra")).cast("long")
     return filled.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "part_words",
-        (copies * F.col("size") + F.col("part_words")).cast("long").alias("taken"),
-    )
+        (copies * F.col("size") + F.col("part_words")).cast("long").alias("taken"), "more.*",
+    ).drop("_")
+
+
+def first_words(text: Column, count: Column) -> Column:
+    """The text up to the end of its ``count``-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), F.lit(1), count.cast("int")), "")
+
+
+def take(docs: DataFrame, seed: str = "mix", max_epochs: int = 2) -> DataFrame:
+    """The columns of :func:`mix` and ``texts``: what of each row is taken, the whole text for each of its copies, then the part.
+
+    The part is the text up to the end of its word ``part_words``. A row of which nothing is taken has no texts.
+    Rows alike in doc_id, source and text are matched with their plans one by one.
+    """
+    def numbered(rows: DataFrame, th: Column) -> DataFrame:
+        keys = rows.withColumns({"k1": F.xxhash64("doc_id", "source", th), "k2": F.xxhash64(th, "source", "doc_id")})
+        return keys.withColumn("k", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")))
+
+    plan = numbered(_plan(docs, seed, max_epochs, F.xxhash64("text").alias("th")), F.col("th")).drop("th")
+    whole = numbered(docs.select("doc_id", "source", "text"), F.xxhash64("text")).drop("doc_id", "source")
+    text, part = F.col("text"), F.col("part_words")
+    cut = F.when(part < F.col("size"), first_words(text, part)).otherwise(text)
+    none = F.array().cast("array<string>")
+    texts = F.concat(F.array_repeat(text, F.col("copies").cast("int")), F.when(part > 0, F.array(cut)).otherwise(none))
+    found = plan.join(whole, ["k1", "k2", "k"]).withColumn("texts", F.when(F.col("taken") > 0, texts).otherwise(none))
+    return found.drop("k1", "k2", "k", "text")
+
+
+def copies(taken: DataFrame) -> DataFrame:
+    """``doc_id, source, copy, text``: a row for each text that :func:`take` gives out, copies numbered from 0."""
+    return taken.select("doc_id", "source", F.posexplode("texts").alias("copy", "text"))
 
 
 ORACLE = r"""

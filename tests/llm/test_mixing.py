@@ -2,7 +2,7 @@ from collections import defaultdict
 
 import pytest
 
-from modelkeel.llm.mixing import mix
+from modelkeel.llm.mixing import copies, mix, take
 
 SCHEMA = "doc_id long, text string, source string, size string, rank int"
 
@@ -51,3 +51,23 @@ def test_odd_rows(spark):
     assert sorted(r["size"] for r in got) == [0, 0, 2, 2, 2]
     assert rows(spark, []) == []
     assert [(r["target"], r["taken"]) for r in rows(spark, [(1, None, "s", None, 1)])] == [(0.0, 0)]
+
+
+def test_texts_are_what_the_plan_takes(spark):
+    data = [(i, f" w{i}\n" + "w \tx " * (i * i % 37) + "end ", ["a", "b", "c", "d", None, "hot"][min(i % 9, 5)], "x", i) for i in range(400)]
+    data += [(None, "a b", None, None, None), (1, None, "s", None, 1), (1, " ", "s", None, 1)] + [(2, "a b c", "s", None, 1)] * 2 + [(2, "a b d", "s", None, 1), (3, "big \n" * 3000, "s", None, 1)]
+    docs = spark.createDataFrame(data, SCHEMA).repartition(3)
+    got = [r.asDict() for r in take(docs).collect()]
+    plan = lambda rows: sorted(str({k: v for k, v in r.items() if k != "texts"}) for r in rows)
+    assert plan(got) == plan(r.asDict() for r in mix(docs).collect())
+    given = {(d, s, t) for d, t, s, *_ in data}
+    for r in got:
+        whole, part = r["texts"][: r["copies"]], r["texts"][r["copies"] :]
+        assert sum(len(t.split()) for t in r["texts"]) == r["taken"]
+        assert all((r["doc_id"], r["source"], t) in given and len(t.split()) == r["size"] for t in whole)
+        assert len(part) == (r["part_words"] > 0) and all(len(t.split()) == r["part_words"] for t in part)
+        assert all(any(w.startswith(t) for d, s, w in given if w and (d, s) == (r["doc_id"], r["source"])) for t in part)
+    assert any(0 < r["part_words"] < r["size"] for r in got) and any(not r["texts"] for r in got)
+    rows = copies(take(docs)).collect()
+    assert len(rows) == sum(len(r["texts"]) for r in got) and sum(len(r["text"].split()) for r in rows) == sum(r["taken"] for r in got)
+    assert take(docs.limit(0)).collect() == []
