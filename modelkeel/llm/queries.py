@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from modelkeel.llm import bottomk, chat, decontam, editembed, linededup, logbilinear, mixing, nbsvm, suffixdedup, warc
+from modelkeel.llm import (
+    bottomk, chat, decontam, editembed, linededup, logbilinear, mixing, nbsvm, periodic, personal, spelling, suffixdedup, warc,
+)
 
 QUERIES = {
     "op1_edit_fingerprint": editembed.op1_edit_fingerprint,
@@ -15,5 +17,8 @@ QUERIES = {
     "op8_bottom_k": bottomk.op8_bottom_k,
     "op9_chat_format": chat.op9_chat_format,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op11_personal_data": personal.op11_personal_data,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLES = {"op2_mix_sources": mixing.ORACLE, "op4_warc": warc.ORACLE}
