@@ -14,6 +14,7 @@ from catalogue import (  # noqa: F401  (importing registers the queries)
     slo,
     split,
     streams,
+    trailing,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

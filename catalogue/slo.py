@@ -155,46 +155,6 @@ HOLD_SQL = f"""
            CASE WHEN max(t) - min(t) >= 7200 THEN min(t) + 7200 ELSE -1 END AS firing_from_s FROM n GROUP BY use_case, span"""
 
 
-@query("alert_hold", HOLD_SQL)
-def alert_hold(t: Tables) -> DataFrame:
-    """Spans of critical fallback ratio on an hourly grid; firing after two hours."""
-    grid = r.ratio_by_window(t.calls, F.col("source") == "fallback", ["use_case"], "1 hour")
-    spans = a.alert_holds(grid, ["use_case"], F.col("ratio") > r.FALLBACK_CRITICAL, step_seconds=3600, hold_seconds=7200)
-    return spans.withColumn("firing_from_s", F.coalesce("firing_from_s", F.lit(-1)))
-
-
-_CANARY = f"""
-    WITH {_histogram_sql("window_start, use_case", f"SELECT {SIX_HOURS} AS window_start, * FROM {{calls}} WHERE contains(pod, '5d2b')")},
-    p99 AS (SELECT window_start, use_case, value FROM quant WHERE q = 0.99),
-    sums AS (SELECT window_start, use_case, avg((outcome = 'error')::INT) AS err, avg((source = 'fallback')::INT) AS fb FROM src GROUP BY 1, 2),
-    checks AS (SELECT window_start, use_case, 'error-ratio' AS "check", err AS value, NOT (err < 0.02) AS failed FROM sums
-        UNION ALL SELECT window_start, use_case, 'fallback-ratio', fb, NOT (fb < 0.2) FROM sums
-        UNION ALL SELECT window_start, use_case, 'p99-latency', value, NOT (value < 0.3) FROM p99)"""
-
-
-def _canary(t: Tables) -> DataFrame:
-    """Checks of the pods of one hash: two ratios and the p99 of every six-hour window."""
-    calls = t.calls.filter(F.contains("pod", F.lit("5d2b")))
-    ratios = a.canary_checks(calls, ["use_case"], "6 hours", error=F.col("outcome") == "error", fallback=F.col("source") == "fallback")
-    stamped = calls.withColumn("window_start", F.window("ts", "6 hours").getField("start"))
-    keys = ["window_start", "use_case"]
-    quantiles = h.histogram_quantiles(h.bucket_counts(stamped, F.col("latency"), keys), keys, [0.99])
-    return ratios.unionByName(a.latency_checks(quantiles, ["use_case"]))
-
-
-@query("canary_checks", _CANARY + 'SELECT window_start, use_case, "check", round(value, 6) AS value, failed FROM checks')
-def canary_checks(t: Tables) -> DataFrame:
-    return _canary(t).select(stamp("window_start").alias("window_start"), "use_case", "check", r6("value").alias("value"), "failed")
-
-
-@query("canary_verdict", _CANARY + """,
-    v AS (SELECT *, sum(failed::INT) OVER (PARTITION BY use_case, "check" ORDER BY window_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS failures FROM checks)
-    SELECT window_start, use_case, "check", CAST(failures AS BIGINT) AS failures, failures > 1 AS aborted FROM v""")
-def canary_verdict(t: Tables) -> DataFrame:
-    verdicts = a.canary_verdicts(_canary(t), ["use_case"])
-    return verdicts.select(stamp("window_start").alias("window_start"), "use_case", "check", "failures", "aborted")
-
-
 @query("failure_streaks", """
     WITH s AS (SELECT *, sum((outcome = 'ok')::INT) OVER (PARTITION BY model ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM {calls}),
     n AS (SELECT model, row_number() OVER (PARTITION BY model, island ORDER BY ts, event_id) AS streak FROM s WHERE outcome <> 'ok')

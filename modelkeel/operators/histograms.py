@@ -31,11 +31,12 @@ def histogram_quantiles(buckets: DataFrame, by: Sequence[str], quantiles: Sequen
     """``by…, q, value`` by linear interpolation inside the bucket that holds the rank.
 
     The lowest bucket starts at 0; a rank in the +Inf bucket gives the highest finite bound.
-    Buckets may come from many series: equal bounds are added up first. The window sees one
-    row per bound.
+    Buckets may come from many series: equal bounds are added up first. A bound that shows less than
+    a lower one, as rates of bounds read apart can, is raised to it. The window sees one row per bound.
     """
-    summed = buckets.groupBy(*by, "le").agg(F.sum("n").alias("n"))
     in_order = Window.partitionBy(*by).orderBy("le")
+    summed = buckets.groupBy(*by, "le").agg(F.sum("n").alias("n"))
+    summed = summed.withColumn("n", F.max("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy(*by)
     edges = (
         summed.withColumn("below", F.coalesce(F.lag("n").over(in_order), F.lit(0)))

@@ -20,12 +20,17 @@ from pyspark.sql import types as T
 #: Rows one task should hold, and the most chunks the summaries may have per key.
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 10_000
-#: Distance between chunk numbers, above the number of cuts a tied value can get.
-TIE_SPAN = 1_000_000
+#: Distances between chunk numbers: above the number of cuts a tied value can get, and that of the tied values and what
+#: lies between them.
+TIE_SPAN = 2 * MAX_CHUNKS
+VALUE_SPAN = TIE_SPAN * 4 * MAX_CHUNKS
 
 
 def axis_number(df: DataFrame, column: str) -> Column:
-    """An order column as a double that keeps its order exactly (microseconds for times)."""
+    """An order column as a double that never falls as the column grows (microseconds for times).
+
+    Large whole numbers share a double with their neighbours, so it may only cut the axis, not tell values apart.
+    """
     kind = df.schema[column].dataType
     if isinstance(kind, T.TimestampNTZType):
         return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
@@ -48,6 +53,22 @@ def _bucket(df: DataFrame, axis: Column, borders: Sequence[float], name: str) ->
     return bucketizer.transform(staged).drop("_axis").withColumn(name, F.col(name).cast("int"))
 
 
+def _tied_values(sized: DataFrame, first: str, repeated: Sequence[float], rows_per_chunk: int) -> list:
+    """The values, in their own type, that fill a chunk alone; fewer than the chunks, as each holds that many rows."""
+    near = sized.filter(axis_number(sized, first).isin(list(repeated)))
+    counted = near.groupBy(F.col(first).alias("v")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= rows_per_chunk)
+    return sorted(r["v"] for r in counted.orderBy(F.desc("n")).limit(MAX_CHUNKS).collect())
+
+
+def _place_among(value: Column, tied: Sequence, kind: T.DataType) -> Column:
+    """0 below the first tied value, 1 on it, 2 between it and the second, and so on: never falls as ``value`` grows."""
+    if len(tied) <= 16:
+        literals = [F.lit(v).cast(kind) for v in tied]
+        return sum((value > v).cast("long") + (value >= v).cast("long") for v in literals)
+    known = F.array(*[F.lit(v).cast(kind) for v in tied])
+    return (F.size(F.filter(known, lambda v: value > v)) + F.size(F.filter(known, lambda v: value >= v))).cast("long")
+
+
 def with_chunks(
     df: DataFrame, order: Sequence[str], *, rows_per_chunk: int = ROWS_PER_CHUNK, name: str = "chunk",
     measured: DataFrame | None = None,
@@ -55,8 +76,9 @@ def with_chunks(
     """Add a ``chunk`` number that never falls as the order columns grow.
 
     ``order`` is one column, or a time-like column followed by a unique integer tie-breaker.
-    A first-column value so frequent that it fills whole chunks gets a bucket of its own and
-    is cut further along the tie-breaker, so ties cannot pile up in one task either.
+    A first-column value so frequent that it fills whole chunks gets a place of its own, by
+    comparisons in its own type, and is cut further along the tie-breaker, so ties cannot pile
+    up in one task either.
 
     ``measured`` may name a cheaper frame to take sizes and cuts from, such as the raw rows
     ``df`` was aggregated from: they hold the same order columns at least as often.
@@ -70,21 +92,20 @@ def with_chunks(
     axis = axis_number(df, first)
     borders = _borders(sized.select(axis_number(sized, first).alias("_axis")), chunks)
     repeated = sorted({x for x in borders if borders.count(x) > 1}) if len(set(borders)) < len(borders) else []
-    if repeated and tie:
-        step = 1.0  # times and integer keys: the next value starts a new bucket
-        borders = [*borders, *[x + step for x in repeated]]
+    tied = _tied_values(sized, first, repeated, rows_per_chunk) if repeated and tie else []
     cut = _bucket(df, axis, borders, "_a")
-    if repeated and tie:
-        hot = axis.isin(repeated)
-        tied = sized.filter(axis_number(sized, first).isin(repeated))
-        ties = _borders(tied.select(axis_number(sized, tie).alias("_axis")), chunks)
-        cut = _bucket(cut, axis_number(df, tie), ties, "_b")
-        second = F.when(hot, F.col("_b")).otherwise(F.lit(0))
-    else:
-        second = F.lit(0)
+    place = cut_tie = F.lit(0)
+    if tied:
+        kind = df.schema[first].dataType
+        among = F.filter(F.array(*[F.lit(v).cast(kind) for v in tied]), lambda v: v == F.col(first))
+        held = sized.filter(axis_number(sized, first).isin(repeated))
+        cut = _bucket(cut, axis_number(df, tie), _borders(held.select(axis_number(held, tie).alias("_axis")), chunks), "_b")
+        place = _place_among(F.col(first), tied, kind)
+        cut_tie = F.when(F.size(among) > 0, F.col("_b")).otherwise(F.lit(0))
     # never null, like the order of the rows: a missing order value comes first. It also keeps
     # the joins on the number from repeating the cut in a null filter.
-    number = F.coalesce(F.col("_a").cast("long") * TIE_SPAN + second, F.lit(-1).cast("long"))
+    number = F.when(F.col(first).isNotNull(), F.col("_a").cast("long") * VALUE_SPAN + place * TIE_SPAN + cut_tie)
+    number = F.coalesce(number, F.lit(-1).cast("long"))
     return cut.withColumn(name, number).drop("_a", "_b")
 
 

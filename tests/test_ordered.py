@@ -39,6 +39,24 @@ def test_chunks_bound_ties(spark):
     assert sum(sizes) == 1000 and max(sizes) <= 250
 
 
+@pytest.mark.parametrize("kind, values", [
+    ("long", [2**60] * 12 + [2**60 + 1] * 5 + [2**60 + 2, 2**60 - 1]),  # one double holds them all
+    ("double", [0.5] * 9 + [0.7] * 2 + [0.1, 1.4, 1.6]),  # less than one apart from a tied value
+    ("long", [None, None, 1, 2, 2, 2, 2, 2]),
+])
+def test_tied_values_and_their_neighbours(spark, kind, values):
+    rng = random.Random(8)
+    rows = [("k", rng.choice(values), i) for i in rng.sample(range(10_000), 400)]
+    df = spark.createDataFrame(rows, f"k string, t {kind}, id long")
+    got = {r.id: r.x for r in running_sum_chunked(df, ["k"], ["t", "id"], F.col("id"), "x", rows_per_chunk=20).collect()}
+    total = 0
+    for _, t, ident in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        total += ident
+        assert got[ident] == total
+    chunks = with_chunks(df, ["t", "id"], rows_per_chunk=20).groupBy("chunk").count()
+    assert chunks.count() > 8
+
+
 def test_quantiles_in_many_chunks(spark, monkeypatch):
     import numpy as np
 

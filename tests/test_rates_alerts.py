@@ -70,10 +70,11 @@ def test_hold_needs_an_unbroken_run(spark):
 
 def test_canary_aborts_on_the_second_failure_of_four(spark):
     fails = [True, False, False, False, True, True, False]
-    rows = [("u", "c", at(i), f) for i, f in enumerate(fails)]
-    checks = spark.createDataFrame([(u, c, t, f) for u, c, t, f in rows], "k string, check string, window_start timestamp_ntz, failed boolean")
-    got = [x["aborted"] for x in a.canary_verdicts(checks, ["k"]).orderBy("window_start").collect()]
-    assert got == [False, False, False, False, False, True, True]
+    rows = [("u", "c", 30 * i, f) for i, f in enumerate(fails)] + [("u", "c", 30 * t, True) for t in (20, 24, 27)]
+    checks = spark.createDataFrame(rows, "k string, check string, t long, failed boolean")
+    got = [x["aborted"] for x in a.canary_verdicts(checks, ["k"]).orderBy("t").collect()]
+    # an evaluation without a row counts among the four: 20 and 24 lie apart, 24 and 27 do not
+    assert got == [False, False, False, False, False, True, True, False, False, True]
 
 
 def test_quiet_canary_passes(spark):
