@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalogue.base import Tables, query, r6
 from modelkeel.operators.drift import champion_rows, drift_levels, psi_by_column
 from modelkeel.operators.gate import compare_f1_macro
-from modelkeel.operators.registry import retrain_requests, with_lineage
+from modelkeel.operators.registry import champion_as_of, retrain_requests, validity, with_lineage
 
 #: Champion versions per use case and model, derived from the call log itself.
 _CHAMPIONS = "SELECT use_case, model, max(model_version) AS version FROM {calls} GROUP BY 1, 2"
@@ -86,3 +86,49 @@ def retrain_not_inflight(t: Tables) -> DataFrame:
     runs = t.runs.groupBy("use_case", "model").agg(F.max_by("phase", F.struct("ts", "o_orderkey")).alias("phase"))
     wanted = retrain_requests(drift_levels(report, ["use_case", "model"]), runs)
     return wanted.select("use_case", "model", r6("max_psi").alias("max_psi"))
+
+
+# --- the champion at the time of a record ------------------------------------------------------------------------------
+
+#: Promotions: the versions of a model change with every signup of one of its first users, some of them back.
+_PROMOTED = """promoted AS (SELECT model AS name, 'champion' AS alias, CAST(event_id % 4 AS INT) AS version, ts, event_id AS seq
+        FROM {calls} WHERE prediction = 'signup' AND user_id % 10 < 4)"""
+
+
+def _promoted(t: Tables) -> DataFrame:
+    chosen = t.calls.where("prediction = 'signup' AND user_id % 10 < 4")
+    return chosen.selectExpr("model AS name", "'champion' AS alias", "CAST(event_id % 4 AS INT) AS version", "ts", "event_id AS seq")
+
+
+@query("champion_intervals", f"""
+    WITH {_PROMOTED}, l AS (SELECT *, lag(version) OVER (PARTITION BY name ORDER BY ts, seq) AS p FROM promoted),
+    c AS (SELECT * FROM l WHERE p IS NULL OR p <> version)
+    SELECT name, version, epoch_us(ts) AS valid_from, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY name ORDER BY ts, seq), -1) AS valid_to FROM c""")
+def champion_intervals(t: Tables) -> DataFrame:
+    """When each version was champion."""
+    spans = validity(_promoted(t))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return spans.select("name", "version", micros("valid_from").alias("valid_from"), F.coalesce(micros("valid_to"), F.lit(-1)).alias("valid_to"))
+
+
+@query("champion_as_of", f"""
+    WITH {_PROMOTED}
+    SELECT c.event_id, c.model, coalesce(p.version, -1) AS champion, CAST(c.event_id % 4 AS INT) = p.version AS served_by_it
+    FROM {{calls}} c ASOF LEFT JOIN promoted p ON c.model = p.name AND c.ts >= p.ts""")
+def champion_of_each_call(t: Tables) -> DataFrame:
+    """The champion when each call was made, and whether it served it."""
+    records = t.calls.selectExpr("event_id AS id", "model AS name", "ts", "CAST(event_id % 4 AS INT) AS served")
+    known = champion_as_of(records, _promoted(t))
+    return known.select(F.col("id").alias("event_id"), F.col("name").alias("model"), F.coalesce("champion", F.lit(-1)).alias("champion"),
+                        (F.col("served") == F.col("champion")).alias("served_by_it"))
+
+
+@query("drift_rows_as_of", f"""
+    WITH {_PROMOTED}, known AS (SELECT c.model, c.value, CAST(c.event_id % 4 AS INT) AS served, p.version
+                                FROM {{calls}} c ASOF LEFT JOIN promoted p ON c.model = p.name AND c.ts >= p.ts)
+    SELECT model, version, count(*) AS n, round(sum(value), 4) AS total FROM known WHERE served = version GROUP BY 1, 2""")
+def drift_rows_as_of(t: Tables) -> DataFrame:
+    """Live rows that the champion of their own time answered, by version: what a judgement of each version may see."""
+    records = t.calls.selectExpr("event_id AS id", "model AS name", "ts", "CAST(event_id % 4 AS INT) AS served", "value")
+    kept = champion_as_of(records, _promoted(t)).where("served = champion")
+    return kept.groupBy(F.col("name").alias("model"), F.col("champion").alias("version")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -136,14 +136,17 @@ _QUANTILE = """
         sum(n) OVER (PARTITION BY use_case, pod, handler, le, (t0 - 1) // {DAY} ORDER BY t0) AS value FROM cells),
     {increase_sql("scrapes", "use_case, pod, handler, le", HALF_HOUR, (21600,))},
     buckets AS (SELECT use_case, t, le, sum(increase / r) AS n FROM inc WHERE increase IS NOT NULL GROUP BY 1, 2, 3), {_QUANTILE}
-    SELECT use_case, CAST(t AS BIGINT) AS t, CAST(q AS DOUBLE) AS q, round(value, 8) AS value FROM quant""")
+    SELECT use_case, CAST(t AS BIGINT) AS t, CAST(q AS DOUBLE) AS q, round(value + 1e-10, 8) AS value FROM quant""")
 def bucket_quantile(t: Tables) -> DataFrame:
-    """Median and p99 of the public handlers over the last six hours, from scraped bucket counters that restart."""
+    """Median and p99 of the public handlers over the last six hours, from scraped bucket counters that restart.
+
+    Many values end in a five at the last digit; the small addend makes both engines round them up.
+    """
     series = ["use_case", "pod", "handler"]
     public = t.calls.where(matches_label(F.col("handler"), "/v1/.*")).withColumn("t", tr.evaluation("ts", TEN_MINUTES))
     scrapes = _scraped(h.bucket_counts(public, F.col("latency"), [*series, "t"]), [*series, "le"])
     rates = tr.bucket_rates(scrapes, series, ["use_case"], HALF_HOUR, [21600])
-    return h.histogram_quantiles(rates, ["use_case", "t"], [0.5, 0.99]).select("use_case", "t", "q", F.round("value", 8).alias("value"))
+    return h.histogram_quantiles(rates, ["use_case", "t"], [0.5, 0.99]).select("use_case", "t", "q", F.round(F.col("value") + 1e-10, 8).alias("value"))
 
 
 # --- what is decided on the grid ------------------------------------------------------------------------------------

@@ -22,7 +22,7 @@ ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 10_000
 #: Distances between chunk numbers: above the number of cuts a tied value can get, and that of the tied values and what
 #: lies between them.
-TIE_SPAN = 2 * MAX_CHUNKS
+TIE_SPAN = 2 * MAX_CHUNKS + 2
 VALUE_SPAN = TIE_SPAN * 4 * MAX_CHUNKS
 
 
@@ -101,7 +101,8 @@ def with_chunks(
         held = sized.filter(axis_number(sized, first).isin(repeated))
         cut = _bucket(cut, axis_number(df, tie), _borders(held.select(axis_number(held, tie).alias("_axis")), chunks), "_b")
         place = _place_among(F.col(first), tied, kind)
-        cut_tie = F.when(F.size(among) > 0, F.col("_b")).otherwise(F.lit(0))
+        # a missing tie-breaker comes first, as in the order of the rows
+        cut_tie = F.when((F.size(among) > 0) & F.col(tie).isNotNull(), F.col("_b") + 1).otherwise(F.lit(0))
     # never null, like the order of the rows: a missing order value comes first. It also keeps
     # the joins on the number from repeating the cut in a null filter.
     number = F.when(F.col(first).isNotNull(), F.col("_a").cast("long") * VALUE_SPAN + place * TIE_SPAN + cut_tie)
@@ -146,6 +147,24 @@ def lag_chunked(
     return _restore(inside.join(carry, CELL), df, keys, name, previous)
 
 
+def last_known_chunked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, **chunking
+) -> DataFrame:
+    """The last ``value`` that is not null, up to and with each row, per key in the given order, for keys of any size.
+
+    A row whose second order column is null comes before the others of its time.
+    """
+    cells = _cells(df, keys, order, chunking)
+    local = Window.partitionBy(*CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = cells.withColumn("_seen", F.last(value, ignorenulls=True).over(local))
+    ends = cells.filter(F.col(value).isNotNull()).groupBy(*CELL).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    # every cell takes over the last value of the cells before it, also where it has none itself
+    places = cells.select(*CELL).distinct().join(ends, CELL, "left")
+    before = F.last("_last", ignorenulls=True).over(_across().rowsBetween(Window.unboundedPreceding, -1))
+    carry = places.select(*CELL, before.alias("_carry"))
+    return _restore(inside.join(carry, CELL), df, keys, name, F.coalesce("_seen", "_carry"))
+
+
 def running_sum_chunked(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, **chunking
 ) -> DataFrame:

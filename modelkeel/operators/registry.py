@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelkeel.operators.ordered import lag_chunked, running_sum_chunked
+from modelkeel.operators.ordered import lag_chunked, last_known_chunked, running_sum_chunked
 from modelkeel.schema import columns
 from modelkeel.session import broadcast_if_small
 
@@ -32,6 +32,36 @@ def champions(events: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFr
     return current_aliases(events.filter(F.col("alias") == CHAMPION), order).drop("alias")
 
 
+def validity(events: DataFrame, order: Sequence[str] = ("ts", "seq"), alias: str = CHAMPION) -> DataFrame:
+    """``name, version, valid_from, valid_to`` of an alias: half-open intervals, the last one open (null).
+
+    Repeated promotions of one version are one interval; several events at one time leave the last one.
+    """
+    set_to = events.filter(F.col("alias") == alias).groupBy("name", order[0]).agg(F.max_by("version", F.struct(*order)).alias("version"))
+    by_time = Window.partitionBy("name").orderBy(order[0])
+    changed = set_to.withColumn("_before", F.lag("version").over(by_time)).filter(~F.col("version").eqNullSafe(F.col("_before")))
+    return changed.select("name", "version", F.col(order[0]).alias("valid_from"), F.lead(order[0]).over(by_time).alias("valid_to"))
+
+
+def champion_as_of(records: DataFrame, events: DataFrame, *, order: Sequence[str] = ("ts", "seq"), at: Sequence[str] = ("ts", "id"), **chunking) -> DataFrame:
+    """``records`` (with ``name``) and ``champion``: the version that was champion when each record was made.
+
+    An event counts for records of its own time and later ones; records before the first event have a null.
+    Events and records are put into one order, and the last event is carried to the records after it, across chunks of
+    bounded size: a model with most of the records is many tasks' work, and no record is compared with each interval.
+    """
+    promoted = events.filter(F.col("alias") == CHAMPION)
+    columns_ = [F.col(c) for c in records.columns]
+    kind = records.schema[at[1]].dataType
+    mine = records.select("name", F.col(at[0]).alias("_ts"), F.col(at[1]).alias("_id"), F.struct(*columns_).alias("_record"))
+    # events of one time come before its records, the last of them last
+    theirs = promoted.groupBy("name", F.col(order[0]).alias("_ts")).agg(F.max_by("version", F.struct(*order)).alias("_version"))
+    theirs = theirs.select("name", "_ts", F.lit(None).cast(kind).alias("_id"), "_version")
+    line = mine.unionByName(theirs, allowMissingColumns=True)
+    known = last_known_chunked(line, ["name"], ["_ts", "_id"], "_version", "champion", **chunking)
+    return known.filter(F.col("_record").isNotNull()).select("_record.*", "champion")
+
+
 def previous_champion(promotions: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """``name, champion, previous`` from champion events alone.
 
