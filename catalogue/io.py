@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,10 @@ from modelkeel.operators.drift import psi_by_column
 from modelkeel.operators.rates import latest
 from modelkeel.operators.split import sample_records as sampled
 from modelkeel.session import fresh_path
-from modelkeel.sources.datasets import RESULTS, files_since, read_dataset, scalar_entries, write_dataset
+from modelkeel.sources.datasets import (
+    RESULTS, newest_file_time, oldest_file_time, read_dataset, read_rows_since, rows_by_file, scalar_entries, write_dataset,
+)
+from modelkeel.sources.jsonunion import read_json_union, variant_text
 from modelkeel.sources.layout import uri_bucket, uri_key
 from modelkeel.sources.metric_text import drift_gauges, parse_samples
 from modelkeel.sources.records import append_log, log_window, read_json_lines, read_log, record_schema, with_log_partitions
@@ -52,12 +57,35 @@ def uri_parts(t: Tables) -> DataFrame:
     return t.pages.select("page_id", uri_bucket(uri).alias("bucket"), uri_key(uri).alias("object_key"))
 
 
-@query("files_since")
-def files_of_tables(t: Tables) -> DataFrame:
-    """Table files modified since a bound in the past, by metadata only."""
-    since = F.lit("1970-01-01 00:00:00").cast("timestamp")
-    listed = files_since(t.spark, t.folder, since, glob="*.parquet")
-    return listed.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes")
+@query("files_since", """
+    SELECT event_type, CAST(count(DISTINCT user_id % 3 > 0) AS BIGINT) AS landings, count(*) AS n, round(sum(value), 4) AS total
+    FROM events WHERE user_id % 3 > 0 GROUP BY 1""")
+def files_since_a_landing(t: Tables) -> DataFrame:
+    """Rows of the files that were landed after a bound: three landings, the bound lies at the second one's files.
+
+    The predicate on the file time picks the files before any of them is opened.
+    """
+    path = fresh_path(t.spark, "landings")
+    rest = t.events.select("event_id", "user_id", "event_type", "value")
+    rest.where("user_id % 3 = 0").write.parquet(path)
+    first = newest_file_time(t.spark.read.parquet(path))
+    rest.where("user_id % 3 = 1").write.mode("append").parquet(path)
+    rest.where("user_id % 3 = 2").write.mode("append").parquet(path)
+    landed = t.spark.read.schema(rest.schema).parquet(path)
+    recent = read_rows_since(landed, F.lit(first + timedelta(milliseconds=1)))
+    return recent.groupBy("event_type").agg(
+        F.count_distinct(F.col("user_id") % 3 > 0).alias("landings"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("rows_by_file", """
+    SELECT part, count(*) AS n FROM (SELECT CAST(event_id % 4 AS INT) AS part FROM events) GROUP BY 1""")
+def rows_of_each_file(t: Tables) -> DataFrame:
+    """Rows of every landed file, with none older than a bound in the past left out (the bound is inclusive)."""
+    path = fresh_path(t.spark, "parts")
+    t.events.select("event_id", (F.col("event_id") % 4).cast("int").alias("part")).repartition("part").write.partitionBy("part").parquet(path)
+    landed = t.spark.read.parquet(path)
+    counted = rows_by_file(landed, F.lit(oldest_file_time(landed)))
+    return counted.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("int").alias("part"), "n").groupBy("part").agg(F.sum("n").alias("n"))
 
 
 _RECORD_FEATURES = {"value": "double", "user_id": "long"}
@@ -258,3 +286,25 @@ def registry_names(t: Tables) -> DataFrame:
     return t.calls.select(
         registered_name("use_case", "model").alias("registered"), experiment_name("use_case", "model").alias("experiment")
     ).distinct()
+
+
+_LINE = """CASE event_type
+    WHEN 'purchase' THEN '{"id":' || event_id || ',"paid":' || CAST(user_id AS VARCHAR) || '.5,"k":' || json_extract_string(props, '$.k') || '}'
+    WHEN 'error' THEN '{"id":' || event_id || ',"k":"' || json_extract_string(props, '$.k') || '!","code":' || (500 + user_id % 4) || '}'
+    WHEN 'signup' THEN '{"id":' || event_id || ',"user":{"key":' || user_id || ',"tags":["a","' || event_type || '"]},"k":null}'
+    WHEN 'view' THEN '{"id":' || event_id || ',"paid":' || user_id || ',"odd key":true}' ELSE props END"""
+
+
+@query("jsonl_union", f"""
+    WITH l AS (SELECT {_LINE} AS line FROM events)
+    SELECT CAST(json_extract(line, '$.id') AS BIGINT) AS id, json_extract_string(line, '$.k') AS k, CAST(json_extract(line, '$.paid') AS DOUBLE) AS paid,
+           CAST(json_extract(line, '$.code') AS BIGINT) AS code, CAST(json_extract(line, '$.user.key') AS BIGINT) AS user_key,
+           json_extract_string(line, '$.user.tags[1]') AS tag, CAST(json_extract(line, '$."odd key"') AS BOOLEAN) AS odd FROM l""")
+def jsonl_union(t: Tables) -> DataFrame:
+    """Lines of five kinds with keys of several types, read without a schema: all keys of all lines."""
+    path = fresh_path(t.spark, "lines")
+    line = _LINE.replace("json_extract_string(", "get_json_object(").replace("AS VARCHAR", "AS STRING")
+    t.events.selectExpr(f"{line} AS value").write.text(path)
+    rows = read_json_union(t.spark, path)
+    return rows.select("id", variant_text("k").alias("k"), "paid", "code", F.col("user.key").alias("user_key"),
+                       F.get("user.tags", F.lit(1)).alias("tag"), F.col("odd key").alias("odd"))

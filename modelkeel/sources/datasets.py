@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,34 @@ def files_since(spark: SparkSession, path: str, since: Column, *, glob: str = "*
     ).filter(F.col("modified") >= since)
 
 
+FILE_TIME = "_metadata.file_modification_time"
+
+
 def read_rows_since(df: DataFrame, since: Column) -> DataFrame:
-    """Keep the rows whose file was modified at or after ``since``; ``df`` is a file scan."""
-    return df.filter(F.col("_metadata.file_modification_time") >= since)
+    """Keep the rows whose file was modified at or after ``since`` (inclusive); ``df`` is a file scan.
+
+    The condition is on a value that is the same for a whole file, so the scan drops files by it before it opens them.
+    """
+    return df.filter(F.col(FILE_TIME) >= since)
+
+
+def rows_by_file(df: DataFrame, since: Column | None = None) -> DataFrame:
+    """``file, modified, n``: rows of every file of a scan, of those modified at or after ``since`` if it is given.
+
+    A file without rows has no row here.
+    """
+    scanned = df if since is None else read_rows_since(df, since)
+    named = scanned.select(F.col("_metadata.file_path").alias("file"), F.col(FILE_TIME).alias("modified"))
+    return named.groupBy("file", "modified").agg(F.count(F.lit(1)).alias("n"))
+
+
+def newest_file_time(df: DataFrame) -> datetime | None:
+    """Modification time of the newest file of a scan that has rows; the mark a later reading starts behind."""
+    return df.agg(F.max(FILE_TIME)).first()[0]
+
+
+def oldest_file_time(df: DataFrame) -> datetime | None:
+    return df.agg(F.min(FILE_TIME)).first()[0]
 
 
 def write_json_document(spark: SparkSession, path: str, document: Mapping) -> None:

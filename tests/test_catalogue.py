@@ -22,7 +22,7 @@ def test_query(spark, con, name):
 
 
 #: Queries that have no SQL yet.
-WITHOUT_SQL = {"files_since", "train_run_summary", "stream_breaker_timeline"}
+WITHOUT_SQL = {"train_run_summary", "stream_breaker_timeline"}
 
 
 def test_oracles_belong_to_queries():

@@ -57,3 +57,34 @@ def test_retrain_only_when_nothing_is_in_flight(spark):
     assert [x["model"] for x in r.retrain_requests(levels, runs).collect()] == ["b"]
     fresh = runs.unionByName(spark.createDataFrame([("u", "b", "")], runs.schema))
     assert r.retrain_requests(levels, fresh).count() == 0
+
+
+def test_champion_as_of_a_time(spark):
+    """Records and events with ties, a hot model cut into chunks, models without events and events without records."""
+    import random
+    from datetime import datetime, timedelta
+
+    from modelkeel.operators import registry as reg
+
+    rng, t0 = random.Random(6), datetime(2024, 1, 1)
+    events = [(rng.choice(["hot", "hot", "b", "only events"]), "champion", rng.randint(1, 4), rng.randint(0, 200), i) for i in range(60)]
+    events += [("hot", "previous", 99, 50, 1000)]
+    records = [(rng.choice(["hot", "hot", "hot", "b", "none", None]), rng.choice([7, rng.randint(0, 220)]), i) for i in range(500)]
+    at = lambda s: t0 + timedelta(seconds=s)
+    ev = spark.createDataFrame([(n, a, v, at(s), q) for n, a, v, s, q in events], "name string, alias string, version int, ts timestamp_ntz, seq long")
+    rec = spark.createDataFrame([(n, at(s), i) for n, s, i in records], "name string, ts timestamp_ntz, id long")
+
+    def known(name, s):
+        past = [(q[3], q[4], q[2]) for q in events if q[0] == name and q[1] == "champion" and q[3] <= s]
+        return max(past)[2] if past else None
+
+    want = {i: known(n, s) for n, s, i in records}
+    for size in (15, 10**6):
+        rows = reg.champion_as_of(rec, ev, rows_per_chunk=size)
+        assert rows.columns == ["name", "ts", "id", "champion"]
+        assert {r["id"]: r["champion"] for r in rows.collect()} == want
+    spans = reg.validity(ev).collect()
+    assert all(r["valid_to"] is None or r["valid_from"] < r["valid_to"] for r in spans)
+    for n, s, i in records:
+        held = [r["version"] for r in spans if r["name"] == n and r["valid_from"] <= at(s) and (r["valid_to"] is None or at(s) < r["valid_to"])]
+        assert held == ([want[i]] if want[i] is not None else [])
