@@ -9,6 +9,7 @@ from catalogue.base import Tables, query, r6
 from modelkeel.functions.text import bigrams, words
 from modelkeel.functions.vectors import argmax_label as argmax, as_proba, positive_proba as positive, prefix_keys
 from modelkeel.operators import features as f, scoring as s
+from modelkeel.operators.vocabulary import VocabularyTfidf, numbered
 
 # medians and keywords of the listings of this folder; the defaults name other categories
 _MEDIANS = {"ECONOMY": 300.0, "PROMO": 350.0, "SMALL": 40.0, "LARGE": 90.0}
@@ -152,3 +153,30 @@ def one_hot(t: Tables) -> DataFrame:
 @query("category_medians", "SELECT category, round(quantile_cont(price, 0.5), 6) AS median FROM {listings} GROUP BY 1")
 def category_medians(t: Tables) -> DataFrame:
     return s.category_medians(t.listings).select("category", r6("median").alias("median"))
+
+
+@query("text_vectors", f"""
+    WITH {_TERMS},
+    raw AS (SELECT doc_id, term, df, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS raw
+            FROM tf JOIN df USING (term)),
+    unit AS (SELECT doc_id, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM raw)
+    SELECT doc_id, count(w) AS terms, round(coalesce(sum(w), 0), 6) AS weight, round(coalesce(max(w), 0), 6) AS heaviest
+    FROM documents LEFT JOIN unit USING (doc_id) GROUP BY 1""")
+def text_vectors(t: Tables) -> DataFrame:
+    """The sparse vector of every document over the exact vocabulary of all: entries, their sum, the largest."""
+    stage = VocabularyTfidf(inputCol="text", outputCol="vector")
+    docs = t.documents.select("doc_id", "text")
+    values = F.unwrap_udt("vector")["values"]
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    vectors = stage.fit(docs).transform(docs)
+    return vectors.select("doc_id", F.size(values).cast("long").alias("terms"), r6(total).alias("weight"),
+                          r6(F.coalesce(F.array_max(values), F.lit(0.0))).alias("heaviest"))
+
+
+@query("vocabulary_ids", f"WITH {_TERMS} SELECT term, df, true AS dense FROM df")
+def vocabulary_ids(t: Tables) -> DataFrame:
+    """The numbered vocabulary: every number from 0 to one less than the terms, once."""
+    terms = numbered(f.document_frequency(t.documents, "text"))
+    counts = terms.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"))
+    dense = (F.col("n") == F.col("ids")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)
+    return terms.join(F.broadcast(counts.select(dense.alias("dense"))), F.lit(True)).select("term", "df", "dense")
