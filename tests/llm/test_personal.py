@@ -51,6 +51,13 @@ def corpus():
                    (3000, "1.2.3.4 a@b.cd " * 3000 + "9" * 50000 + " " + "x" * 100000 + "@y.zz +" + "1 " * 50000, 0, "", "")]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_rounds():
+    rounds, personal.ROUNDS = personal.ROUNDS, 3
+    yield
+    personal.ROUNDS = rounds
+
+
 @pytest.fixture(scope="module")
 def found(spark):
     rows = corpus()
