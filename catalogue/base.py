@@ -126,8 +126,10 @@ def with_views(sql: str) -> str:
     if not defined:
         return body
     if body[:4].upper() == "WITH":
-        recursive = body[5:].lstrip()
-        return f"WITH {', '.join(defined)}, {recursive}"
+        rest, keyword = body[5:].lstrip(), "WITH"
+        if rest[:9].upper() == "RECURSIVE":
+            rest, keyword = rest[10:].lstrip(), "WITH RECURSIVE"
+        return f"{keyword} {', '.join(defined)}, {rest}"
     return f"WITH {', '.join(defined)} {body}"
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.base import Tables, query, r6, sql_stamp, stamp
 from catalogue.joins import champions
 from modelkeel.operators import drift as d
+from modelkeel.plans.panestore import PaneStore
+from modelkeel.session import fresh_path
 
 
 def _bin_sql(n_for_k: str) -> str:
@@ -199,3 +203,40 @@ def drift_windows(t: Tables) -> DataFrame:
     binned = d.live_panes(live, edges, WINDOW_COLUMNS, ["model"], numeric, SLIDE, extra=["model_version"])
     psi = d.window_psi(binned, edges, shares, ["model", "model_version"], ["model"], window=WINDOW, slide=SLIDE)
     return present_windows(psi)
+
+
+_STORED = f"""SELECT model, model_version, "column", n_live, psi, skipped FROM ({WINDOW_SQL})
+    WHERE window_start = (SELECT strftime(date_trunc('day', max(ts)) - INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') FROM events)"""
+
+
+def _stored(t: Tables) -> tuple[PaneStore, datetime]:
+    """A store that has absorbed the live calls in three landings, one run of the monitor after each; and the last day."""
+    reference, live = window_sides(t)
+    log = fresh_path(t.spark, "live-log")
+    store = PaneStore(t.spark, fresh_path(t.spark, "panes"), WINDOW_COLUMNS, ["model"], pane=SLIDE)
+    store.freeze(reference)
+    rows = live.select("ts", "user_id", "model", "model_version", *WINDOW_COLUMNS)
+    for part in range(3):
+        rows.where(F.col("user_id") % 3 == part).write.mode("append").parquet(log)
+        store.absorb(log, rows.schema)
+    return store, t.events.agg(F.date_trunc("day", F.max("ts").cast("timestamp"))).first()[0]
+
+
+@query("monitor_window", _STORED)
+def monitor_window(t: Tables) -> DataFrame:
+    """The last three days of all models and versions, from pane counts that three runs of the monitor have added up."""
+    store, last = _stored(t)
+    report = store.report(last - timedelta(days=2), last + timedelta(days=1))
+    return report.select("model", "model_version", "column", "n_live", F.coalesce(r6("psi"), F.lit(-1.0)).alias("psi"), F.coalesce("skipped", F.lit("")).alias("skipped"))
+
+
+@query("monitor_levels", f"""
+    WITH s AS ({_STORED}), w AS (SELECT model, model_version, max(nullif(psi, -1)) AS worst, max(n_live) AS n_live FROM s
+        WHERE model_version = (SELECT max(model_version) FROM {{calls}}) GROUP BY 1, 2)
+    SELECT model, model_version, n_live, CASE WHEN worst IS NULL THEN 'skipped' WHEN worst > 0.3 THEN 'retrain' WHEN worst > 0.2 THEN 'warn' ELSE 'ok' END AS level FROM w""")
+def monitor_levels(t: Tables) -> DataFrame:
+    """The level of every model, judged together on the rows its champion answered."""
+    store, last = _stored(t)
+    known = t.calls.groupBy("model").agg(F.max("model_version").alias("version"))
+    report = store.report(last - timedelta(days=2), last + timedelta(days=1), champions=known)
+    return store.levels(report).select("model", "model_version", "n_live", "level")

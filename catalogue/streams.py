@@ -15,12 +15,29 @@ from modelkeel.sources.sinks import fan_out, json_sink, parquet_sink
 from modelkeel.streaming import common, log, state, windows
 
 
+#: What one micro-batch of a registered stream reads at most.
+BATCH_BYTES = 1 << 30
+
+
 def call_stream(t: Tables) -> DataFrame:
     """The call view over a stream of the event files."""
-    events = common.file_stream(t.spark, t.path("events"), t.events.schema)
+    events = common.file_stream(t.spark, t.path("events"), t.events.schema, max_bytes=BATCH_BYTES)
     return events.selectExpr(*VIEWS["calls"][1])
 
 
+def call_slices(t: Tables, slices: int = 4, files: int = 4) -> DataFrame:
+    """The call view over the events as they come in: landed slice by slice of time, one slice a micro-batch."""
+    path = fresh_path(t.spark, "event-slices")
+    low, high = t.events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [low + (high - low) * i / slices for i in range(slices)]
+    for start, end in zip(cuts, [*cuts[1:], None]):
+        part = t.events.where(F.col("ts") >= F.lit(start))
+        part = part if end is None else part.where(F.col("ts") < F.lit(end))
+        part.repartition(files).write.mode("append").parquet(path)
+    events = common.file_stream(t.spark, path, t.events.schema, max_files=files)
+    return common.with_event_time(events.selectExpr(*VIEWS["calls"][1]))
+
+
 @query("stream_log_append", """
     SELECT use_case, model, strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, round(sum(value), 4) AS total
     FROM {calls} GROUP BY 1, 2, 3""")
@@ -92,23 +109,76 @@ def stream_alert_hold(t: Tables) -> DataFrame:
     """Recorded ratios as one stream, the alert on their table as a second."""
     path = fresh_path(t.spark, "stream-ratio")
     ratios = common.drain_to_table(_ratios(t), "stream-ratio", path)
-    grid = common.file_stream(t.spark, path, ratios.schema).select(
-        F.col("use_case").alias("key"), F.unix_timestamp("window_start").alias("t"),
+    grid = common.file_stream(t.spark, path, ratios.schema, max_bytes=BATCH_BYTES).select(
+        F.col("use_case").alias("key"), F.col("window_start").alias("ts"), F.unix_timestamp("window_start").alias("t"),
         (F.col("ratio") > FALLBACK_CRITICAL).alias("active"),
     )
-    return common.drain_to_table(state.hold_stream(grid, 3600, 7200), "stream-hold")
+    return common.drain_to_table(state.hold_stream(common.with_event_time(grid, lateness="0 seconds"), 3600, 7200), "stream-hold")
 
 
-@query("stream_breaker_timeline")
+_MARKED = "epoch_us(ts) // 1000 <= (SELECT max(epoch_us(ts)) // 1000 - 600000 FROM events)"
+
+
+@query("stream_breaker_timeline", f"""
+    WITH RECURSIVE c AS MATERIALIZED (SELECT pod || '/' || model AS k, epoch_us(ts) AS t, outcome <> 'ok' AS failed,
+        row_number() OVER (PARTITION BY pod, model ORDER BY ts, event_id) AS i FROM {{calls}} WHERE {_MARKED}),
+    s AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS failures, CAST(-1 AS BIGINT) AS opened, CAST(0 AS BIGINT) AS t,
+          false AS half, '' AS after FROM c
+        UNION ALL
+        SELECT k, i, CASE WHEN half OR opened < 0 THEN CASE WHEN failed THEN failures + 1 ELSE 0 END ELSE failures END,
+               CASE WHEN half OR opened < 0 THEN CASE WHEN failed AND failures + 1 >= 5 THEN t WHEN failed THEN opened ELSE -1 END ELSE opened END, t, half,
+               CASE WHEN (half OR opened < 0) AND failed AND failures + 1 >= 5 THEN 'open' WHEN half AND NOT failed THEN 'closed' ELSE '' END
+        FROM (SELECT s.k, c.i, s.failures, s.opened, c.t, c.failed, s.opened >= 0 AND c.t - s.opened >= 30000000 AS half
+              FROM s JOIN c ON c.k = s.k AND c.i = s.i + 1))
+    SELECT k AS "key", t, 'open' AS "before", 'half-open' AS "after" FROM s WHERE half
+    UNION ALL SELECT k, t, CASE WHEN half THEN 'half-open' ELSE 'closed' END, "after" FROM s WHERE "after" <> ''""")
 def stream_breaker_timeline(t: Tables) -> DataFrame:
-    """Breaker transitions per pod and model."""
-    calls = call_stream(t).select(
-        F.concat_ws("/", "pod", "model").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+    """Breaker transitions per pod and model, over several micro-batches."""
+    calls = call_slices(t).select(
+        F.concat_ws("/", "pod", "model").alias("key"), "ts", F.unix_micros("ts").alias("t"),
         F.col("event_id").alias("id"), (F.col("outcome") != "ok").alias("failed"),
     )
     return common.drain_to_table(state.breaker_stream(calls), "stream-breaker")
 
 
+@query("stream_counter_increase", f"""
+    WITH c AS (SELECT use_case || '/' || model AS "key", epoch_us(ts) // 3600000000 * 3600000 AS pane_ms, value,
+        lag(value) OVER (PARTITION BY use_case, model ORDER BY ts, id) AS p FROM {{counters}})
+    SELECT "key", pane_ms, CAST(sum(CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END) AS BIGINT) AS increase
+    FROM c GROUP BY 1, 2 HAVING pane_ms + 3600000 <= {_WATERMARK}""")
+def stream_counter_increase(t: Tables) -> DataFrame:
+    """Hourly growth of counters that restart, each value compared with the last one of an earlier micro-batch."""
+    samples = call_slices(t).select(F.concat_ws("/", "use_case", "model").alias("key"), "ts", F.col("event_id").alias("id"), (F.col("event_id") % 173).alias("value"))
+    return common.drain_to_table(state.counter_increase_stream(samples, 3600), "stream-increase")
+
+
+_FLUSH_RECORDS, _FLUSH_AGE = 45, 21600
+
+
+@query("stream_flush_batches", f"""
+    WITH RECURSIVE c AS MATERIALIZED (SELECT model AS k, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY model ORDER BY ts, event_id) AS i
+        FROM {{calls}} WHERE {_MARKED}),
+    s AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS first_ms, CAST(0 AS BIGINT) AS size,
+          CAST(-1 AS BIGINT) AS w_batch, CAST(0 AS BIGINT) AS w_first, CAST(0 AS BIGINT) AS w_size, '' AS cause FROM c
+        UNION ALL
+        SELECT k, i, n_batch + (n_size >= {_FLUSH_RECORDS})::BIGINT, n_first, CASE WHEN n_size >= {_FLUSH_RECORDS} THEN 0 ELSE n_size END,
+               CASE WHEN aged THEN batch WHEN n_size >= {_FLUSH_RECORDS} THEN n_batch ELSE -1 END, CASE WHEN aged THEN first_ms ELSE n_first END,
+               CASE WHEN aged THEN size ELSE n_size END, CASE WHEN aged THEN 'age' ELSE 'count' END
+        FROM (SELECT *, batch + aged::BIGINT AS n_batch, CASE WHEN aged OR size = 0 THEN ms ELSE first_ms END AS n_first,
+                     CASE WHEN aged THEN 1 ELSE size + 1 END AS n_size
+              FROM (SELECT s.k, c.i, s.batch, s.first_ms, s.size, c.ms, s.size > 0 AND c.ms >= s.first_ms + {_FLUSH_AGE * 1000} AS aged
+                    FROM s JOIN c ON c.k = s.k AND c.i = s.i + 1))),
+    l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1)
+    SELECT k AS "key", w_batch AS batch, w_size AS size, w_first AS first_ms, cause FROM s WHERE w_batch >= 0
+    UNION ALL SELECT k, batch, size, first_ms, 'age' FROM l WHERE size > 0 AND first_ms + {_FLUSH_AGE * 1000} <= {_WATERMARK}""")
+def stream_flush_batches(t: Tables) -> DataFrame:
+    """The buffers of prediction records that are written, full or due, with number, size and cause."""
+    record = F.to_json(F.struct("event_id", "model", "prediction", "value"))
+    records = call_slices(t).select(F.col("model").alias("key"), "ts", F.col("event_id").alias("id"), record.alias("record"))
+    written = common.drain_to_table(state.flush_stream(records, _FLUSH_RECORDS, _FLUSH_AGE), "stream-flush")
+    return written.where(F.size("records") == F.col("size")).drop("records")
+
+
 @query("stream_monitor_staleness", f"""
     WITH s AS (SELECT use_case || '/' || model || '/' || prediction AS "key", epoch_us(ts) // 1000 AS ms FROM {{calls}}),
     l AS (SELECT "key", ms, lead(ms) OVER (PARTITION BY "key" ORDER BY ms) AS following FROM s),
@@ -117,6 +187,6 @@ def stream_breaker_timeline(t: Tables) -> DataFrame:
     WHERE following - ms > 21600000 OR (following IS NULL AND ms + 21600000 + 1 <= mark)""")
 def stream_monitor_staleness(t: Tables) -> DataFrame:
     """Stretches of more than six hours without a sample of a kind per model."""
-    samples = common.with_event_time(call_stream(t))
+    samples = call_slices(t)
     keyed = samples.select(F.concat_ws("/", "use_case", "model", "prediction").alias("key"), "ts", F.unix_millis("ts").alias("ms"))
     return common.drain_to_table(state.silence_stream(keyed, 21600), "stream-silence")

@@ -21,7 +21,7 @@ LATENESS = "10 minutes"
 
 
 def file_stream(
-    spark: SparkSession, path: str, schema: T.StructType, *, source: str = "parquet", max_bytes: str | None = None,
+    spark: SparkSession, path: str, schema: T.StructType, *, source: str = "parquet", max_bytes: int | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
     """Stream of the files under ``path``; the limits bound one micro-batch.

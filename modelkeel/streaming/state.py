@@ -1,7 +1,9 @@
-"""Keyed state machines on ``transformWithState``: alert hold, breaker timeline, silence.
+"""Keyed state machines on ``transformWithState``, in event-time order whatever the order of the batches.
 
-A call receives the rows of one key in one micro-batch; the source's trigger limits bound
-that. Between batches each key keeps one small row of state.
+Rows are held back in state until the watermark has passed them and are then taken in the order of time and number. What
+a machine says therefore does not depend on how rows were spread over micro-batches, as long as they are within
+the lateness; later ones are dropped by the watermark. A key holds what the lateness and one micro-batch bring, which
+the source's trigger limits bound; beyond that it keeps one small row.
 """
 
 from __future__ import annotations
@@ -9,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from modelkeel.operators.alerts import BREAKER_COOLDOWN, BREAKER_FAILURES
@@ -16,79 +20,142 @@ from modelkeel.operators.rates import STALE_SECONDS
 from modelkeel.schema import columns
 from modelkeel.streaming.common import use_state_store
 
+#: A buffer of records is written when it holds this many, or when its first one is so many seconds old.
+FLUSH_RECORDS, FLUSH_SECONDS = 200, 10
 
-class AlertHold(StatefulProcessor):
-    """``firing`` once the condition held long enough, ``resolved`` when it stops or pauses."""
 
-    def __init__(self, step: int, hold: int):
-        self.step, self.hold = step, hold
+class InOrder(StatefulProcessor):
+    """Hands the rows of a key to ``take`` in order; ``settle`` says what the watermark alone decides.
+
+    Rows are ``key, ms`` (event time in milliseconds, as the watermark counts it), ``at`` (what orders rows of one time,
+    finer time or number) and ``value``. ``state`` is the machine's own row, None at first.
+    """
+
+    #: Types of ``value`` and of the machine's row.
+    value = "long"
+    kept: T.StructType
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.span = handle.getValueState("span", columns(since="long", last="long", firing="boolean"))
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", columns(ms="long", at="long", id="long", value=self.value))
+        self.own = handle.getValueState("own", self.kept)
+
+    def take(self, key: str, state, ms: int, at: int, value) -> Iterator:
+        """Yields output rows; the last thing yielded is a tuple, the new state."""
+        raise NotImplementedError
+
+    def settle(self, key: str, state, watermark: int) -> Iterator:
+        """Like ``take``, for time that passed without rows."""
+        yield state
+
+    def wake(self, state) -> int | None:
+        """The time at which ``settle`` may have something to say."""
+        return None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        name = key[0]
-        known = self.span.get() if self.span.exists() else None
-        since, last, firing = known if known else (None, None, False)
-        for t, active in sorted((r["t"], r["active"]) for r in rows):
-            if since is not None and (not active or t - last > self.step):
-                if firing:
-                    yield Row(key=name, event="resolved", since_s=since, at_s=t)
-                since, firing = None, False
-            if active:
-                since, last = (t if since is None else since), t
-                if not firing and t - since >= self.hold:
-                    firing = True
-                    yield Row(key=name, event="firing", since_s=since, at_s=since + self.hold)
-        if since is None:
-            self.span.clear()
-        else:
-            self.span.update((since, last, firing))
+        came = [(r["ms"], r["at"], r["id"], r["value"]) for r in rows]
+        self.waiting.appendList(came)
+        self.handle.registerTimer(max(min(x[0] for x in came), timerValues.getCurrentWatermarkInMs()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((tuple(x) for x in rows if x[0] <= watermark), key=lambda x: x[:3])
+        rest = [tuple(x) for x in rows if x[0] > watermark]
+        state = tuple(self.own.get()) if self.own.exists() else None
+        for ms, at, _, value in ready:
+            for out in self.take(key[0], state, ms, at, value):
+                if isinstance(out, Row):
+                    yield out
+                else:
+                    state = out
+        for out in self.settle(key[0], state, watermark):
+            if isinstance(out, Row):
+                yield out
+            else:
+                state = out
+        if state is not None:
+            self.own.update(state)
+        elif self.own.exists():
+            self.own.clear()
+        if ready and rest:
+            self.waiting.put(rest)
+        elif ready:
+            self.waiting.clear()
+        due = [t for t in (self.wake(state), min((x[0] for x in rest), default=None)) if t is not None and t > watermark]
+        if due:
+            self.handle.registerTimer(min(due))
+
+
+def run_in_order(rows: DataFrame, machine: InOrder, output: T.StructType) -> DataFrame:
+    """Run a machine over a stream of ``key, ts`` (with watermark)``, at, id, value``."""
+    use_state_store(rows.sparkSession)
+    timed = rows.select("key", "ts", F.unix_millis("ts").alias("ms"), "at", "id", "value")
+    return timed.groupBy("key").transformWithState(statefulProcessor=machine, outputStructType=output, outputMode="append", timeMode="EventTime")
+
+
+class AlertHold(InOrder):
+    """``firing`` once the condition held long enough, ``resolved`` when it stops or pauses."""
+
+    value = "boolean"
+    kept = columns(since="long", last="long", firing="boolean")
+
+    def __init__(self, step: int, hold: int):
+        self.step, self.hold = step, hold
+
+    def take(self, key, state, ms, at, value):
+        since, last, firing = state or (None, None, False)
+        if since is not None and (not value or at - last > self.step):
+            if firing:
+                yield Row(key=key, event="resolved", since_s=since, at_s=at)
+            since, firing = None, False
+        if value:
+            since, last = (at if since is None else since), at
+            if not firing and at - since >= self.hold:
+                firing = True
+                yield Row(key=key, event="firing", since_s=since, at_s=since + self.hold)
+        yield None if since is None else (since, last, firing)
 
 
 HOLD_EVENTS = columns(key="string", event="string", since_s="long", at_s="long")
 
 
 def hold_stream(grid: DataFrame, step_seconds: int, hold_seconds: int) -> DataFrame:
-    """Alert events from evaluations ``key, t (epoch seconds), active``."""
-    use_state_store(grid.sparkSession)
-    return grid.groupBy("key").transformWithState(
-        statefulProcessor=AlertHold(step_seconds, hold_seconds), outputStructType=HOLD_EVENTS, outputMode="append",
-        timeMode="None",
-    )
+    """Alert events from evaluations ``key, ts`` (with watermark)``, t`` (epoch seconds) and ``active``."""
+    rows = grid.select("key", "ts", F.col("t").alias("at"), F.lit(0).cast("long").alias("id"), F.col("active").alias("value"))
+    return run_in_order(rows, AlertHold(step_seconds, hold_seconds), HOLD_EVENTS)
 
 
-class Breaker(StatefulProcessor):
+class Breaker(InOrder):
     """Closed → open after N failures in a row → half-open after the cooldown.
 
     Calls that fall into the open time were never sent upstream, so they change nothing. In
     half-open a success closes and a failure opens again, as the failure count is kept.
     """
 
+    value = "boolean"
+    kept = columns(failures="long", opened="long")
+
     def __init__(self, threshold: int, cooldown_us: int):
         self.threshold, self.cooldown = threshold, cooldown_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("breaker", columns(failures="long", opened="long"))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        failures, opened = self.kept.get() if self.kept.exists() else (0, -1)
-        for t, _, failed in sorted((r["t"], r["id"], r["failed"]) for r in rows):
-            half_open = opened >= 0 and t - opened >= self.cooldown
-            if opened >= 0 and not half_open:
-                continue
+    def take(self, key, state, ms, at, value):
+        failures, opened = state or (0, -1)
+        half_open = opened >= 0 and at - opened >= self.cooldown
+        if opened < 0 or half_open:
             if half_open:
-                yield Row(key=key[0], t=t, before="open", after="half-open")
-            if failed:
+                yield Row(key=key, t=at, before="open", after="half-open")
+            if value:
                 failures += 1
                 if failures >= self.threshold:
-                    yield Row(key=key[0], t=t, before="half-open" if half_open else "closed", after="open")
-                    opened = t
+                    yield Row(key=key, t=at, before="half-open" if half_open else "closed", after="open")
+                    opened = at
             else:
                 if half_open:
-                    yield Row(key=key[0], t=t, before="half-open", after="closed")
+                    yield Row(key=key, t=at, before="half-open", after="closed")
                 failures, opened = 0, -1
-        self.kept.update((failures, opened))
+        yield failures, opened
 
 
 BREAKER_EVENTS = columns(key="string", t="long", before="string", after="string")
@@ -97,52 +164,37 @@ BREAKER_EVENTS = columns(key="string", t="long", before="string", after="string"
 def breaker_stream(
     calls: DataFrame, threshold: int = BREAKER_FAILURES, cooldown_seconds: float = BREAKER_COOLDOWN
 ) -> DataFrame:
-    """Breaker transitions from calls ``key, t (microseconds), id, failed``.
+    """Breaker transitions from calls ``key, ts`` (with watermark)``, t`` (microseconds)``, id, failed``.
 
     A breaker lives in one process, so ``key`` names process and model; that spreads a busy
     model over as many keys as it has processes.
     """
-    use_state_store(calls.sparkSession)
-    return calls.groupBy("key").transformWithState(
-        statefulProcessor=Breaker(threshold, int(cooldown_seconds * 1_000_000)), outputStructType=BREAKER_EVENTS,
-        outputMode="append", timeMode="None",
-    )
+    rows = calls.select("key", "ts", F.col("t").alias("at"), "id", F.col("failed").alias("value"))
+    return run_in_order(rows, Breaker(threshold, int(cooldown_seconds * 1_000_000)), BREAKER_EVENTS)
 
 
-class Silence(StatefulProcessor):
-    """A row per stretch without samples longer than the limit, by event time.
+class Silence(InOrder):
+    """A row per stretch without samples longer than the limit; the open one once the watermark passes its end."""
 
-    The stretch that is still open is reported by a timer once the watermark passes it.
-    """
+    kept = columns(last="long", reported="boolean")
 
     def __init__(self, limit_ms: int):
         self.limit = limit_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", columns(ms="long", reported="boolean"))
-
-    def _arm(self, last: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last + self.limit + 1)
+    def take(self, key, state, ms, at, value):
+        last, reported = state or (None, False)
+        if last is not None and at - last > self.limit and not reported:
+            yield Row(key=key, last_ms=last)
+        yield at, False
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last, reported = self.last.get() if self.last.exists() else (None, False)
-        for ms in sorted(r["ms"] for r in rows):
-            if last is not None and ms - last > self.limit and not reported:
-                yield Row(key=key[0], last_ms=last)
-            if last is None or ms > last:
-                last, reported = ms, False
-        self.last.update((last, reported))
-        if not reported:
-            self._arm(last)
+    def settle(self, key, state, watermark):
+        if state is not None and not state[1] and state[0] + self.limit + 1 <= watermark:
+            yield Row(key=key, last_ms=state[0])
+            state = (state[0], True)
+        yield state
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        last, reported = self.last.get()
-        if not reported:
-            self.last.update((last, True))
-            yield Row(key=key[0], last_ms=last)
+    def wake(self, state):
+        return None if state is None or state[1] else state[0] + self.limit + 1
 
 
 SILENCE_EVENTS = columns(key="string", last_ms="long")
@@ -150,8 +202,94 @@ SILENCE_EVENTS = columns(key="string", last_ms="long")
 
 def silence_stream(samples: DataFrame, limit_seconds: int = STALE_SECONDS) -> DataFrame:
     """Stale reports from samples ``key, ts`` (with watermark) and ``ms`` (epoch milliseconds)."""
-    use_state_store(samples.sparkSession)
-    return samples.groupBy("key").transformWithState(
-        statefulProcessor=Silence(limit_seconds * 1000), outputStructType=SILENCE_EVENTS, outputMode="append",
-        timeMode="EventTime",
-    )
+    zero = F.lit(0).cast("long")
+    rows = samples.select("key", "ts", F.col("ms").alias("at"), zero.alias("id"), zero.alias("value"))
+    return run_in_order(rows, Silence(limit_seconds * 1000), SILENCE_EVENTS)
+
+
+class CounterIncrease(InOrder):
+    """Reset-corrected growth per pane; the last value of a series stays in state from batch to batch."""
+
+    kept = columns(last="long", pane="long", growth="long")
+
+    def __init__(self, pane_ms: int):
+        self.pane = pane_ms
+
+    def take(self, key, state, ms, at, value):
+        pane = ms // self.pane * self.pane
+        last, open_pane, growth = state or (None, pane, 0)
+        if open_pane is not None and pane != open_pane:
+            yield Row(key=key, pane_ms=open_pane, increase=growth)
+            growth = 0
+        elif open_pane is None:
+            growth = 0
+        grown = 0 if last is None else value if value < last else value - last
+        yield value, pane, growth + grown
+
+    def settle(self, key, state, watermark):
+        if state is not None and state[1] is not None and state[1] + self.pane <= watermark:
+            yield Row(key=key, pane_ms=state[1], increase=state[2])
+            state = (state[0], None, 0)
+        yield state
+
+    def wake(self, state):
+        return None if state is None or state[1] is None else state[1] + self.pane
+
+
+INCREASES = columns(key="string", pane_ms="long", increase="long")
+
+
+def counter_increase_stream(samples: DataFrame, pane_seconds: int) -> DataFrame:
+    """``key, pane_ms, increase`` of every pane with samples, once the watermark has passed it.
+
+    ``samples`` are ``key, ts`` (with watermark)``, id, value``: readings of counters that may restart.
+    """
+    rows = samples.select("key", "ts", F.unix_micros("ts").alias("at"), "id", F.col("value").cast("long").alias("value"))
+    return run_in_order(rows, CounterIncrease(pane_seconds * 1000), INCREASES)
+
+
+class FlushBuffer(InOrder):
+    """Records of a model in batches: full after so many, or due when the first one is so old, whichever comes first."""
+
+    value = "string"
+    kept = columns(batch="long", first="long", records=T.ArrayType(T.StringType()))
+
+    def __init__(self, records: int, age_ms: int):
+        self.records, self.age = records, age_ms
+
+    def _written(self, key, state, cause):
+        batch, first, held = state
+        return Row(key=key, batch=batch, size=len(held), first_ms=first, cause=cause, records=list(held)), (batch + 1, None, [])
+
+    def take(self, key, state, ms, at, value):
+        state = state or (0, None, [])
+        if state[2] and ms >= state[1] + self.age:
+            row, state = self._written(key, state, "age")
+            yield row
+        batch, first, held = state
+        state = (batch, ms if first is None else first, [*held, value])
+        if len(state[2]) >= self.records:
+            row, state = self._written(key, state, "count")
+            yield row
+        yield state
+
+    def settle(self, key, state, watermark):
+        if state is not None and state[2] and state[1] + self.age <= watermark:
+            row, state = self._written(key, state, "age")
+            yield row
+        yield state
+
+    def wake(self, state):
+        return state[1] + self.age if state is not None and state[2] else None
+
+
+FLUSHES = columns(key="string", batch="long", size="long", first_ms="long", cause="string", records=T.ArrayType(T.StringType()))
+
+
+def flush_stream(records: DataFrame, max_records: int = FLUSH_RECORDS, age_seconds: float = FLUSH_SECONDS) -> DataFrame:
+    """``key, batch, size, first_ms, cause, records`` of every buffer that is written, from ``key, ts`` (with watermark)``, id, record``.
+
+    A key holds fewer than ``max_records`` records, so the state of a busy model is as small as that of a quiet one.
+    """
+    rows = records.select("key", "ts", F.unix_micros("ts").alias("at"), "id", F.col("record").alias("value"))
+    return run_in_order(rows, FlushBuffer(max_records, int(age_seconds * 1000)), FLUSHES)

@@ -54,40 +54,104 @@ def reference_breaker(calls, threshold, cooldown):
     return events
 
 
-def test_breaker_across_batches(spark, tmp_path):
+START = 600_000  # seconds; a stream takes rows of time 0 for late ones
+END = ("end", 10**8)  # a key whose late row moves the watermark past everything else
+
+
+def shuffled(rows, seed):
+    """Rows in an order that differs from that of time by less than the lateness, the last one at the end."""
+    rng = random.Random(seed)
+    return sorted(rows, key=lambda r: r[1] + rng.random() * 500)
+
+
+def stream_of(spark, path, rows, schema, parts, lateness="1000 seconds"):
+    """``rows`` (key, second, …) as ``parts`` micro-batches, with event time ``ts``."""
+    kinds = files(spark, path, rows, schema, parts)
+    stream = common.file_stream(spark, path, kinds, max_files=1).withColumn("ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")))
+    return common.with_event_time(stream, lateness=lateness)
+
+
+def in_any_order(spark, tmp_path, rows, schema, run):
+    """What ``run`` says of the rows in order, which must not depend on their order or on the batches."""
+    end = (*END, *[type(x)() for x in rows[0][2:]])
+    said = []
+    for k, (order, parts) in enumerate([(rows, 1), (shuffled(rows, 1), 4)]):
+        stream = stream_of(spark, f"{tmp_path}/in{k}", [*order, end], schema, parts)
+        said.append(sorted(tuple(r) for r in common.drain_to_table(run(stream), "s").where("key <> 'end'").collect()))
+    assert said[0] and all(x == said[0] for x in said[1:])
+    return said[0]
+
+
+def test_breaker_in_any_order(spark, tmp_path):
     rng = random.Random(2)
-    rows = [(rng.choice(["p1/m", "p2/m"]), i * 7_000_000, i, rng.random() < 0.75) for i in range(400)]
-    schema = files(spark, f"{tmp_path}/in", rows, "key string, t long, id long, failed boolean", 5)
-    stream = common.file_stream(spark, f"{tmp_path}/in", schema, max_files=1)
-    got = common.drain_to_table(state.breaker_stream(stream), "b").collect()
+    rows = [(rng.choice(["p1/m", "p2/m"]), START + i * 7, i, rng.random() < 0.75) for i in range(200)]
+    run = lambda s: state.breaker_stream(s.withColumn("t", F.unix_micros("ts")))
+    got = in_any_order(spark, tmp_path, rows, "key string, s long, id long, failed boolean", run)
     for key in ("p1/m", "p2/m"):
-        want = reference_breaker([r[1:] for r in rows if r[0] == key], 5, 30_000_000)
-        assert sorted((r["t"], r["before"], r["after"]) for r in got if r["key"] == key) == sorted(want) and want
+        want = reference_breaker([(r[1] * 1_000_000, *r[2:]) for r in rows if r[0] == key], 5, 30_000_000)
+        assert sorted(r[1:] for r in got if r[0] == key) == sorted(want) and want
 
 
-def test_hold_across_batches(spark, tmp_path):
+def test_hold_in_any_order(spark, tmp_path):
     pattern = [0, 1, 1, 1, 0, 1, 1, 1, 1, 1, 0, 1]
-    rows = [("u", 300 * i, bool(v)) for i, v in enumerate(pattern)]
-    schema = files(spark, f"{tmp_path}/in", rows, "key string, t long, active boolean", 5)
-    stream = common.file_stream(spark, f"{tmp_path}/in", schema, max_files=1)
-    got = common.drain_to_table(state.hold_stream(stream, 300, 600), "h").collect()
-    assert sorted((r["at_s"], r["event"], r["since_s"]) for r in got) == [
+    rows = [("u", START + 300 * i, bool(v)) for i, v in enumerate(pattern)]
+    run = lambda s: state.hold_stream(s.withColumn("t", F.col("s")), 300, 600)
+    got = in_any_order(spark, tmp_path, rows, "key string, s long, active boolean", run)
+    assert sorted((at - START, event, since - START) for _, event, since, at in got) == [
         (900, "firing", 300), (1200, "resolved", 300), (2100, "firing", 1500), (3000, "resolved", 1500)
     ]
-    grid = spark.createDataFrame(rows, schema).withColumn("window_start", F.timestamp_seconds("t"))
+    grid = spark.createDataFrame(rows, "key string, t long, active boolean")
     batch = alerts.alert_holds(grid, ["key"], F.col("active"), step_seconds=300, hold_seconds=600)
-    assert sorted(r["firing_from_s"] for r in batch.filter("firing").collect()) == [900, 2100]
-
-
-def test_silence_is_reported_once(spark, tmp_path):
-    minutes = [0, 10, 20, 100, 110, 400]
-    rows = [("m", T0 + timedelta(minutes=x)) for x in minutes] + [("other", T0 + timedelta(minutes=2000))]
-    schema = files(spark, f"{tmp_path}/in", rows, "key string, ts timestamp", 7)
-    stream = common.with_event_time(common.file_stream(spark, f"{tmp_path}/in", schema, max_files=1))
-    keyed = stream.select("key", "ts", F.unix_millis("ts").alias("ms"))
-    got = common.drain_to_table(state.silence_stream(keyed, 1800), "s").filter("key = 'm'").collect()
-    base = 1704067200000
-    assert sorted((r["last_ms"] - base) // 60000 for r in got) == [20, 110, 400]
+    assert sorted(r["firing_from_s"] - START for r in batch.filter("firing").collect()) == [900, 2100]
+
+
+def test_silence_in_any_order(spark, tmp_path):
+    rows = [("m", START + 60 * x) for x in [0, 10, 20, 20, 100, 110, 400]]
+    run = lambda s: state.silence_stream(s.withColumn("ms", F.unix_millis("ts")), 1800)
+    got = in_any_order(spark, tmp_path, rows, "key string, s long", run)
+    assert [(last // 1000 - START) // 60 for _, last in got] == [20, 110, 400]
+
+
+def test_counters_in_any_order(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "b"]), START + 11 * i, i, rng.randint(0, 50)) for i in range(200)]
+    got = in_any_order(spark, tmp_path, rows, "key string, s long, id long, value long", lambda s: state.counter_increase_stream(s, 100))
+    want, last = {}, {}
+    for key, s, _, value in rows:
+        before = last.get(key)
+        pane = key, s // 100 * 100_000
+        want[pane] = want.get(pane, 0) + (0 if before is None else value if value < before else value - before)
+        last[key] = value
+    assert {(k, p): n for k, p, n in got} == want
+    batch = rates.counter_increase(
+        spark.createDataFrame([(k, T0 + timedelta(seconds=s), i, v) for k, s, i, v in rows], "key string, ts timestamp_ntz, id long, value long"), ["key"], "100 seconds")
+    assert sum(r["increase"] for r in batch.collect()) == sum(want.values())
+
+
+def test_buffers_are_written_full_or_due(spark, tmp_path):
+    rng, at, rows = random.Random(5), START, []
+    for i in range(200):
+        at += rng.choice([1, 1, 1, 2, 60, 200])
+        rows.append((rng.choice(["a", "a", "a", "b"]), at, i, f"r{i}"))
+    got = in_any_order(spark, tmp_path, rows, "key string, s long, id long, record string", lambda s: state.flush_stream(s, 6, 100))
+    for key in ("a", "b"):
+        want, held, first = [], [], None
+
+        def write(cause):
+            want.append((key, len(want), len(held), first * 1000, cause, list(held)))
+
+        for _, s, _, record in (r for r in rows if r[0] == key):
+            if held and s >= first + 100:
+                write("age")
+                held = []
+            first = first if held else s
+            held.append(record)
+            if len(held) == 6:
+                write("count")
+                held = []
+        if held:
+            write("age")
+        assert [(*x[:5], list(x[5])) for x in got if x[0] == key] == want and {x[4] for x in want} == {"age", "count"} or key == "b"
 
 
 @pytest.mark.parametrize("label", ["a", "b"])
