@@ -133,7 +133,7 @@ def psi_max(t: Tables) -> DataFrame:
 @query("drift_skip_reasons", """
     WITH models AS (SELECT DISTINCT use_case, model FROM {runs}),
     champs AS (SELECT use_case, model, max(model_version) AS version FROM {calls} GROUP BY 1, 2),
-    refs AS (SELECT DISTINCT use_case, model FROM {calls} WHERE use_case <> 'uc1' OR model <> 'fraud'),
+    refs AS (SELECT DISTINCT use_case, model FROM {calls}),
     live AS (SELECT c.use_case, c.model, count(*) AS n FROM {calls} c JOIN champs k ON k.use_case = c.use_case AND k.model = c.model AND k.version = c.model_version
              WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5000 MINUTE GROUP BY 1, 2)
     SELECT m.use_case, m.model, coalesce(n, 0) AS rows,
@@ -146,7 +146,7 @@ def drift_skip_reasons(t: Tables) -> DataFrame:
     keys = ["use_case", "model"]
     now = F.lit(t.events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
     live = d.champion_rows(d.recent(t.calls, now, 5000), champions(t)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    references = t.calls.filter((F.col("use_case") != "uc1") | (F.col("model") != "fraud")).select(*keys).distinct()
+    references = t.calls.select(*keys).distinct()
     reasons = d.skip_reasons(t.runs.select(*keys).distinct(), champions(t), references, live, comparable=2)
     return reasons.select(*keys, "rows", F.coalesce("skipped", F.lit("")).alias("skipped"))
 

@@ -91,6 +91,17 @@ def outcome_mix(t: Tables) -> DataFrame:
     return r.outcome_mix(t.calls, "model", "outcome", ["ok", "timeout", "error"])
 
 
+@query("fallback_reasons", """
+    SELECT use_case, model, reason, count(*) AS n, round(count(*) / any_value(total), 6) AS share FROM (
+        SELECT *, CASE WHEN outcome = 'error' AND value > 150 THEN 'slow_error' ELSE outcome END AS reason, count(*) OVER (PARTITION BY use_case, model) AS total FROM {calls})
+    WHERE source = 'fallback' OR outcome = 'timeout' GROUP BY 1, 2, 3""")
+def fallback_reasons(t: Tables) -> DataFrame:
+    """Reasons of the answers that did not come from the model in time."""
+    reasoned = t.calls.withColumn("reason", F.when((F.col("outcome") == "error") & (F.col("value") > 150), "slow_error").otherwise(F.col("outcome")))
+    fallback = (F.col("source") == "fallback") | (F.col("outcome") == "timeout")
+    return r.fallback_reasons(reasoned, ["use_case", "model"], "reason", fallback).withColumn("share", r6("share"))
+
+
 def _gauges(t: Tables) -> DataFrame:
     return t.calls.select(
         "ts", "event_id", F.concat(F.lit("gauge_"), "prediction").alias("name"),

@@ -65,7 +65,7 @@ def split_summary(t: Tables) -> DataFrame:
     )
 
 
-def _sql_hash(columns: list[str], table: str, schema: str) -> str:
+def sql_hash(columns: list[str], table: str, schema: str) -> str:
     """The multiset hash of a table in SQL: digest words summed over the rows, then the schema."""
     spelled = [f"CAST({c} AS VARCHAR)" for c in columns]
     text = " || ".join(f"coalesce(length({c}) || ':' || {c}, '~')" for c in spelled)
@@ -75,27 +75,28 @@ def _sql_hash(columns: list[str], table: str, schema: str) -> str:
         SELECT count(*) AS n, {words} FROM (SELECT md5({text}) AS d FROM {table}))"""
 
 
-def _sql_exact(x: str) -> str:
-    """A double in SQL as sign, 53-bit integer and power of two."""
+def sql_exact(x: str) -> str:
+    """A double in SQL as a hexadecimal fraction and a power of two."""
     guess = f"floor(log2(abs({x})))::BIGINT"
     power = f"({guess} + CASE WHEN abs({x}) * pow(2.0, 52 - {guess}) >= pow(2.0, 53) THEN 1 WHEN abs({x}) * pow(2.0, 52 - {guess}) < pow(2.0, 52) THEN -1 ELSE 0 END)"
-    number = f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || (abs({x}) * pow(2.0, 52 - {power}))::BIGINT || 'p' || {power}"
+    digits = f"rtrim(format('{{:013x}}', (abs({x}) * pow(2.0, 52 - {power}))::BIGINT - 4503599627370496), '0')"
+    number = f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || '0x1.' || CASE WHEN {digits} = '' THEN '0' ELSE {digits} END || 'p' || {power}"
     return f"CASE WHEN {x} = 0 THEN '0' ELSE {number} END"
 
 
-_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", _sql_exact("o_totalprice"),
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", sql_exact("o_totalprice"),
                   "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')", "o_orderpriority"]
 _ORDER_SCHEMA = ("o_orderkey bigint,o_custkey bigint,o_orderstatus string,o_totalprice double,o_orderdate timestamp_ntz,"
                  "o_orderpriority string")
 
 
-@query("data_hash", _sql_hash(_ORDER_COLUMNS, "orders", _ORDER_SCHEMA))
+@query("data_hash", sql_hash(_ORDER_COLUMNS, "orders", _ORDER_SCHEMA))
 def data_hash(t: Tables) -> DataFrame:
     return frame_hash(t.orders)
 
 
 @query("ingest_summary", f"""
-    SELECT rows, data_hash, 'lang,text,doc_id' AS columns, 'default' AS profile FROM ({_sql_hash(["lang", "text", "doc_id"], "documents", "lang string,text string,doc_id bigint")})""")
+    SELECT rows, data_hash, 'lang,text,doc_id' AS columns, 'default' AS profile FROM ({sql_hash(["lang", "text", "doc_id"], "documents", "lang string,text string,doc_id bigint")})""")
 def ingest_summary(t: Tables) -> DataFrame:
     """What landing the documents reports: rows, columns, content hash of the whole texts."""
     frame = t.documents.select("lang", "text", "doc_id")

@@ -23,22 +23,9 @@ def request_id(given: Column, *key: Column | str) -> Column:
 
 
 def exact_double(x: Column) -> Column:
-    """Every finite double as sign, 53-bit integer and power of two, which only that double has.
-
-    The first guess of the power is corrected, so it does not depend on how a logarithm is rounded. Both zeros are 0.
-    """
-    size = F.abs(x)
-
-    def scaled(power: Column) -> Column:
-        half = F.floor(power / 2)
-        return size * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
-
-    guess = F.floor(F.log2(size)).cast("long")
-    first = scaled(F.lit(52) - guess)
-    power = guess + F.when(first >= 2.0**53, 1).when(first < 2.0**52, -1).otherwise(0)
-    whole = scaled(F.lit(52) - power).cast("long").cast("string")
-    number = F.concat(F.when(x < 0, "-").otherwise(""), whole, F.lit("p"), power.cast("string"))
-    return F.when(F.isnan(x), "NaN").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(size == 0, "0").otherwise(number)
+    """Every finite double as a hexadecimal fraction and a power of two, which only that double has. Both zeros are 0."""
+    special = F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0")
+    return special.otherwise(F.format_string("%a", x))
 
 
 def canonical_text(field: T.StructField) -> Column:

@@ -82,6 +82,16 @@ def outcome_mix(calls: DataFrame, by: str, outcome: str, known: Sequence[str]) -
     return calls.groupBy(by).pivot(outcome, list(known)).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def fallback_reasons(calls: DataFrame, by: Sequence[str], reason: str, fallback: Column) -> DataFrame:
+    """``by…, reason, n, share``: why answers came from a fallback, and the part of all calls that each reason makes.
+
+    All calls are counted in the same pass; keys without a fallback have no row.
+    """
+    counted = calls.groupBy(*by, F.when(fallback, F.coalesce(F.col(reason), F.lit("unknown"))).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(*by)  # one row a reason
+    return counted.withColumn("share", F.col("n") / F.sum("n").over(whole)).filter(F.col("reason").isNotNull())
+
+
 def counter_increase(
     samples: DataFrame, series: Sequence[str], length: str, *, order: Sequence[str] = ("ts", "id"), value: str = "value",
     **chunking,

@@ -11,6 +11,7 @@ from modelkeel.functions.ids import request_id
 from modelkeel.functions.text import contains_any
 from modelkeel.functions.vectors import positive_proba
 from modelkeel.operators.histograms import exact_quantiles
+from modelkeel.session import broadcast_if_small
 
 #: Rules of the fallback fraud check and the class order of the categorizer.
 PRICE_FLOOR = 1.0
@@ -48,9 +49,9 @@ def fraud_reasons(price: Column, median: Column, title: Column, keywords: Sequen
 def fraud_rules(listings: DataFrame, medians: DataFrame, keywords: Sequence[str] = KEYWORDS) -> DataFrame:
     """Add ``reasons`` and ``score`` from price, category and title.
 
-    ``medians`` has one row per category of the use case, a handful by declaration.
+    ``medians`` has one row per category of the use case; it is broadcast only after counting it.
     """
-    known = listings.join(F.broadcast(medians), "category", "left")
+    known = listings.join(broadcast_if_small(medians), "category", "left")
     scored = known.withColumn("reasons", fraud_reasons(F.col("price"), F.col("median"), F.col("title"), keywords))
     return scored.withColumn(
         "score", F.when(F.size("reasons") > 0, F.lit(SCORE_SUSPICIOUS)).otherwise(F.lit(SCORE_CLEAN))
