@@ -78,7 +78,7 @@ def test_base_spans_are_those_of_the_patterns(found):
 def test_added_spans(found):
     rows, _, got = found
     texts = {r[0]: r[1] for r in rows}
-    added = {r["doc_id"]: [x for x in names(r["spans"]) if x not in names(r["base"])] for r in got}
+    added = {r["doc_id"]: set(names(r["spans"])) - set(names(r["base"])) for r in got}
     for r in got:
         assert set(names(r["base"])) <= set(names(r["spans"]))
     for i in range(1000, 1005):
