@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import argparse
 import json
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from modelkeel.operators import drift, split
 from modelkeel.plans import monitor, pipeline
 from modelkeel.session import prepare
+from modelkeel.sources import topic
 from modelkeel.sources.records import read_log, record_schema
 from modelkeel.spec import load_use_case
 
@@ -53,7 +55,9 @@ def parser() -> argparse.ArgumentParser:
     command(
         "drift", window_minutes={"type": int, "default": drift.WINDOW_MINUTES}, warn={"type": float, "default": drift.WARN},
         retrain={"type": float, "default": drift.RETRAIN}, min_rows={"type": int, "default": drift.MIN_ROWS},
-        log={"required": True, "help": "root of the prediction log"},
+        source={"choices": ("log", "topic"), "default": "log", "help": "where the live records are read"},
+        log={"default": None, "help": "root of the prediction log"},
+        bootstrap={"default": None, "help": "servers of the topic"}, topic={"default": topic.DEFAULT_TOPIC},
         features={"required": True, "help": "logged features as name:type, comma-separated"},
         prediction_type={"default": "string"}, now={"default": None, "help": "ISO time in UTC; default: the clock"},
         dry_run={"action": "store_true"},
@@ -68,12 +72,26 @@ def _sample(run: pipeline.Run, arguments) -> list[dict]:
     return [json.loads(r["record"]) for r in records.collect()]
 
 
+def _live_records(run: pipeline.Run, a, schema, now: datetime):
+    """The records to be judged: the log, or the window of the topic, decoded and of this model only."""
+    if a.source == "log":
+        if not a.log:
+            raise SystemExit("--source log needs --log")
+        return read_log(run.spark, a.log, schema)
+    if not a.bootstrap:
+        raise SystemExit("--source topic needs --bootstrap")
+    since = now - timedelta(minutes=a.window_minutes)
+    millis = int(since.replace(tzinfo=timezone.utc).timestamp() * 1000)
+    rows = topic.read_topic_window(run.spark, a.bootstrap, a.topic, millis)
+    return topic.decode_window(rows, schema, F.timestamp_millis(F.lit(millis)), model=run.model)
+
+
 def _drift(run: pipeline.Run, a) -> dict:
     features = dict(item.split(":", 1) for item in a.features.split(","))
     now = datetime.fromisoformat(a.now) if a.now else datetime.now(timezone.utc).replace(tzinfo=None)
-    log = read_log(run.spark, a.log, record_schema(features, a.prediction_type))
+    records = _live_records(run, a, record_schema(features, a.prediction_type), now)
     return monitor.check_model(
-        run, log, now, window_minutes=a.window_minutes, warn=a.warn, retrain=a.retrain, min_rows=a.min_rows, dry_run=a.dry_run
+        run, records, now, window_minutes=a.window_minutes, warn=a.warn, retrain=a.retrain, min_rows=a.min_rows, dry_run=a.dry_run
     )
 
 

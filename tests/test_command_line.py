@@ -1,6 +1,6 @@
 """The steps one by one, as a scheduler would call them."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from modelkeel.sources.records import append_log, with_log_partitions
 from test_pipeline import Toy
 
 
-def test_steps_and_monitor(spark, tmp_path):
+def test_steps_and_monitor(spark, tmp_path, monkeypatch):
     shared = ["--use-case", "test_pipeline:use_case", "--model", "weight", "--run-id", "r1", "--root", str(tmp_path)]
 
     def step(command, *more):
@@ -39,3 +39,25 @@ def test_steps_and_monitor(spark, tmp_path):
     assert found["level"] == "retrain" and found["rows"] == 250 and not found["retrain_requested"]
     with pytest.raises(LookupError):
         step("rollback")
+
+    # the same records from a topic: only those since the bound, of this model
+    rows = live.withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    late = F.lit(now - timedelta(minutes=3)).cast("timestamp")
+    shaped = rows.select(F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), late.alias("timestamp"),
+                         F.lit("weight").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    other = shaped.withColumn("value", F.replace("value", F.lit('"model":"weight"'), F.lit('"model":"other"')))
+    old = shaped.withColumn("timestamp", F.lit(now - timedelta(days=1)).cast("timestamp"))
+    asked = []
+
+    def read(session, bootstrap, topic, since):
+        asked.append((bootstrap, topic, since))
+        return shaped.unionByName(other).unionByName(old)
+
+    monkeypatch.setattr("modelkeel.sources.topic.read_topic_window", read)
+    drift = ["drift", "--source", "topic", "--features", "size:double", "--prediction-type", "double", "--now", now.isoformat(), "--dry-run"]
+    again = step(*drift, "--bootstrap", "b:9092")
+    assert (again["level"], again["rows"], again["psi"]) == (found["level"], found["rows"], found["psi"])
+    minutes = found["window_minutes"]
+    assert asked == [("b:9092", "predictions", int((now - timedelta(minutes=minutes)).replace(tzinfo=timezone.utc).timestamp() * 1000))]
+    with pytest.raises(SystemExit):
+        step(*drift)
