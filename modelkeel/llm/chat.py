@@ -64,11 +64,13 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256, system: int = 128) -> DataFrame:
     """Windows of ``conversations`` rows (conv_id, turn, role, text).
 
-    A turn costs its words plus 4. Prefix sums of the costs cut each conversation at whole turns: a window holds
-    the turns that begin within its ``budget - history - system`` tokens, so a turn is never cut and a longer
-    one stands in a window of its own length. Each later window first repeats the conversation's system turn
-    (its first turn, if that is one) and the last turns before it, up to ``history`` tokens. Only assistant
-    texts that a window has for the first time are under its loss mask (``loss``, offsets of code points).
+    A turn costs its words plus 4. Prefix sums of the costs cut each conversation at whole turns, by cells of
+    ``budget - history - system`` tokens: the turns that lie in a cell make a window, and a turn that reaches over its end
+    makes one alone. So no window has more turns of its own than a cell, unless one turn is longer. Each later
+    window first repeats the conversation's system turn (its first turn, if that is one) and the last turns before it, up
+    to ``history`` tokens and no more than the budget leaves. A window is over the budget only if one turn and the
+    system turn are so alone. Only assistant texts that a window has for the first time are under its loss mask (``loss``,
+    offsets of code points).
 
     The prefix sums come from sums of blocks of ``ROWS_PER_BUCKET`` turn numbers, so no sort holds a long
     conversation. Null turns come first, equal turns are ordered by role and text and all kept; a null text or
@@ -84,27 +86,26 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256, sys
     joined = rows.alias("a").join(bases.alias("b"), same("conv_id", "b_conv") & same("bucket", "b_bucket")).drop("b_conv", "b_bucket")
     running = F.sum("cost").over(Window.partitionBy("conv_id", "bucket").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0))
     placed = joined.withColumn("stop", F.col("base") + running).withColumn("start", F.col("stop") - F.col("cost"))
-    own = placed.withColumn("window_no", F.floor(F.col("start") / step))
-    span = Window.partitionBy("conv_id", "window_no")
-    own = own.withColumn("span_stop", F.max("stop").over(span))
-
-    parts = F.array(
-        F.struct(F.lit(2).alias("part"), F.col("window_no").alias("at")),
-        # the next turn begins where this span stops
-        F.when((F.col("span_stop") - F.col("start") <= history) & (F.floor(F.col("span_stop") / step) > F.col("window_no")), F.struct(F.lit(1).alias("part"), F.floor(F.col("span_stop") / step).alias("at"))))
-    spread = own.withColumn("p", F.explode(F.array_compact(parts))).select(
-        "conv_id", F.col("p.at").alias("window_no"), F.col("p.part").alias("part"), "start", "role", "text", "window_no")
-    spread = spread.toDF("conv_id", "window_no", "part", "start", "role", "text", "own_window")
-    first = own.where((F.col("start") == 0) & (F.col("role") == "system")).select("conv_id", "role", "text")
-    later = own.where("window_no > 0").select(F.col("conv_id").alias("w_conv"), F.col("window_no").alias("w_no")).distinct()
-    kept = first.alias("a").join(later.alias("b"), same("conv_id", "w_conv")).select(
-        "conv_id", F.col("w_no").alias("window_no"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("start"), "role", "text")
-    # the system turn is not history too: it is there already
-    is_system = (F.col("part") == 1) & (F.col("start") == 0) & (F.col("role") == "system")
-    all_rows = spread.drop("own_window").where(~F.coalesce(is_system, F.lit(False))).unionByName(kept)
+    cell = F.floor(F.col("start") / step)
+    own = placed.withColumn("window_no", 2 * cell + (F.col("stop") > (cell + 1) * step).cast("long"))
+    first = own.where((F.col("start") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("f_conv"), "role", "text", F.col("cost").alias("f_cost"))
+    spans = own.groupBy("conv_id", "window_no").agg(F.min("start").alias("low"), F.max("stop").alias("high"))
+    later = spans.where("low > 0").join(first, F.col("conv_id").eqNullSafe(F.col("f_conv")), "left")
+    left = F.lit(budget) - F.coalesce("f_cost", F.lit(0)) - (F.col("high") - F.col("low"))
+    reach = max(history, 1)
+    windows = later.select(F.col("conv_id").alias("w_conv"), F.col("window_no").alias("w_no"), "low", F.least(F.lit(history), left).alias("room"),
+                           F.floor(F.col("low") / reach).alias("w_place"))
+    # a window that a turn can be history of begins between the turn's end and ``history`` after its start: two places at most
+    can = own.where((F.col("cost") <= history) & ~((F.col("start") == 0) & F.coalesce(F.col("role") == "system", F.lit(False))))
+    placed_turns = can.select("conv_id", "start", "stop", "role", "text", F.explode(F.sequence(F.floor(F.col("stop") / reach), F.floor((F.col("start") + history) / reach))).alias("place"))
+    meets = F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("place") == F.col("w_place")) & (F.col("low") >= F.col("stop")) & (F.col("low") - F.col("start") <= F.col("room"))
+    repeated = placed_turns.join(windows, meets).select("conv_id", F.col("w_no").alias("window_no"), F.lit(1).alias("part"), "start", "role", "text")
+    kept = later.where("f_cost IS NOT NULL").select("conv_id", "window_no", F.lit(0).alias("part"), F.lit(0).cast("long").alias("start"), "role", "text")
+    mine = own.select("conv_id", "window_no", F.lit(2).alias("part"), "start", "role", "text")
+    all_rows = mine.unionByName(repeated).unionByName(kept)
     grouped = all_rows.groupBy("conv_id", "window_no").agg(
-        F.sort_array(F.collect_list(F.struct("part", "start", "role", "text"))).alias("turns"), F.max("part").alias("most"))
-    return grouped.where("most = 2").select("conv_id", "window_no", "turns").mapInArrow(_format, WINDOWS)
+        F.sort_array(F.collect_list(F.struct("part", "start", "role", "text"))).alias("turns"))
+    return grouped.select("conv_id", "window_no", "turns").mapInArrow(_format, WINDOWS)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,7 +44,7 @@ def test_windows(spark):
     for k, w in enumerate(mine):
         turns = chat.parse(w["formatted"])
         assert turns[0][0] == "system"
-        assert sum(len(t.split()) + 4 for _, t in turns) <= 200 + 44
+        assert sum(len(t.split()) + 4 for _, t in turns) <= 200
         if k:
             numbers = [int(t.split()[0][1:]) for _, t in turns[1:]]
             assert numbers == list(range(numbers[0], numbers[0] + len(numbers)))
@@ -51,5 +52,45 @@ def test_windows(spark):
     assert shown > 40
 
 
+def brute_windows(costs, budget, history, system, has_system):
+    """Turn numbers (history, own) of each window, by the docstring."""
+    step, starts = budget - history - system, [sum(costs[:i]) for i in range(len(costs))]
+    cells = {}
+    for i, (start, cost) in enumerate(zip(starts, costs)):
+        cell = start // step
+        cells.setdefault((cell, start + cost > (cell + 1) * step), []).append(i)
+    out = []
+    for own in (cells[k] for k in sorted(cells)):
+        low, used = starts[own[0]], sum(costs[i] for i in own)
+        room = min(history, budget - (costs[0] if has_system else 0) - used)
+        past = [i for i in range(1 if has_system else 0, own[0]) if low - starts[i] <= room] if own[0] else []
+        out.append((past, own))
+    return out
+
+
+def test_windows_keep_the_budget(spark):
+    """Turns of 600, 900, 600, 900, 30, 900 tokens, and random ones, with and without a system turn of any length."""
+    rng = random.Random(9)
+    talks = {1: [600, 900, 600, 900, 30, 900], 2: [5000, 5, 5, 700]}
+    talks |= {i: [rng.choice([5, 9, 60, 200, 640, 700, 1024]) for _ in range(rng.randint(1, 40))] for i in range(3, 40)}
+    rows = [(c, t, "system" if t == 0 and c % 2 else "assistant", " ".join([f"n{t}", *["w"] * (cost - 5)]), 0, "")
+            for c, costs in talks.items() for t, cost in enumerate(costs)]
+    windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    for c, costs in talks.items():
+        mine = sorted((r for r in windows if r["conv_id"] == c), key=lambda r: r["window_no"])
+        got = []
+        for k, w in enumerate(mine):
+            turns = chat.parse(w["formatted"])
+            numbers = [int(t.split()[0][1:]) for _, t in turns]
+            held, own = numbers[: w["n_context"]], numbers[w["n_context"] :]
+            if c % 2 and k:
+                assert held[0] == 0
+                held = held[1:]
+            got.append((held, own))
+            size = sum(costs[i] for i in numbers)
+            assert size <= 1024 or len(own) == 1 and not held or c % 2 and costs[0] > 128 + 256
+        assert got == brute_windows(costs, 1024, 256, 128, c % 2 == 1)
+
+
 def test_no_rows(spark):
     assert chat.read_back(chat.format_windows(spark.createDataFrame([], SCHEMA))).collect() == []
