@@ -11,15 +11,15 @@ so sorting the numbers of a line sorts its words by rarity and no two hashes bec
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelkeel.session import materialise
 
 SLOTS = 1 << 16
 SEPARATORS = " \t\n\v\f\r"
-#: Bits of the bounded filter that keeps lines without a candidate out of the join for verification.
-FILTER_BITS = 1 << 22
+#: Least and greatest number of bits of the filter that keeps lines without a candidate out of the join for verification.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 16, 1 << 27
 
 
 def _words(text: Column) -> Column:
@@ -30,44 +30,56 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SEPARATORS[0]), "")
 
 
-def _numbers(values: list[int]) -> Column:
-    """A constant array, folded once; look-ups in it take constant time."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _dense(numbers: DataFrame, order: list[str], value: str) -> Column:
+    """The column ``value`` of a table of bounded size as one array in the given order, for look-ups by place.
+
+    It is a scalar subquery on a written row: the numbers appear in no plan and pass no Python code.
+    """
+    rows = F.sort_array(F.collect_list(F.struct(*order, value)))
+    row = materialise(numbers.agg(F.transform(rows, lambda r: r[value]).alias("values")), "line-numbers")
+    return row.scalar()
 
 
-def slot_ranks(docs: DataFrame) -> list[int]:
+def slot_ranks(docs: DataFrame) -> Column:
     """Place of each slot in the order of how many words of all texts fall into it, moved to begin below zero."""
     words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
     counts = words.groupBy((F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1))).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    known = {r["slot"]: r["n"] for r in counts.collect()}
-    ranks = [0] * SLOTS
-    for place, slot in enumerate(sorted(range(SLOTS), key=lambda s: (known.get(s, 0), s))):
-        ranks[slot] = place - SLOTS // 2
-    return ranks
+    every = docs.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("n"))
+    counts = counts.unionByName(every).groupBy("slot").agg(F.sum("n").alias("n"))
+    # one task, but never more than SLOTS rows
+    places = counts.withColumn("place", F.row_number().over(Window.orderBy("n", "slot")) - 1 - SLOTS // 2)
+    return _dense(places.select("slot", F.col("place").cast("long").alias("place")), ["slot"], "place")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """All lines: where they stand, their hash and their text."""
+    """All lines: where they stand, and their text."""
     cut = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return cut.select(F.struct("doc_id", "th", "line").alias("at"), F.xxhash64("text").alias("lh"), "text")
+    return cut.select(F.struct("doc_id", "th", "line").alias("at"), "text")
 
 
-def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """Lines with words, with their sets: sorted word numbers, size, key and two signatures, which together name the set."""
+def _word_sets(lines: DataFrame, ranks: Column) -> DataFrame:
+    """Lines with words, their other columns and their sets as sorted word numbers."""
     def number(w: Column) -> Column:
         h = F.xxhash64(w)
         return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
     # the condition is on the text: one on the numbers would be moved below them and compute them twice
-    full = lines.where(F.btrim("text", F.lit(SEPARATORS)) != "")
-    sets = full.select("at", "lh", F.sort_array(F.array_distinct(F.transform(_words(F.col("text")), number))).alias("ids"))
+    full = lines.where(F.btrim("text", F.lit(SEPARATORS)) != "").withColumn("ranks", ranks)
+    ranks = F.col("ranks")
+    ids = F.sort_array(F.array_distinct(F.transform(_words(F.col("text")), number)))
+    return full.select(*[c for c in lines.columns if c != "text"], ids.alias("ids"))
+
+
+def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
+    """Lines with words: sets, and their size, key and two signatures, which together name the set."""
     def parity(half: int) -> Column:
         # a number flips one bit of one half of the signature
         own = lambda x: x.bitwiseAND(F.lit(64)) == 64 * half
         none = F.lit(0).cast("long")
         return F.aggregate("ids", none, lambda a, x: a.bitwiseXOR(F.when(own(x), _bit(x)).otherwise(none)))
 
-    return sets.select("at", "lh", "ids", F.size("ids").alias("n"), F.xxhash64("ids").alias("key"), parity(0).alias("sig"), parity(1).alias("sig2"))
+    sets = _word_sets(lines, ranks)
+    return sets.select("at", "ids", F.size("ids").alias("n"), F.xxhash64("ids").alias("key"), parity(0).alias("sig"), parity(1).alias("sig2"))
 
 
 def _bit(number: Column) -> Column:
@@ -80,6 +92,41 @@ def _least_common(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * 4 / F.lit(9))
 
 
+def _fits(x: str, y: str) -> Column:
+    """Whether two entries of a word can belong to alike sets: by length, place of the word, and signature."""
+    xn, yn = (F.shiftright(f"{side}.size", 32).cast("int") for side in (x, y))
+    xp, yp = (F.col(f"{side}.size").bitwiseAND(F.lit((1 << 31) - 1)).cast("int") for side in (x, y))
+    need = _least_common(xn, yn)
+    return (
+        (F.col(f"{x}.word") == F.col(f"{y}.word"))
+        & (F.least(xn, yn) * 5 >= F.greatest(xn, yn) * 4)
+        & (F.least(xn - xp, yn - yp) >= need)
+        & (sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("sig", "sig2")) <= xn + yn - 2 * need)
+    )
+
+
+def _whole_sets(docs: DataFrame, ranks: Column, wanted: DataFrame) -> DataFrame:
+    """``sid, ids`` of the wanted sets (``sid, at``), taken once more from the texts.
+
+    A bit filter on places of lines, sized by the number of wanted sets up to MOST_FILTER_BITS, keeps other lines out
+    of the join; a full one would only let more lines through.
+    """
+    bits = max(FILTER_BITS, min(MOST_FILTER_BITS, 1 << (16 * wanted.count()).bit_length()))
+    place = F.xxhash64("at").bitwiseAND(F.lit(bits - 1))
+    filled = wanted.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(_bit(place)).alias("bits"))
+    every = docs.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("bits"))
+    filled = _dense(filled.unionByName(every).groupBy("w").agg(F.bit_or("bits").alias("bits")), ["w"], "bits")
+    maybe = _lines(docs).where(F.get(filled, F.shiftright(place, 6).cast("int")).bitwiseAND(_bit(place)) != 0)
+    # rows equal in doc_id and text stand at the same place
+    return _word_sets(maybe.join(wanted, "at").select("sid", "text"), ranks).dropDuplicates(["sid"])
+
+
+def _alike(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """``sid`` of the sets that are alike to the other one of a pair (``sid, other``)."""
+    found = pairs.join(whole, "sid").join(whole.select(F.col("sid").alias("other"), F.col("ids").alias("other_ids")), "other")
+    return found.where(F.size(F.array_intersect("ids", "other_ids")) * 9 >= (F.size("ids") + F.size("other_ids")) * 4).select("sid").distinct()
+
+
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, th, removed``: the numbers (from 0) of the lines to remove, for every document that has some.
 
@@ -87,50 +134,39 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     doc_id, ``th`` and number, has an equal set or one of similarity 4/5 or more. A line without words never goes;
     a null doc_id comes first, a null text has no line, and rows equal in doc_id and text are one document.
 
-    Each distinct set is looked up once, whatever its number of lines. Only the join on a word sees lists of sets; its
-    pairs are filtered inside the join. The whole sets of pairs are taken once more from the texts, from lines that a
-    filter of fixed size lets through.
+    Each distinct set is looked up once, whatever its number of lines; sets are numbered in the order of their first
+    lines. A semi-join on the words of prefixes leaves the entries that can have a partner, one row each however many
+    those are. They are compared with the earliest set of their word first; only sets that it does not remove are
+    compared with all earlier ones. Whole sets are taken once more from the texts.
     """
     docs = docs.select("doc_id", "text")
-    ranks = _numbers(slot_ranks(docs))
+    ranks = slot_ranks(docs)
     n, name = F.col("n"), ["key", "sig", "sig2", "n"]
     prefix = F.slice("ids", F.lit(1), (n - F.ceil(n * 4 / F.lit(5)) + 1).cast("int"))
-    lines = materialise(_sets(_lines(docs), ranks).select("at", "lh", *name, prefix.alias("prefix")), "lines")
+    lines = materialise(_sets(_lines(docs), ranks).select("at", *name, prefix.alias("prefix")), "lines")
 
-    entries = lines.groupBy(*name).agg(F.first("prefix").alias("prefix")).select(*name, F.posexplode("prefix").alias("pos", "word"))
+    sets = lines.groupBy(*name).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("times"), F.first("prefix").alias("prefix"))
+    sets = materialise(sets.orderBy("at").select(F.monotonically_increasing_id().alias("sid"), "*"), "line-sets")
+
+    # a set of fewer than four words is alike to none but an equal one
+    entries = sets.where(n >= 4).select("sid", "sig", "sig2", n, F.posexplode("prefix").alias("pos", "word"))
     packed = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    entries = entries.select("word", "key", "sig", "sig2", packed.alias("size"))
-    x, y = entries.alias("x"), entries.alias("y")
-    xn, yn = (F.shiftright(f"{side}.size", 32).cast("int") for side in "xy")
-    xp, yp = (F.col(f"{side}.size").bitwiseAND(F.lit((1 << 31) - 1)).cast("int") for side in "xy")
-    need = _least_common(xn, yn)
-    fits = (
-        (F.col("x.word") == F.col("y.word"))
-        & ((F.col("x.key") < F.col("y.key")) | (F.col("x.key") == F.col("y.key")) & (F.struct("x.sig", "x.sig2", xn) < F.struct("y.sig", "y.sig2", yn)))
-        & (F.least(xn, yn) * 5 >= F.greatest(xn, yn) * 4)
-        & (F.least(xn - xp, yn - yp) >= need)
-        & (sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("sig", "sig2")) <= xn + yn - 2 * need)
-    )
-    pairs = materialise(x.join(y, fits).select(F.struct("x.key", "x.sig", "x.sig2", xn.alias("n")).alias("a"), F.struct("y.key", "y.sig", "y.sig2", yn.alias("n")).alias("b")).distinct(), "line-pairs")
-
-    ends = pairs.select("a.*").union(pairs.select("b.*")).distinct()
-    wanted = lines.join(materialise(ends, "line-ends"), name).groupBy(*name).agg(F.min(F.struct("at", "lh")).alias("first"))
-    wanted = materialise(wanted.select(*name, "first.at", "first.lh"), "line-wanted")
-    place = F.col("lh").bitwiseAND(F.lit(FILTER_BITS - 1))
-    bits = wanted.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(_bit(place)).alias("bits"))
-    known = {r["w"]: r["bits"] for r in bits.collect()}
-    filled = _numbers([known.get(w, 0) for w in range(FILTER_BITS // 64)])
-    maybe = _lines(docs).where(F.get(filled, F.shiftright(place, 6).cast("int")).bitwiseAND(_bit(place)) != 0)
-    found = _sets(maybe, ranks).select(*name, "ids").join(wanted.select(*name, "at"), name)
-    whole = materialise(found.groupBy(*name).agg(F.first("ids").alias("ids"), F.first("at").alias("at")), "line-ids")
-    for side in ("a", "b"):
-        pairs = pairs.join(whole.select(F.struct(*name).alias(side), F.col("ids").alias(f"ids_{side}"), F.col("at").alias(f"at_{side}")), side)
-    alike = F.size(F.array_intersect("ids_a", "ids_b")) * 9 >= (F.col("a.n") + F.col("b.n")) * 4
-    later = pairs.where(alike).select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("set"))
-    gone = later.select("set.*").distinct().withColumn("gone", F.lit(True))
-
-    again = lines.groupBy(*name).agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    verdict = materialise(again.join(gone, name, "full"), "line-verdicts")
+    entries = entries.select("word", "sid", "sig", "sig2", packed.alias("size"))
+    some = entries.alias("x").join(entries.alias("y"), _fits("x", "y") & (F.col("x.sid") != F.col("y.sid")), "left_semi")
+    some = materialise(some, "line-entries")
+    whole = materialise(_whole_sets(docs, ranks, materialise(sets.join(some.select("sid").distinct(), "sid").select("sid", "at"), "line-wanted")), "line-ids")
+
+    first = some.groupBy("word").agg(F.min("sid").alias("sid"), *[F.min_by(c, "sid").alias(c) for c in ("sig", "sig2", "size")])
+    ends = [F.col("x.sid").alias("sid"), F.col("y.sid").alias("other")]
+    earlier = F.col("y.sid") < F.col("x.sid")
+    pairs = some.alias("x").join(first.alias("y"), _fits("x", "y") & earlier).select(*ends).distinct()
+    gone = materialise(_alike(pairs, whole), "line-gone")
+    still = some.join(gone, "sid", "left_anti")
+    pairs = still.alias("x").join(some.alias("y"), _fits("x", "y") & earlier).select(*ends).distinct()
+    gone = gone.union(_alike(pairs, whole)).withColumn("gone", F.lit(True))
+
+    verdict = sets.select("sid", *name, "times", F.col("at").alias("first_at")).join(gone, "sid", "left").where("gone OR times > 1")
+    verdict = materialise(verdict.drop("sid", "times"), "line-verdicts")
     judged = lines.select("at", *name).join(verdict, name).where("gone OR at <> first_at")
     return judged.groupBy("at.doc_id", "at.th").agg(F.sort_array(F.collect_set("at.line")).alias("removed"))
 
