@@ -134,10 +134,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     doc_id, ``th`` and number, has an equal set or one of similarity 4/5 or more. A line without words never goes;
     a null doc_id comes first, a null text has no line, and rows equal in doc_id and text are one document.
 
-    Each distinct set is looked up once, whatever its number of lines; sets are numbered in the order of their first
-    lines. A semi-join on the words of prefixes leaves the entries that can have a partner, one row each however many
-    those are. They are compared with the earliest set of their word first; only sets that it does not remove are
-    compared with all earlier ones. Whole sets are taken once more from the texts.
+    Each distinct set is looked up once, whatever its number of lines. A semi-join on the words of prefixes leaves the
+    entries that can have a partner, one row each however many those are. Their sets are numbered in the order of their
+    first lines and compared with the earliest set of a word first; only sets that it does not remove are compared with
+    all earlier ones. Whole sets are taken once more from the texts.
     """
     docs = docs.select("doc_id", "text")
     ranks = slot_ranks(docs)
@@ -146,15 +146,18 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     lines = materialise(_sets(_lines(docs), ranks).select("at", *name, prefix.alias("prefix")), "lines")
 
     sets = lines.groupBy(*name).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("times"), F.first("prefix").alias("prefix"))
-    sets = materialise(sets.orderBy("at").select(F.monotonically_increasing_id().alias("sid"), "*"), "line-sets")
+    sets = materialise(sets.select(F.monotonically_increasing_id().alias("number"), "*"), "line-sets")
 
     # a set of fewer than four words is alike to none but an equal one
-    entries = sets.where(n >= 4).select("sid", "sig", "sig2", n, F.posexplode("prefix").alias("pos", "word"))
+    entries = sets.where(n >= 4).select("number", "sig", "sig2", n, F.posexplode("prefix").alias("pos", "word"))
     packed = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    entries = entries.select("word", "sid", "sig", "sig2", packed.alias("size"))
-    some = entries.alias("x").join(entries.alias("y"), _fits("x", "y") & (F.col("x.sid") != F.col("y.sid")), "left_semi")
+    entries = entries.select("word", "number", "sig", "sig2", packed.alias("size"))
+    some = entries.alias("x").join(entries.alias("y"), _fits("x", "y") & (F.col("x.number") != F.col("y.number")), "left_semi")
     some = materialise(some, "line-entries")
-    whole = materialise(_whole_sets(docs, ranks, materialise(sets.join(some.select("sid").distinct(), "sid").select("sid", "at"), "line-wanted")), "line-ids")
+    wanted = sets.join(some.select("number").distinct(), "number").select("number", "at").orderBy("at")
+    wanted = materialise(wanted.select(F.monotonically_increasing_id().alias("sid"), "*"), "line-wanted")
+    some = materialise(some.join(wanted.select("number", "sid"), "number").drop("number"), "line-entries")
+    whole = materialise(_whole_sets(docs, ranks, wanted.drop("number")), "line-ids")
 
     first = some.groupBy("word").agg(F.min("sid").alias("sid"), *[F.min_by(c, "sid").alias(c) for c in ("sig", "sig2", "size")])
     ends = [F.col("x.sid").alias("sid"), F.col("y.sid").alias("other")]
@@ -163,10 +166,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     gone = materialise(_alike(pairs, whole), "line-gone")
     still = some.join(gone, "sid", "left_anti")
     pairs = still.alias("x").join(some.alias("y"), _fits("x", "y") & earlier).select(*ends).distinct()
-    gone = gone.union(_alike(pairs, whole)).withColumn("gone", F.lit(True))
+    gone = gone.union(_alike(pairs, whole)).join(wanted, "sid").select("number", F.lit(True).alias("gone"))
 
-    verdict = sets.select("sid", *name, "times", F.col("at").alias("first_at")).join(gone, "sid", "left").where("gone OR times > 1")
-    verdict = materialise(verdict.drop("sid", "times"), "line-verdicts")
+    verdict = sets.select("number", *name, "times", F.col("at").alias("first_at")).join(gone, "number", "left").where("gone OR times > 1")
+    verdict = materialise(verdict.drop("number", "times"), "line-verdicts")
     judged = lines.select("at", *name).join(verdict, name).where("gone OR at <> first_at")
     return judged.groupBy("at.doc_id", "at.th").agg(F.sort_array(F.collect_set("at.line")).alias("removed"))
 
