@@ -2,8 +2,8 @@
 
 A line is the set of its words, in lower case. Its words are ordered by rarity, and two lines whose sets have a Jaccard similarity
 of at least 4/5 share a word among the first few of each (prefix filter). Such pairs must also fit in length, in the
-places of the shared word (positional filter), and in a 128-bit parity signature whose differing bits cannot
-outnumber the differing words. Whole sets decide what is left.
+places of the shared word (positional filter), and in a parity signature of 64 or 128 bits whose differing bits
+cannot outnumber the differing words. Whole sets decide what is left.
 
 Words are 64-bit hashes whose low 16 bits, the slot, are replaced by the slot's place in the order of word counts,
 so sorting the numbers of a line sorts its words by rarity and no two hashes become one.
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from modelkeel.session import materialise
 
 SLOTS = 1 << 16
+#: Sets of more words have a signature of 128 bits, others one of 64.
+LONG_SET = 96
 SEPARATORS = " \t\n\v\f\r"
 #: Least and greatest number of bits of the filter that keeps lines without a candidate out of the join for verification.
 FILTER_BITS, MOST_FILTER_BITS = 1 << 16, 1 << 27
@@ -72,14 +74,18 @@ def _word_sets(lines: DataFrame, ranks: Column) -> DataFrame:
 
 def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
     """Lines with words: sets, and their size, key and two signatures, which together name the set."""
-    def parity(half: int) -> Column:
-        # a number flips one bit of one half of the signature
-        own = lambda x: x.bitwiseAND(F.lit(64)) == 64 * half
-        none = F.lit(0).cast("long")
-        return F.aggregate("ids", none, lambda a, x: a.bitwiseXOR(F.when(own(x), _bit(x)).otherwise(none)))
+    none, long_set = F.lit(0).cast("long"), F.size("ids") > LONG_SET
+
+    def parity(flips) -> Column:
+        # a number flips the bit of its last six bits
+        return F.aggregate("ids", none, lambda a, x: a.bitwiseXOR(flips(x)))
+
+    def half(which: int) -> Column:
+        return parity(lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * which, _bit(x)).otherwise(none))
 
     sets = _word_sets(lines, ranks)
-    return sets.select("at", "ids", F.size("ids").alias("n"), F.xxhash64("ids").alias("key"), parity(0).alias("sig"), parity(1).alias("sig2"))
+    sig, sig2 = F.when(long_set, half(0)).otherwise(parity(_bit)), F.when(long_set, half(1)).otherwise(none)
+    return sets.select("at", "ids", F.size("ids").alias("n"), F.xxhash64("ids").alias("key"), sig.alias("sig"), sig2.alias("sig2"))
 
 
 def _bit(number: Column) -> Column:
@@ -97,11 +103,15 @@ def _fits(x: str, y: str) -> Column:
     xn, yn = (F.shiftright(f"{side}.size", 32).cast("int") for side in (x, y))
     xp, yp = (F.col(f"{side}.size").bitwiseAND(F.lit((1 << 31) - 1)).cast("int") for side in (x, y))
     need = _least_common(xn, yn)
+    # a short set has one signature, a long one two halves of it, which make one again
+    both = (xn > LONG_SET) == (yn > LONG_SET)
+    apart = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("sig", "sig2"))
+    one = [F.col(f"{side}.sig").bitwiseXOR(F.col(f"{side}.sig2")) for side in (x, y)]
     return (
         (F.col(f"{x}.word") == F.col(f"{y}.word"))
         & (F.least(xn, yn) * 5 >= F.greatest(xn, yn) * 4)
         & (F.least(xn - xp, yn - yp) >= need)
-        & (sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("sig", "sig2")) <= xn + yn - 2 * need)
+        & (F.when(both, apart).otherwise(F.bit_count(one[0].bitwiseXOR(one[1]))) <= xn + yn - 2 * need)
     )
 
 

@@ -58,6 +58,23 @@ def test_against_brute_force(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == left
 
 
+def test_signatures_of_either_length(spark):
+    # sets about the size at which the signature gets longer: partners on both sides of it, and more changes than fit
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(linededup.LONG_SET + 4)]
+    rows = []
+    for d in range(60):
+        words = base[:rng.randint(linededup.LONG_SET - 8, linededup.LONG_SET + 4)]
+        for _ in range(rng.choice([0, 3, 9, 12, 40])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(500)}"
+        rows.append((d, " ".join(words), 1, "x", 2))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    hashes = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) h").collect()}
+    want = {d for d, _ in brute(rows, hashes)}
+    assert 10 < len(want) < 55
+    assert {r["doc_id"] for r in linededup.duplicate_lines(docs).collect()} == want
+
+
 def test_no_python_in_the_plan(spark, tmp_path):
     spark.createDataFrame([(1, "a b\na b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     df = linededup.op6_line_dedup(spark, str(tmp_path))
