@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelkeel.llm.components import components
 from modelkeel.llm.hashing import mix
 from modelkeel.session import materialise
 
@@ -32,8 +33,12 @@ BATCH_CHARS = 4 << 20
 SAMPLES = 64
 PERIOD = 64
 BANDS, BAND_BYTES, BAND_BITS = 10, 6, 4
-#: Classes of a band that all others are compared with, after the smallest one.
-FIRST = 8
+#: Places of a band's sign, of four bits each, and how many may differ: 5.5 standard deviations at a likeness of 0.8.
+SIGN_PLACES, SIGN_DIFFER = 16, 11
+#: Places of the sign of a whole fingerprint, of two bits each.
+WHOLE_PLACES = 128
+#: Classes of a band up to which its pairs are taken by its key alone; beyond, by blocks of the fingerprints too.
+FEW = 32
 
 
 @cache
@@ -151,14 +156,20 @@ def _band_places(k: int) -> np.ndarray:
     return np.random.default_rng((21, k)).permuted(np.tile(np.arange(n), (BANDS, 1)), axis=1)[:, :BAND_BYTES]
 
 
-def bands(fingerprint: bytes) -> list[int]:
+@cache
+def _sign_places(k: int) -> np.ndarray:
+    return np.random.default_rng((22, k)).permutation(_spans()[k])[:SIGN_PLACES]
+
+
+def bands(fingerprint: bytes) -> dict[int, tuple[bool, int]]:
     """Keys of the bit-sampled bands, at the text's level and the next one, where a slightly longer text may be.
 
     The places of a band are drawn from a span of kept bytes. A text has the bands of the two largest spans that it
     fills: nearly all of it decides, wherever an edit is, and two texts have a span in common if the longer one keeps
-    at most 5/4 of the bytes of the other, as they do at a likeness of 0.8.
+    at most 5/4 of the bytes of the other, as they do at a likeness of 0.8. With each key comes whether it is of the
+    text's own level, and the sign: other sampled bits of the same span.
     """
-    keys = []
+    found = {}
     for level in (fingerprint[0], fingerprint[0] + 1):
         kept = _at_level(fingerprint, level) & ((1 << BAND_BITS) - 1)
         largest = bisect_right(_spans(), len(kept)) - 1
@@ -166,8 +177,22 @@ def bands(fingerprint: bytes) -> list[int]:
             places = _band_places(k)
             values = kept[places].astype(np.int64) @ (1 << (BAND_BITS * np.arange(places.shape[1])))
             first = ((level * 64 + k) * BANDS + np.arange(BANDS)) << (BAND_BYTES * BAND_BITS)
-            keys += (first | values).tolist()
-    return keys
+            sign = sum(int(x) << (BAND_BITS * i) for i, x in enumerate(kept[_sign_places(k)]))
+            found |= dict.fromkeys((first | values).tolist(), (level == fingerprint[0], sign))
+    return found
+
+
+def meet(a: bytes, b: bytes) -> bool:
+    """Whether two fingerprints are candidates: a band of the higher of their levels in common, and signs that fit."""
+    x, y = bands(a), bands(b)
+    return any((x[k][0] or y[k][0]) and _differ(x[k][1] ^ y[k][1]) <= SIGN_DIFFER for k in x.keys() & y.keys())
+
+
+def _differ(bits: int) -> int:
+    """Groups of four bits that are not zero."""
+    bits |= bits >> 1
+    bits |= bits >> 2
+    return (bits & 0x1111111111111111).bit_count()
 
 
 _FIELDS = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
@@ -243,26 +268,28 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return walked.where("edge IS NULL").select(*_COLUMNS).unionByName(joined)
 
 
-def blocks(fingerprint: bytes, least: float) -> np.ndarray:
+def blocks(fingerprint: bytes, least: float) -> list[tuple[bool, np.ndarray, np.ndarray]]:
     """Keys such that any two fingerprints whose likeness is at least ``least`` have one in common.
 
     Places at which two such fingerprints of at most ``n`` bytes differ are at most ``(1 - least) * n``. Dealt round
     robin into more blocks than that, at least one block has none of them and is equal as a whole. The number of
     blocks depends on the longer of the two, so a text has the keys for every length that its partner may have.
+    Given by level, the own one first: whether it is the own one, the kept bytes, and the keys.
     """
-    keys = []
+    found = []
     for level in (fingerprint[0], fingerprint[0] + 1):
         kept = _at_level(fingerprint, level)
         if not len(kept):
             continue
-        longest = int(len(kept) / least + 1e-9)
+        keys, longest = [], int(len(kept) / least + 1e-9)
         written = mix((np.arange(1, len(kept) + 1, dtype=np.uint64) << np.uint64(8)) | kept)
         for n in sorted({_dealt(m, least) for m in range(len(kept), longest + 1)}):
             padded = np.zeros(-(-len(kept) // n) * n, np.uint64)
             padded[: len(kept)] = written
             own = np.uint64(level << 40) | (np.uint64(n) << np.uint64(20)) | np.arange(n, dtype=np.uint64)
             keys.append(mix(padded.reshape(-1, n).sum(axis=0) + mix(own)))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        found.append((level == fingerprint[0], kept, np.concatenate(keys)))
+    return found
 
 
 def _dealt(longest: int, least: float) -> int:
@@ -270,103 +297,137 @@ def _dealt(longest: int, least: float) -> int:
     return (int((1 - least) * longest + 1e-9) // 4 + 1) * 4
 
 
-def _keyed(least: float):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, size = [], 0
-            for row in batch.to_pylist():
-                keys = blocks(bytes.fromhex(row["fingerprint"]), least)
-                held.append((row, mix(keys ^ mix(np.array([row["band"]], np.int64).view(np.uint64))).view(np.int64)))
-                size += len(keys)
-                if size > 1 << 16:
-                    yield _key_rows(held)
-                    held, size = [], 0
-            if held:
-                yield _key_rows(held)
+def whole_sign(kept: np.ndarray) -> np.ndarray:
+    """Two bits of each of the first ``WHOLE_PLACES`` kept bytes: differing signs never overstate differing bytes."""
+    two = np.zeros(WHOLE_PLACES, np.uint64)
+    two[: len(kept)] = kept[:WHOLE_PLACES] & 3
+    return (two.reshape(-1, 32) << (np.uint64(2) * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
 
-    return work
+_WORDS = [f"w{i}" for i in range(WHOLE_PLACES // 32)]
+_ENTRY = "node long, root long, key long, own boolean, bytes int, " + ", ".join(f"{w} long" for w in _WORDS)
 
 
-def _key_rows(held: list[tuple[dict, np.ndarray]]) -> pa.RecordBatch:
-    n = [len(keys) for _, keys in held]
-    repeat = lambda name, kind: pa.array(np.repeat(np.array([row[name] for row, _ in held], kind), n))
-    return pa.RecordBatch.from_arrays([repeat("node", np.int64), repeat("first_id", np.int64), repeat("seeks", bool), pa.array(np.concatenate([k for _, k in held]))],
-                                      ["node", "first_id", "seeks", "key"])
+def _keyed(batches: Iterator[pa.RecordBatch], least: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """An entry for every block key of a fingerprint, with the sign of the whole at that level."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            for own, kept, keys in blocks(bytes.fromhex(row["fingerprint"]), least):
+                n = len(keys)
+                same = lambda x, kind: pa.array(np.full(n, x, kind))
+                signs = [same(w, np.int64) for w in whole_sign(kept)]
+                yield pa.RecordBatch.from_arrays([same(row["node"], np.int64), same(row["root"], np.int64), pa.array(keys.view(np.int64)), same(own, bool),
+                                                  same(len(kept), np.int32), *signs], schema=schema)
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [sorted(set(bands(bytes.fromhex(f)))) for f in batch.column("fingerprint").to_pylist()]
-        n = [len(k) for k in keys]
-        flat = np.array([k for own in keys for k in own], np.int64)
-        repeat = lambda name: pa.array(np.repeat(batch.column(name).to_numpy(), n))
-        yield pa.RecordBatch.from_arrays([repeat("node"), repeat("first_id"), pa.array(flat)], ["node", "first_id", "band"])
+        found = [bands(bytes.fromhex(f)) for f in batch.column("fingerprint").to_pylist()]
+        nodes = np.repeat(batch.column("node").to_numpy(), [len(x) for x in found])
+        flat = [(key, own, sign) for x in found for key, (own, sign) in x.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.bool_()),
+                                          pa.array(np.array([x[2] for x in flat], np.uint64).view(np.int64))], ["node", "band", "own", "sign"])
+
+
+def _fits(x: str, y: str):
+    """Whether two entries of a band are of the higher level of the two texts and their signs differ little."""
+    bits = F.col(f"{x}sign").bitwiseXOR(F.col(f"{y}sign"))
+    bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+    bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+    return (F.col(f"{x}own") | F.col(f"{y}own")) & (F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111))) <= SIGN_DIFFER)
+
+
+def _few_differ(least: float):
+    """Whether the signs of two whole fingerprints differ at no more places than near ones may."""
+    count = F.lit(0)
+    for w in _WORDS:
+        bits = F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))
+        count = count + F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return (F.col("x.own") | F.col("y.own")) & (count <= F.floor(F.greatest("x.bytes", "y.bytes") * (1 - least) + F.lit(1e-6)))
 
 
 def _near(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Those pairs ``node, other, other_id`` whose fingerprints are alike enough, compared byte by byte."""
-    known = classes.select("node", "fingerprint")
-    both = pairs.join(known, "node").join(known.select(F.col("node").alias("other"), F.col("fingerprint").alias("led")), "other")
+    """Those pairs ``a, b`` of classes that are candidates and whose fingerprints are alike enough, byte by byte."""
+    both = pairs
+    for side in ("b", "a"):
+        both = both.join(classes.select(F.col("node").alias(side), F.col("fingerprint").alias(f"print_{side}")), side)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("fingerprint").to_pylist(), batch.column("led").to_pylist()
-            yield batch.select(["node", "other", "other_id"]).filter(pa.array([likeness(bytes.fromhex(x), bytes.fromhex(y)) >= least for x, y in zip(a, b)], pa.bool_()))
+            prints = [[bytes.fromhex(x) for x in batch.column(f"print_{side}").to_pylist()] for side in "ab"]
+            keep = [likeness(x, y) >= least and meet(x, y) for x, y in zip(*prints)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialise(both.mapInArrow(verify, "a long, b long"), "near-pairs")
 
-    return materialise(both.mapInArrow(verify, "node long, other long, other_id long"), "near-pairs")
 
+def _across_few(members: DataFrame) -> DataFrame:
+    """Candidates ``a, b`` of different components among the members of bands of few."""
+    x, y = members.alias("x"), members.alias("y")
+    apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & _fits("x.", "y.")
+    return x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
-def near_leaders(found: DataFrame, least: float = 0.8) -> DataFrame:
-    """``doc_id, near_id``: the smallest doc_id below it that shares a band with the document and is verified as near.
 
-    Documents of equal fingerprints are one class from the start, with its smallest doc_id. A band's classes are
-    first compared with its smallest one, and those that are not near it with the next ``FIRST`` ones. What is still
-    without a near one in a larger band is compared with all the others of the band that could be near: those that
-    share one of the :func:`blocks`. So a band of any size costs a few candidates a row where its documents are
-    alike, while no near pair of a band is left out. A class that has found a smaller one elsewhere looks no
-    further. Null doc_ids and empty texts have no near one and are none.
+def _across_many(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` of different components among the members of large bands that may be near.
+
+    Near ones share a block. Of each key the members of the component with most of them are only compared with
+    the others, so a large component costs nothing where it is alone.
+    """
+    nodes = members.groupBy("node").agg(F.first("root").alias("root")).join(classes.select("node", "fingerprint"), "node")
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("key", pa.int64()), ("own", pa.bool_()), ("bytes", pa.int32()), *((w, pa.int64()) for w in _WORDS)])
+    entries = materialise(nodes.select("node", "root", "fingerprint").mapInArrow(partial(_keyed, least=least, schema=schema), _ENTRY), "block-keys")
+    sizes = entries.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    open_keys = materialise(most.select(F.col("key").alias("k"), F.col("m.root").alias("most")), "open-keys")
+    shown = materialise(entries.join(open_keys, F.col("key") == F.col("k")).drop("k"), "open-blocks")
+    x, y = shown.where("root <> most").alias("x"), shown.alias("y")
+    # both of a pair may be of smaller components: then one order of the two is enough
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.root") < F.col("y.root")))
+    return x.join(y, apart & _few_differ(least)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def near_classes(found: DataFrame, least: float = 0.8) -> DataFrame:
+    """``doc_id, class_id``: the smallest doc_id that a document is linked to by near pairs, however far.
+
+    Two documents are linked if their fingerprints are candidates (see :func:`meet`) and alike enough. Documents of
+    equal fingerprints are one class from the start. A band's classes are first compared with one of them; the
+    components that this makes need no comparison inside. Only the members of a band that then still stand apart
+    are compared with each other: by the band's key and signs where they are few, otherwise where they share one
+    of the :func:`blocks`, which loses no near pair. So a band of any size costs a candidate or two a row where its
+    documents are alike.
+
+    A document without a text, or linked to none, is its own class. Documents of one doc_id get the smallest class of
+    them. Rows without a doc_id are left out. An empty table gives an empty result.
     """
     docs = found.where("n_chars > 0 AND doc_id IS NOT NULL").select("doc_id", "fingerprint")
     classes = materialise(docs.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    keys = classes.select("node", "first_id", "fingerprint").mapInArrow(_banded, "node long, first_id long, band long")
-    smallest = F.min(F.struct("first_id", "node"))
-    leaders = materialise(keys.groupBy("band").agg(smallest.alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
-                          .select("band", "size", F.col("m.node").alias("lead"), F.col("m.first_id").alias("lead_id")), "band-leaders")
-    shared = materialise(keys.join(leaders, "band").where("node <> lead"), "bands")
-    pair = ["node", F.col("lead").alias("other"), F.col("lead_id").alias("other_id")]
-    near = _near(shared.where("lead_id < first_id").select(*pair).distinct(), classes, least)
-
-    def seekers(rows: DataFrame, upto, near: DataFrame) -> DataFrame:
-        """Rows of a band that may still find a smaller near one than any they have, beyond ``upto`` of the band."""
-        best = near.groupBy("node").agg(F.min("other_id").alias("best"))
-        return rows.join(best, "node", "left").where((F.col("first_id") > upto) & (F.col("best").isNull() | (F.col("best") > upto))).drop("best")
-
-    still = materialise(seekers(shared.where("size > 2"), F.col("lead_id"), near), "seekers")
-    place = F.row_number().over(Window.partitionBy("band").orderBy("first_id", "node"))
-    members = shared.where("size > 2").join(still.select("band").distinct(), "band", "left_semi").select("band", "node", "first_id")
-    heads = materialise(members.withColumn("place", place).where(F.col("place") <= FIRST), "band-heads")
-    aside = heads.select("band", F.col("node").alias("other"), F.col("first_id").alias("other_id"))
-    near = near.unionByName(_near(still.join(aside, "band").where("other_id < first_id").select("node", "other", "other_id").distinct(), classes, least))
-
-    ends = heads.groupBy("band").agg(F.max("first_id").alias("upto"))
-    open_rows = materialise(seekers(still.where(F.col("size") > FIRST + 1).join(ends, "band"), F.col("upto"), near).select("band", "node", "first_id", "upto"), "open-rows")
-    beyond = members.join(open_rows.groupBy("band").agg(F.first("upto").alias("upto")), "band").where("first_id >= upto")
-    listed = beyond.join(open_rows.select("band", "node", F.lit(True).alias("seeks")), ["band", "node"], "left")
-    listed = listed.join(classes.select("node", "fingerprint"), "node").select("band", "node", "first_id", F.coalesce("seeks", F.lit(False)).alias("seeks"), "fingerprint")
-    entries = materialise(listed.mapInArrow(_keyed(least), "node long, first_id long, seeks boolean, key long"), "block-keys")
-    # a key without two classes, or without one that seeks, gives no pair
-    met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("seeks").alias("any")).where("n > 1 AND any").select("key")
-    entries = entries.join(met, "key")
-    others = entries.select("key", F.col("node").alias("other"), F.col("first_id").alias("other_id"))
-    more = entries.where("seeks").join(others, "key").where("other_id < first_id").select("node", "other", "other_id").distinct()
-    near = near.unionByName(_near(more, classes, least))
-
-    best = near.groupBy("node").agg(F.min("other_id").alias("best"))
-    named = materialise(classes.join(best, "node", "left").select("fingerprint", F.coalesce("best", "first_id").alias("near_id")), "near-classes")
-    return docs.join(named, "fingerprint").where("near_id < doc_id").groupBy("doc_id").agg(F.min("near_id").alias("near_id"))
+    keys = classes.select("node", "fingerprint").mapInArrow(_banded, "node long, band long, own boolean, sign long")
+    leaders = keys.groupBy("band").agg(F.min(F.struct((~F.col("own")).alias("other"), "node", "sign")).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    leaders = materialise(leaders.select("band", "size", F.col("m.node").alias("lead"), (~F.col("m.other")).alias("lead_own"), F.col("m.sign").alias("lead_sign")), "band-leaders")
+    fits = _fits("", "lead_")
+    shared = materialise(keys.join(leaders, "band").where((F.col("node") != F.col("lead")) & ((F.col("size") > 2) | fits)).withColumn("fits", fits)
+                         .select("band", "size", "node", "own", "sign", "lead", "fits"), "bands")
+    stars = shared.where("fits").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    joined = materialise(components(_near(stars, classes, least)), "joined")
+
+    members = shared.where("size > 2").join(joined, "node", "left").select("band", "size", "node", "own", "sign", F.coalesce("root", "node").alias("root"))
+    apart = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    members = materialise(members.join(materialise(apart, "open-bands"), "band"), "members")
+    across = _across_few(members.where(F.col("size") <= FEW)).union(_across_many(members.where(F.col("size") > FEW), classes, least))
+    links = _near(across.distinct(), classes, least)
+    # links between components join their roots
+    for side in ("a", "b"):
+        links = links.join(joined.select(F.col("node").alias("n"), "root"), F.col(side) == F.col("n"), "left").withColumn(side, F.coalesce("root", side)).drop("n", "root")
+    tops = materialise(components(links), "tops").select(F.col("node").alias("under"), F.col("root").alias("top"))
+    roots = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).join(tops, F.col("root") == F.col("under"), "left")
+    roots = materialise(roots.select("fingerprint", "first_id", F.coalesce("top", "root").alias("root")), "roots")
+    ids = roots.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    named = docs.join(roots.join(ids, "root").select("fingerprint", "class_id"), "fingerprint")
+    alone = found.where("n_chars = 0 AND doc_id IS NOT NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    return named.select("doc_id", "class_id").union(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
 def op1_edit_fingerprint(spark, sf_dir: str) -> DataFrame:
     found = fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    near = near_leaders(found)
-    return found.join(near, "doc_id", "left")
+    return found.join(near_classes(found), "doc_id", "left")

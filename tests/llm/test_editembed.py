@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from modelkeel.llm import editembed as ee
 
 SCHEMA = "doc_id long, text string, n_chars string, part int, bands int"
@@ -63,11 +65,13 @@ def test_query_rows(spark):
     assert sorted(want, key=repr) == sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got), key=repr)
 
 
-def test_near_leaders(spark):
+def test_near_classes(spark):
     base = [prose(300) for _ in range(20)]
-    rows = [(i, t, "", 0, 0) for i, t in enumerate(base)] + [(100 + i, t + " more", "", 0, 0) for i, t in enumerate(base)] + [(200, base[0], "", 0, 0), (201, None, "", 0, 0)]
-    near = {r["doc_id"]: r["near_id"] for r in ee.near_leaders(ee.fingerprint_documents(spark.createDataFrame(rows, SCHEMA))).collect()}
-    assert near == {100 + i: i for i in range(20)} | {200: 0}
+    rows = [(i, t, "", 0, 0) for i, t in enumerate(base)] + [(100 + i, t + " more", "", 0, 0) for i, t in enumerate(base)]
+    rows += [(200, base[0], "", 0, 0), (201, None, "", 0, 0), (202, "", "", 0, 0), (None, base[1], "", 0, 0), (203, base[2], "", 0, 0), (203, base[1], "", 0, 0)]
+    found = ee.near_classes(ee.fingerprint_documents(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in found) == sorted([(i, i) for i in range(20)] + [(100 + i, i) for i in range(20)] + [(200, 0), (201, 201), (202, 202), (203, 1)])
+    assert ee.near_classes(ee.fingerprint_documents(spark.createDataFrame([], SCHEMA))).collect() == []
 
 
 def test_edges(spark):
@@ -76,18 +80,26 @@ def test_edges(spark):
     assert [(r["n_chars"], r["near_next"]) for r in one] == [(8, 1.0)]
 
 
-def nearest(found, least=0.8):
-    """The smallest near doc_id of each document by comparing all pairs that share a band."""
-    keys = {d: set(ee.bands(f)) for d, f in found.items()}
-    out = {}
+def classes(found, least=0.8):
+    """The class of each document by comparing all pairs of candidates."""
+    up = {d: d for d in found}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
     for d, f in found.items():
-        near = [e for e, g in found.items() if e < d and keys[d] & keys[e] and ee.likeness(f, g) >= least]
-        if near:
-            out[d] = min(near)
-    return out
+        for e, g in found.items():
+            if e < d and ee.likeness(f, g) >= least and ee.meet(f, g):
+                x, y = sorted((root(d), root(e)))
+                up[y] = x
+    return {d: root(d) for d in found}
 
 
-def test_every_near_pair_of_a_band(spark):
+@pytest.mark.parametrize("few", [1, 8, 1000])
+def test_every_near_pair_of_a_band(spark, monkeypatch, few):
+    monkeypatch.setattr(ee, "FEW", few)
     passage = prose(60)[:300]
     texts = [passage + " " + prose(60)[:200] for _ in range(40)]
     rows = list(enumerate(texts)) + [(100 + i, t) for i, t in enumerate(texts)] + [(200 + i, t + " more") for i, t in enumerate(texts)]
@@ -97,8 +109,8 @@ def test_every_near_pair_of_a_band(spark):
         rows.append((300 + i, " ".join(words)))
     found = dict(zip([d for d, _ in rows], ee.fingerprints([t for _, t in rows])))
     docs = spark.createDataFrame([(d, t, "", 0, 0) for d, t in rows], SCHEMA)
-    got = {r["doc_id"]: r["near_id"] for r in ee.near_leaders(ee.fingerprint_documents(docs)).collect()}
-    assert got == nearest(found) and got[139] == 39
+    got = {r["doc_id"]: r["class_id"] for r in ee.near_classes(ee.fingerprint_documents(docs)).collect()}
+    assert got == classes(found) and got[139] == 39 and len(set(got.values())) > 30
 
 
 def test_copies_apart_from_the_leader(spark):
@@ -107,7 +119,7 @@ def test_copies_apart_from_the_leader(spark):
         passage = prose(70)[:330]
         a, b = (passage + " " + prose(50)[:170] for _ in range(2))
         rows += [(k + 1, a, "", 0, 0), (k + 50, b, "", 0, 0), (k + 60, b, "", 0, 0)]
-    got = {r["doc_id"]: r["near_id"] for r in ee.near_leaders(ee.fingerprint_documents(spark.createDataFrame(rows, SCHEMA))).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in ee.near_classes(ee.fingerprint_documents(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert {d: got.get(d) for d in range(60, 1000, 100)} == {d: d - 10 for d in range(60, 1000, 100)}
 
 
@@ -121,7 +133,10 @@ def test_blocks_meet_at_the_threshold():
             b[rng.choice(short, left, replace=False)] += 1
             x, y = bytes([3]) + a.tobytes(), bytes([3]) + b.tobytes()
             assert ee.likeness(x, y) >= 0.8
-            assert set(ee.blocks(x, 0.8).tolist()) & set(ee.blocks(y, 0.8).tolist())
+            mine, other = (dict(zip((own for own, _, _ in ee.blocks(z, 0.8)), ee.blocks(z, 0.8))) for z in (x, y))
+            assert set(mine[True][2].tolist()) & set(other[True][2].tolist())
+            bits = [int(u ^ v) & (1 << 64) - 1 for u, v in zip(ee.whole_sign(mine[True][1]), ee.whole_sign(other[True][1]))]
+            assert sum(((u | u >> 1) & 0x5555555555555555).bit_count() for u in bits) <= int(0.2 * n + 1e-6)
 
 
 def test_edits_anywhere_share_a_band():
@@ -141,7 +156,7 @@ def test_edits_anywhere_share_a_band():
         a, b = prints[2 * k], prints[2 * k + 1]
         if ee.likeness(a, b) >= 0.8:
             near[k % 3] += 1
-            met[k % 3] += bool(set(ee.bands(a)) & set(ee.bands(b)))
+            met[k % 3] += ee.meet(a, b)
     assert near.min() > 20 and (met / near).min() > 0.97
     short = ee.fingerprints(["x", "xy", "a b", prose(2), prose(5)])
     assert all(ee.bands(f) for f in short)
