@@ -8,13 +8,15 @@ their collection's Burrows-Wheeler transform grows by one symbol of every segmen
 the first, and the suffixes that begin with equal strings are neighbours in the finished order.
 
 The collections are whole keys of about ``BUCKET`` bytes together, dealt out by a shuffle, so each is built in memory
-in one sequential pass a round. A key of more than ``MOST`` segments is not sorted: its strings are counted by hash.
+in one sequential pass a round. A key of more than ``MOST`` segments is not sorted: its strings are counted by hash, in blocks of strings that
+are halved only where some of them may repeat and others not.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from modelkeel.session import materialise
 
 LENGTH, GRAM = 200, 64
 BUCKET, MOST = 1 << 17, 500
+#: Neighbouring strings in a block, from the first count to the last.
+BLOCKS = (64, 16, 4, 1)
 #: Bits of the bounded filter that keeps segments of keys with one kind of segment from being read again.
 FILTER_BITS = 1 << 24
 _PIECE = 1 << 20
@@ -181,16 +185,65 @@ def _sort_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_BLOCK = "key long, segment long, block long, offset long, n long, core long, cover long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, parent: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of ``width`` strings in some blocks of ``parent``, with the hash of what all their strings have in common and of what they cover.
+
+    All strings of a segment hold the gram that is its key, and a string is named by the bytes before it. So equal
+    strings of two segments of a key have one name and are in blocks of one name. A block of which a segment has a
+    part only has no cover.
+    """
     up, down = _powers(2 * _PIECE)
+    most = LENGTH - GRAM
     for batch in batches:
-        for key, segment, data in zip(*(batch.column(c).to_pylist() for c in ("key", "segment", "bytes"))):
+        rows: list[tuple] = []
+        for key, segment, data, parents in zip(*(batch.column(c).to_pylist() for c in ("key", "segment", "bytes", "parents"))):
             part = np.frombuffer(data, np.uint8)
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(_VALUE[part] * up[: len(part)], out=total[1:])
-            n = len(part) - LENGTH + 1
-            value = mix((total[LENGTH:] - total[:-LENGTH]) * down[:n]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, segment)), pa.array(np.arange(n)), pa.array(value)], ["key", "segment", "offset", "window"])
+            grams = mix((total[GRAM:] - total[:-GRAM]) * down[: len(part) - GRAM + 1])
+            place = int(np.argmax(grams.view(np.int64) == key))
+            least = place - (len(part) - LENGTH)
+            low = np.concatenate([np.arange(x, min(x + parent, most + 1), width) for x in parents])
+            high = np.minimum(low + width - 1, most)
+            inside = (low <= place) & (high >= least)
+            low, high = low[inside], high[inside]
+            hashed = lambda x, y: mix((total[y] - total[x]) * down[x]).view(np.int64)
+            core = hashed(place - low, place + LENGTH - high)
+            whole = (high <= place) & (low >= least)
+            cover = hashed(np.maximum(place - high, 0), np.minimum(place + LENGTH - low, len(part)))
+            n = len(low)
+            rows.append((np.full(n, key), np.full(n, segment), low, place - high, high - low + 1, core, cover, ~whole))
+        if rows:
+            *columns, without = (np.concatenate(x) for x in zip(*rows))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:-1]), pa.array(columns[-1], mask=without)], ["key", "segment", "block", "offset", "n", "core", "cover"])
+
+
+def _counted(segments: DataFrame) -> DataFrame:
+    """``key, segment, repeats`` of keys of many segments, by counting.
+
+    A block whose cover another segment has repeats as a whole; one whose core no other has does not repeat at all;
+    the others are cut. Of the segments with one cover, one is cut along with them, as others may share a part of it.
+    """
+    asked, parent, found = segments.withColumn("parents", F.array(F.lit(0))), LENGTH - GRAM + 1, []
+    for width in BLOCKS:
+        rows = materialise(asked.select("key", "segment", "bytes", "parents").mapInArrow(partial(_blocks, width=width, parent=parent), _BLOCK), "blocks")
+        name = [F.col("key").alias("k"), F.col("block").alias("b")]
+        cores = materialise(rows.groupBy(*name, F.col("core").alias("c")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"), "cores")
+        covers = rows.where("cover IS NOT NULL").groupBy(*name, F.col("cover").alias("v")).agg(F.count(F.lit(1)).alias("times"), F.min("segment").alias("one"))
+        covers = materialise(covers.where("times > 1").drop("times"), "covers")
+        same = (F.col("key") == F.col("k")) & (F.col("block") == F.col("b"))
+        shared = rows.join(cores, same & (F.col("core") == F.col("c"))).drop("k", "b").join(covers, same & (F.col("cover") == F.col("v")), "left")
+        shared = materialise(shared.select("key", "segment", "block", "offset", "n", "one"), "shared-blocks")
+        found.append(shared.where("one IS NOT NULL").select("key", "segment", "offset", "n"))
+        cut = shared.where("one IS NULL OR one = segment").groupBy("key", "segment").agg(F.collect_list("block").alias("parents"))
+        asked, parent = segments.join(cut, ["key", "segment"]), width
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    return spans.groupBy("key", "segment").agg(F.collect_list(F.struct("offset", "n")).alias("repeats"))
 
 
 def _segments(docs: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -239,11 +292,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     many = materialise(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > MOST).select("key"), "many")
     segments = _segments(docs, mixed)
     few = segments.join(many, "key", "left_anti").repartition("key").sortWithinPartitions("key", "segment")
-    windows = segments.join(many, "key", "left_semi").mapInArrow(_window_hashes, "key long, segment long, offset long, window long")
-    windows = materialise(windows, "windows")
-    twice = materialise(windows.groupBy(F.col("key").alias("k"), F.col("window").alias("w")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "w"), "windows-twice")
-    counted = windows.join(twice, (F.col("key") == F.col("k")) & (F.col("window") == F.col("w"))).groupBy("key", "segment").agg(
-        F.collect_list(F.struct("offset", F.lit(1).cast("long").alias("n"))).alias("repeats"))
+    counted = _counted(segments.join(many, "key", "left_semi"))
     found = materialise(few.mapInArrow(_sort_keys, _FOUND).unionByName(counted), "found")
     # a segment that occurs twice repeats as a whole
     whole = kinds.where("times > 1").select("key", "segment", F.array(F.struct(F.lit(0).cast("long").alias("offset"), "n")).alias("whole"))
