@@ -57,3 +57,36 @@ def test_no_rows_and_one_class(spark):
     docs = spark.createDataFrame(data(30), DOCS)
     one = nbsvm.train(docs, spark.createDataFrame([(i, 1, 0) for i in range(30)], LABELS))
     assert {r["predicted"] for r in nbsvm.score(docs, one).collect()} == {1}
+
+
+def test_fit_against_the_primal_optimum():
+    """The dual coordinate descent reaches the least hinge loss that subgradient steps find on scaled indicators."""
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 2, 60)
+    texts = [np.unique(np.concatenate([rng.choice(40, 8), rng.choice(15, 4) + (40 if y else 50)])) for y in labels]
+    flat, cuts = np.concatenate(texts).astype(np.int32), np.cumsum([0, *map(len, texts)])
+    model = nbsvm.fit(flat, cuts, labels, epochs=2000)
+    # log-count ratios by counting
+    n_slots = 1 << nbsvm.BITS
+    counts = {y: np.ones(n_slots) for y in (0, 1)}
+    for t, y in zip(texts, labels):
+        for slot in t:
+            counts[y][slot] += 1
+    ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
+    assert np.allclose(model.ratio, ratio, atol=1e-6)
+    x = np.zeros((60, 66))
+    for i, t in enumerate(texts):
+        x[i, t] = ratio[t] / np.linalg.norm(ratio[t])
+    x[:, -1], y = 1, np.where(labels == 1, 1.0, -1.0)
+
+    def loss(w):
+        return w @ w / 2 + np.maximum(1 - y * (x @ w), 0).sum()
+
+    w, best = np.zeros(66), np.inf
+    for step in range(1, 20001):
+        w = w - (w - x.T @ (y * (y * (x @ w) < 1))) / step
+        best = min(best, loss(w))
+    got = np.append(model.weight[:65], model.weight[-1]).astype(float)
+    assert not model.weight[65:-1].any()
+    # the descent stops once no step moves more than a thousandth
+    assert abs(loss(got) - best) <= 1e-3 * best
