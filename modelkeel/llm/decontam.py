@@ -235,7 +235,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all their columns, that hold no benchmark item."""
+    """The rows of ``docs``, all their columns, that hold no benchmark item.
+
+    Each row is judged by its whole text, so repeated rows stay or go together; null and word-less texts hold nothing and
+    stay, as does everything if the benchmark is empty; a similarity of exactly ``least`` is a find.
+    """
     spark, place = docs.sparkSession, docs.columns.index("text")
     for index in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(index)

@@ -185,7 +185,11 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
-    """``docs``, all their columns, with the removed lines taken out of the texts; all rows stay."""
+    """``docs``, all their columns, with the removed lines taken out of the texts; all rows stay.
+
+    Which lines go is said at :func:`duplicate_lines`. A null text stays null, a text of which all lines go becomes empty,
+    other texts keep their line ends; rows without a doc_id are rows like others; an empty table stays empty.
+    """
     removed = materialise(duplicate_lines(docs).select(F.col("doc_id").alias("rd"), F.col("th").alias("rt"), "removed"), "line-removed")
     joined = docs.alias("d").join(removed.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.rd")) & (F.xxhash64("d.text") == F.col("r.rt")), "left")
     kept = F.array_join(F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains("r.removed", i)), "\n")

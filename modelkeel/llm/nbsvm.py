@@ -161,7 +161,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all their columns, that the model takes for good."""
+    """The rows of ``docs``, all their columns, that the model takes for good.
+
+    Each row is judged by its whole text, so rows of equal texts stay or go together, whatever their ids; a null text is
+    judged as an empty one and stays null; a score of exactly 0.5 stays; an empty table stays empty.
+    """
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
