@@ -6,9 +6,9 @@ often, and with how many words, each document that is left is taken, and the tex
 
 No stage drops a row for a null in some column: a null or empty text is judged as a text without words, null ids are
 rows like others, repeated rows are rows of their own (equal lines and near copies among them go as their stage
-says), texts are read whole, and columns beyond those of documents are carried along up to the mix. Lines and near copies
-that tie are kept by the
-smallest doc_id, then the smallest hash of the text. An empty table of documents gives an empty result.
+says), texts are read whole, and columns beyond those of documents are carried along up to the mix. Of lines and near
+copies that of the smallest doc_id stays, then that of the smallest hash of the text. An empty table of documents
+gives an empty result.
 """
 
 from __future__ import annotations
