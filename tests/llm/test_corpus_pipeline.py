@@ -75,3 +75,11 @@ def test_odd_rows_keep_their_columns(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert sorted((r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, str(tmp_path)).where("doc_id IS NOT NULL").collect()) in ([(1, 9), (2, 0)], [(1, 12), (2, 0)])
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a benchmark item of a few words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.collect() == [] and {"doc_id", "taken", "texts"} <= set(got.columns)
