@@ -160,3 +160,11 @@ def test_edits_anywhere_share_a_band():
     assert near.min() > 20 and (met / near).min() > 0.97
     short = ee.fingerprints(["x", "xy", "a b", prose(2), prose(5)])
     assert all(ee.bands(f) for f in short)
+
+
+def test_very_long_texts(spark):
+    long = prose(300_000)
+    rows = [(5, long, "", 0, 0), (6, long[:700_000] + "an edit" + long[700_000:], "", 0, 0), (7, long[::-1], "", 0, 0), (8, "short", "", 0, 0)]
+    found = ee.fingerprint_documents(spark.createDataFrame(rows, SCHEMA))
+    assert {r["doc_id"]: r["n_chars"] for r in found.collect()} == {d: len(t) for d, t, *_ in rows}
+    assert {r["doc_id"]: r["class_id"] for r in ee.near_classes(found).collect()} == {5: 5, 6: 5, 7: 7, 8: 8}
