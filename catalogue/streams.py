@@ -17,6 +17,8 @@ from modelkeel.streaming import common, log, state, windows
 
 #: What one micro-batch of a registered stream reads at most.
 BATCH_BYTES = 1 << 30
+#: Rows that a slice of the events has at most, or about that many: a key's rows of a slice are sorted in one task.
+SLICE_ROWS = 2_000_000
 
 
 def call_stream(t: Tables) -> DataFrame:
@@ -25,14 +27,24 @@ def call_stream(t: Tables) -> DataFrame:
     return events.selectExpr(*VIEWS["calls"][1])
 
 
-def call_slices(t: Tables, slices: int = 4, files: int = 4) -> DataFrame:
-    """The call view over the events as they come in: landed slice by slice of time, one slice a micro-batch."""
-    path = fresh_path(t.spark, "event-slices")
-    low, high = t.events.agg(F.min("ts"), F.max("ts")).first()
-    cuts = [low + (high - low) * i / slices for i in range(slices)]
-    for start, end in zip(cuts, [*cuts[1:], None]):
-        part = t.events.where(F.col("ts") >= F.lit(start))
-        part = part if end is None else part.where(F.col("ts") < F.lit(end))
+def call_slices(t: Tables, slices: int = 4, files: int = 4, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The call view over the events as they come in: landed slice by slice of time, one slice a micro-batch.
+
+    There are more slices when the table is larger, so that a micro-batch and what a key holds do not grow with it. The
+    events are cut once, at quantiles of their time, and each slice reads its own folder only.
+    """
+    path, cut = fresh_path(t.spark, "event-slices"), fresh_path(t.spark, "event-cuts")
+    rows = t.events.agg(F.count("ts")).first()[0]
+    slices = max(slices, -(-rows // slice_rows))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = t.events.agg(F.percentile_approx(micros, [i / slices for i in range(slices)], 100 * slices)).first()[0]
+    cuts = sorted(set(cuts[1:]) - {cuts[0]})
+    # the slice of a row is the number of cuts up to its time
+    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= micros))
+    placed = t.events.where("ts IS NOT NULL").withColumn("_slice", number).repartition(min(len(cuts) + 1, 1000) * files, "_slice", F.pmod("event_id", F.lit(files)))
+    placed.write.partitionBy("_slice").parquet(cut)
+    for i in range(len(cuts) + 1):
+        part = t.spark.read.schema(t.events.schema).parquet(f"{cut}/_slice={i}")
         part.repartition(files).write.mode("append").parquet(path)
     events = common.file_stream(t.spark, path, t.events.schema, max_files=files)
     return common.with_event_time(events.selectExpr(*VIEWS["calls"][1]))

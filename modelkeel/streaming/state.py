@@ -10,9 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from modelkeel.operators.alerts import BREAKER_COOLDOWN, BREAKER_FAILURES
@@ -23,6 +28,10 @@ from modelkeel.streaming.common import use_state_store
 #: A buffer of records is written when it holds this many, or when its first one is so many seconds old.
 FLUSH_RECORDS, FLUSH_SECONDS = 200, 10
 
+#: What is held of a row, and how many rows are Python objects at a time.
+_HELD = ["ms", "at", "id", "value"]
+_AT_ONCE = 50_000
+
 
 class InOrder(StatefulProcessor):
     """Hands the rows of a key to ``take`` in order; ``settle`` says what the watermark alone decides.
@@ -34,10 +43,13 @@ class InOrder(StatefulProcessor):
     #: Types of ``value`` and of the machine's row.
     value = "long"
     kept: T.StructType
+    #: Names of the output's columns, set by :func:`run_in_order`.
+    output: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", columns(ms="long", at="long", id="long", value=self.value))
+        # one entry for each Arrow batch of rows, as bytes of an Arrow file: an entry a row costs far more than its row
+        self.waiting = handle.getListState("waiting", columns(rows="binary"))
         self.own = handle.getValueState("own", self.kept)
 
     def take(self, key: str, state, ms: int, at: int, value) -> Iterator:
@@ -52,38 +64,62 @@ class InOrder(StatefulProcessor):
         """The time at which ``settle`` may have something to say."""
         return None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        came = [(r["ms"], r["at"], r["id"], r["value"]) for r in rows]
-        self.waiting.appendList(came)
-        self.handle.registerTimer(max(min(x[0] for x in came), timerValues.getCurrentWatermarkInMs()))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for came in rows:
+            if len(came):
+                self._hold(pa.Table.from_pandas(came[_HELD], preserve_index=False, schema=to_arrow_schema(columns(ms="long", at="long", id="long", value=self.value))))
+                first = min(int(came["ms"].min()), first) if first is not None else int(came["ms"].min())
+        if first is not None:
+            self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs()))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def _hold(self, rows: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        self.waiting.appendValue((sink.getvalue().to_pybytes(),))
+
+    def _said(self, rows: list[Row]) -> pd.DataFrame:
+        return pd.DataFrame.from_records([tuple(r) for r in rows], columns=self.output)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted((tuple(x) for x in rows if x[0] <= watermark), key=lambda x: x[:3])
-        rest = [tuple(x) for x in rows if x[0] > watermark]
-        state = tuple(self.own.get()) if self.own.exists() else None
-        for ms, at, _, value in ready:
-            for out in self.take(key[0], state, ms, at, value):
-                if isinstance(out, Row):
-                    yield out
-                else:
-                    state = out
+        held = [pa.ipc.open_stream(x[0]).read_all() for x in self.waiting.get()] if self.waiting.exists() else []
+        rows = pa.concat_tables(held) if held else None
+        ready = rest = None
+        if rows is not None:
+            passed = pc.less_equal(rows["ms"], watermark)
+            ready, rest = rows.filter(passed), rows.filter(pc.invert(passed))
+            ready = ready.take(np.lexsort([ready[c].to_numpy() for c in ("id", "at", "ms")]))
+        state, said = tuple(self.own.get()) if self.own.exists() else None, []
+        # a few rows at a time become Python objects
+        for part in ready.to_batches(max_chunksize=_AT_ONCE) if ready is not None else ():
+            for ms, at, value in zip(*(part.column(c).to_pylist() for c in ("ms", "at", "value"))):
+                for out in self.take(key[0], state, ms, at, value):
+                    if isinstance(out, Row):
+                        said.append(out)
+                    else:
+                        state = out
+            if len(said) >= _AT_ONCE:
+                yield self._said(said)
+                said = []
         for out in self.settle(key[0], state, watermark):
             if isinstance(out, Row):
-                yield out
+                said.append(out)
             else:
                 state = out
+        if said:
+            yield self._said(said)
         if state is not None:
             self.own.update(state)
         elif self.own.exists():
             self.own.clear()
-        if ready and rest:
-            self.waiting.put(rest)
-        elif ready:
+        if ready is not None and len(ready):
             self.waiting.clear()
-        due = [t for t in (self.wake(state), min((x[0] for x in rest), default=None)) if t is not None and t > watermark]
+            if len(rest):
+                self._hold(rest)
+        due = [t for t in (self.wake(state), pc.min(rest["ms"]).as_py() if rest is not None else None) if t is not None and t > watermark]
         if due:
             self.handle.registerTimer(min(due))
 
@@ -91,8 +127,9 @@ class InOrder(StatefulProcessor):
 def run_in_order(rows: DataFrame, machine: InOrder, output: T.StructType) -> DataFrame:
     """Run a machine over a stream of ``key, ts`` (with watermark)``, at, id, value``."""
     use_state_store(rows.sparkSession)
+    machine.output = output.names
     timed = rows.select("key", "ts", F.unix_millis("ts").alias("ms"), "at", "id", "value")
-    return timed.groupBy("key").transformWithState(statefulProcessor=machine, outputStructType=output, outputMode="append", timeMode="EventTime")
+    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=machine, outputStructType=output, outputMode="append", timeMode="EventTime")
 
 
 class AlertHold(InOrder):

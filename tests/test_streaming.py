@@ -159,3 +159,48 @@ def test_fresh_folders(spark, label):
     from modelkeel.session import fresh_path
 
     assert fresh_path(spark, label) != fresh_path(spark, label)
+
+
+class Kept:
+    """A list state that counts its entries."""
+
+    def __init__(self):
+        self.rows = []
+
+    def appendValue(self, value):
+        self.rows.append(value)
+
+    def appendList(self, values):
+        self.rows += values
+
+
+def test_a_key_holds_an_entry_for_many_rows():
+    import pandas as pd
+
+    machine = state.CounterIncrease(1000)
+    machine.waiting = Kept()
+    machine.handle = type("H", (), {"registerTimer": lambda self, at: None})()
+    times = type("T", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    batch = pd.DataFrame({"key": "a", "ts": pd.Timestamp(0), "ms": range(10_000), "at": range(10_000), "id": 0, "value": 1})
+    list(machine.handleInputRows(("a",), iter([batch, batch]), times))
+    assert len(machine.waiting.rows) == 2
+
+
+def test_a_slice_stays_small_when_the_table_grows(spark, tmp_path):
+    from catalogue import streams
+    from catalogue.base import Tables
+
+    rows = [(i, T0 + timedelta(seconds=i * i), i, "error", 1.0, "{}") for i in range(400)] + [(400, None, 1, "view", 1.0, "{}")]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    sizes = []
+    calls = streams.call_slices(Tables(spark, str(tmp_path)), slice_rows=20).select("event_id", F.unix_micros("ts").alias("t"))
+
+    def look(batch, number):
+        got = sorted((r["t"], r["event_id"]) for r in batch.collect())
+        assert not sizes or not got or got[0] >= sizes[-1][1]
+        if got:
+            sizes.append((len(got), got[-1]))
+
+    common.drain_batches(calls, look, "slices")
+    assert sum(n for n, _ in sizes) == 400 and max(n for n, _ in sizes) <= 25 and len(sizes) >= 16
