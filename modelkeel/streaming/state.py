@@ -8,6 +8,7 @@ the source's trigger limits bound; beyond that it keeps one small row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,9 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # one entry for each Arrow batch of rows, as bytes of an Arrow file: an entry a row costs far more than its row
-        self.waiting = handle.getListState("waiting", columns(rows="binary"))
+        # many rows an entry, as bytes of an Arrow stream, under a name of its own: a list is one value to the store, which
+        # reads it again at every append
+        self.waiting = handle.getMapState("waiting", columns(name="string"), columns(rows="binary"))
         self.own = handle.getValueState("own", self.kept)
 
     def take(self, key: str, state, ms: int, at: int, value) -> Iterator:
@@ -65,11 +67,18 @@ class InOrder(StatefulProcessor):
         return None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, schema = None, to_arrow_schema(columns(ms="long", at="long", id="long", value=self.value))
+        parts: list[pa.Table] = []
         for came in rows:
             if len(came):
-                self._hold(pa.Table.from_pandas(came[_HELD], preserve_index=False, schema=to_arrow_schema(columns(ms="long", at="long", id="long", value=self.value))))
-                first = min(int(came["ms"].min()), first) if first is not None else int(came["ms"].min())
+                parts.append(pa.Table.from_pandas(came[_HELD], preserve_index=False, schema=schema))
+                low = int(came["ms"].min())
+                first = low if first is None else min(first, low)
+                if sum(map(len, parts)) >= _AT_ONCE:
+                    self._hold(pa.concat_tables(parts))
+                    parts = []
+        if parts:
+            self._hold(pa.concat_tables(parts))
         if first is not None:
             self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs()))
         return iter(())
@@ -78,14 +87,14 @@ class InOrder(StatefulProcessor):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema) as out:
             out.write_table(rows)
-        self.waiting.appendValue((sink.getvalue().to_pybytes(),))
+        self.waiting.updateValue((uuid.uuid4().hex,), (sink.getvalue().to_pybytes(),))
 
     def _said(self, rows: list[Row]) -> pd.DataFrame:
         return pd.DataFrame.from_records([tuple(r) for r in rows], columns=self.output)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = [pa.ipc.open_stream(x[0]).read_all() for x in self.waiting.get()] if self.waiting.exists() else []
+        held = [pa.ipc.open_stream(x[0]).read_all() for x in self.waiting.values()] if self.waiting.exists() else []
         rows = pa.concat_tables(held) if held else None
         ready = rest = None
         if rows is not None:

@@ -162,16 +162,13 @@ def test_fresh_folders(spark, label):
 
 
 class Kept:
-    """A list state that counts its entries."""
+    """A map state that counts its entries."""
 
     def __init__(self):
-        self.rows = []
+        self.rows = {}
 
-    def appendValue(self, value):
-        self.rows.append(value)
-
-    def appendList(self, values):
-        self.rows += values
+    def updateValue(self, key, value):
+        self.rows[key] = value
 
 
 def test_a_key_holds_an_entry_for_many_rows():
@@ -183,7 +180,7 @@ def test_a_key_holds_an_entry_for_many_rows():
     times = type("T", (), {"getCurrentWatermarkInMs": lambda self: 0})()
     batch = pd.DataFrame({"key": "a", "ts": pd.Timestamp(0), "ms": range(10_000), "at": range(10_000), "id": 0, "value": 1})
     list(machine.handleInputRows(("a",), iter([batch, batch]), times))
-    assert len(machine.waiting.rows) == 2
+    assert len(machine.waiting.rows) == 1
 
 
 def test_a_slice_stays_small_when_the_table_grows(spark, tmp_path):
