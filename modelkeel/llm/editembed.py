@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -297,25 +297,27 @@ def _dealt(longest: int, least: float) -> int:
     return (int((1 - least) * longest + 1e-9) // 4 + 1) * 4
 
 
-def whole_sign(kept: np.ndarray) -> np.ndarray:
+def whole_sign(kept: np.ndarray, shift: int = 0) -> np.ndarray:
     """Two bits of each of the first ``WHOLE_PLACES`` kept bytes: differing signs never overstate differing bytes."""
     two = np.zeros(WHOLE_PLACES, np.uint64)
-    two[: len(kept)] = kept[:WHOLE_PLACES] & 3
+    two[: len(kept)] = (kept[:WHOLE_PLACES] >> shift) & 3
     return (two.reshape(-1, 32) << (np.uint64(2) * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-_WORDS = [f"w{i}" for i in range(WHOLE_PLACES // 32)]
+#: The four signs of a fingerprint, two bits of each byte a sign; together they are its bytes.
+_SIGNS = [[f"w{i}_{shift}" for i in range(WHOLE_PLACES // 32)] for shift in range(0, 8, 2)]
+_WORDS = [w for sign in _SIGNS for w in sign]
 _ENTRY = "node long, root long, key long, own boolean, bytes int, " + ", ".join(f"{w} long" for w in _WORDS)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], least: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """An entry for every block key of a fingerprint, with the sign of the whole at that level."""
+    """An entry for every block key of a fingerprint, with the signs of the whole at that level."""
     for batch in batches:
         for row in batch.to_pylist():
             for own, kept, keys in blocks(bytes.fromhex(row["fingerprint"]), least):
                 n = len(keys)
                 same = lambda x, kind: pa.array(np.full(n, x, kind))
-                signs = [same(w, np.int64) for w in whole_sign(kept)]
+                signs = [same(w, np.int64) for shift in range(0, 8, 2) for w in whole_sign(kept, shift)]
                 yield pa.RecordBatch.from_arrays([same(row["node"], np.int64), same(row["root"], np.int64), pa.array(keys.view(np.int64)), same(own, bool),
                                                   same(len(kept), np.int32), *signs], schema=schema)
 
@@ -338,12 +340,16 @@ def _fits(x: str, y: str):
 
 
 def _few_differ(least: float):
-    """Whether the signs of two whole fingerprints differ at no more places than near ones may."""
-    count = F.lit(0)
-    for w in _WORDS:
-        bits = F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))
-        count = count + F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return (F.col("x.own") | F.col("y.own")) & (count <= F.floor(F.greatest("x.bytes", "y.bytes") * (1 - least) + F.lit(1e-6)))
+    """Whether two whole fingerprints differ at no more of their first places than near ones may: one sign, then all bytes."""
+    def differing(signs: list[list[str]]):
+        count = F.lit(0)
+        for words in zip(*signs):
+            bits = reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}")) for w in words])
+            count = count + F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        return count
+
+    most = F.floor(F.greatest("x.bytes", "y.bytes") * (1 - least) + F.lit(1e-6))
+    return (F.col("x.own") | F.col("y.own")) & (differing(_SIGNS[:1]) <= most) & (differing(_SIGNS) <= most)
 
 
 def _near(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -379,8 +385,7 @@ def _across_many(members: DataFrame, classes: DataFrame, least: float) -> DataFr
     entries = materialise(nodes.select("node", "root", "fingerprint").mapInArrow(partial(_keyed, least=least, schema=schema), _ENTRY), "block-keys")
     sizes = entries.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    open_keys = materialise(most.select(F.col("key").alias("k"), F.col("m.root").alias("most")), "open-keys")
-    shown = materialise(entries.join(open_keys, F.col("key") == F.col("k")).drop("k"), "open-blocks")
+    shown = materialise(entries.join(most.select("key", F.col("m.root").alias("most")), "key"), "open-blocks")
     x, y = shown.where("root <> most").alias("x"), shown.alias("y")
     # both of a pair may be of smaller components: then one order of the two is enough
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.root") < F.col("y.root")))
@@ -413,7 +418,7 @@ def near_classes(found: DataFrame, least: float = 0.8) -> DataFrame:
 
     members = shared.where("size > 2").join(joined, "node", "left").select("band", "size", "node", "own", "sign", F.coalesce("root", "node").alias("root"))
     apart = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    members = materialise(members.join(materialise(apart, "open-bands"), "band"), "members")
+    members = materialise(members.join(apart, "band"), "members")
     across = _across_few(members.where(F.col("size") <= FEW)).union(_across_many(members.where(F.col("size") > FEW), classes, least))
     links = _near(across.distinct(), classes, least)
     # links between components join their roots

@@ -79,3 +79,23 @@ def test_components(spark):
     linked = {n for a, b in edges if a != b for n in (a, b)}
     assert got == {n: r for n, r in root.items() if n in linked}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    from modelkeel.llm import components as module
+
+    monkeypatch.setattr(module, "FEW_EDGES", 0)
+    written = []
+    monkeypatch.setattr(module, "materialise", lambda df, label, keep=module.materialise: written.append(label) or keep(df, label))
+    test_components(spark)
+    # the edges and one table for each of a few rounds, in two calls
+    assert set(written) == {"edges"} and len(written) <= 9
+
+
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    from modelkeel.llm import components as module
+
+    written = []
+    monkeypatch.setattr(module, "materialise", lambda df, label, keep=module.materialise: written.append(label) or keep(df, label))
+    test_components(spark)
+    assert written == ["edges", "edges"]
