@@ -55,20 +55,23 @@ def slot_ranks(docs: DataFrame) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """All lines: where they stand, and their text."""
-    cut = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    # hashed and cut below the explode, so that no line carries its whole text
+    cut = docs.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
+    cut = cut.select("doc_id", "th", F.posexplode("lines").alias("line", "text"))
     return cut.select(F.struct("doc_id", "th", "line").alias("at"), "text")
 
 
 def _word_sets(lines: DataFrame, ranks: Column) -> DataFrame:
     """Lines with words, their other columns and their sets as sorted word numbers."""
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def number(h: Column) -> Column:
         return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
     # the condition is on the text: one on the numbers would be moved below them and compute them twice
     full = lines.where(F.btrim("text", F.lit(SEPARATORS)) != "").withColumn("ranks", ranks)
     ranks = F.col("ranks")
-    ids = F.sort_array(F.array_distinct(F.transform(_words(F.col("text")), number)))
+    # a word is hashed once, and only the distinct ones are numbered
+    hashes = F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))
+    ids = F.sort_array(F.transform(hashes, number))
     return full.select(*[c for c in lines.columns if c != "text"], ids.alias("ids"))
 
 

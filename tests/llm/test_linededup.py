@@ -84,3 +84,12 @@ def test_no_python_in_the_plan(spark, tmp_path):
 
 def test_empty(spark):
     assert linededup.duplicate_lines(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_lines_carry_no_whole_text_and_words_are_hashed_once(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd e f g", 0, "", 0)], SCHEMA).select("doc_id", "text")
+    lines = linededup._lines(docs)
+    above, below = lines._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode", 1)
+    assert "xxhash64(text" in below and "xxhash64(text" not in above
+    plan = linededup._word_sets(lines, linededup.slot_ranks(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Generate posexplode")[0].count("xxhash64(lambda") == 1
