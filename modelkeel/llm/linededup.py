@@ -5,7 +5,7 @@ of at least 4/5 share a word among the first few of each (prefix filter). Such p
 places of the shared word (positional filter), and in a parity signature of 64 or 128 bits whose differing bits
 cannot outnumber the differing words. Whole sets decide what is left.
 
-Words are 64-bit hashes whose low 16 bits, the slot, are replaced by the slot's place in the order of word counts,
+Words are 64-bit hashes whose first 16 bits, the slot, are replaced by the slot's place in the order of word counts,
 so sorting the numbers of a line sorts its words by rarity and no two hashes become one.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from modelkeel.session import materialise
 
-SLOTS = 1 << 16
+SLOT_BITS = 16
+SLOTS = 1 << SLOT_BITS
 #: Sets of more words have a signature of 128 bits, others one of 64.
 LONG_SET = 96
 SEPARATORS = " \t\n\v\f\r"
@@ -24,12 +25,19 @@ SEPARATORS = " \t\n\v\f\r"
 FILTER_BITS, MOST_FILTER_BITS = 1 << 16, 1 << 27
 
 
-def _words(text: Column) -> Column:
-    """The words of a text; separators other than blanks are rare, so cutting at blanks is the cheap way."""
-    text = F.lower(text)
-    for mark in SEPARATORS[1:]:
-        text = F.replace(text, F.lit(mark), F.lit(SEPARATORS[0]))
-    return F.array_remove(F.split(text, SEPARATORS[0]), "")
+def _words(line: Column, then=lambda t: t) -> Column:
+    """The words of a line, or of what ``then`` makes of a text, with empty ones between separators that follow each other.
+
+    Separators other than blanks are rare, so they are only replaced where there are some, and cutting at blanks is the cheap way.
+    """
+    blank, others, text = SEPARATORS[0], SEPARATORS.replace("\n", "")[1:], line
+    for mark in others:
+        text = F.replace(text, F.lit(mark), F.lit(blank))
+    return F.split(F.lower(then(F.when(line.rlike(f"[{others}]"), text).otherwise(line))), blank)
+
+
+def _slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - SLOT_BITS)
 
 
 def _dense(numbers: DataFrame, order: list[str], value: str) -> Column:
@@ -43,40 +51,46 @@ def _dense(numbers: DataFrame, order: list[str], value: str) -> Column:
 
 
 def slot_ranks(docs: DataFrame) -> Column:
-    """Place of each slot in the order of how many words of all texts fall into it, moved to begin below zero."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
-    counts = words.groupBy((F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1))).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    """For each slot the bits that turn it into its place in the order of how many words of all texts fall into it, at their place in a hash.
+
+    Places begin below zero, as the first bit of a number is its sign.
+    """
+    # no text is cut into nothing; an inner explode would have all texts cut once more to see that
+    words = docs.where("text IS NOT NULL").select(F.explode_outer(_words(F.col("text"), lambda t: F.replace(t, F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
+    counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("n"))
     counts = counts.unionByName(every).groupBy("slot").agg(F.sum("n").alias("n"))
     # one task, but never more than SLOTS rows
-    places = counts.withColumn("place", F.row_number().over(Window.orderBy("n", "slot")) - 1 - SLOTS // 2)
-    return _dense(places.select("slot", F.col("place").cast("long").alias("place")), ["slot"], "place")
+    places = counts.withColumn("place", (F.row_number().over(Window.orderBy("n", "slot")) - 1 - SLOTS // 2).cast("long"))
+    flips = F.shiftleft(F.col("place").bitwiseXOR(F.col("slot")), 64 - SLOT_BITS)
+    return _dense(places.select("slot", flips.alias("flips")), ["slot"], "flips")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """All lines: where they stand, and their text."""
     # hashed and cut below the explode, so that no line carries its whole text
-    cut = docs.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
-    cut = cut.select("doc_id", "th", F.posexplode("lines").alias("line", "text"))
+    cut = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
+    # no text is cut into nothing; an inner explode would have all texts cut once more to see that
+    cut = cut.select("doc_id", "th", F.posexplode_outer("lines").alias("line", "text"))
     return cut.select(F.struct("doc_id", "th", "line").alias("at"), "text")
 
 
 def _word_sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """Lines with words, their other columns and their sets as sorted word numbers."""
+    """Lines, their other columns and their sets as sorted word numbers; a line without words has an empty one."""
+    ranked, ranks, none = lines.withColumn("ranks", ranks), F.col("ranks"), F.lit(0).cast("long")
+
     def number(h: Column) -> Column:
-        return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+        # every slot has a place; said to be never null, the numbers are sorted as plain longs
+        return F.coalesce(h.bitwiseXOR(F.get(ranks, _slot(h).cast("int"))), none)
 
-    # the condition is on the text: one on the numbers would be moved below them and compute them twice
-    full = lines.where(F.btrim("text", F.lit(SEPARATORS)) != "").withColumn("ranks", ranks)
-    ranks = F.col("ranks")
     # a word is hashed once, and only the distinct ones are numbered
     hashes = F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))
-    ids = F.sort_array(F.transform(hashes, number))
-    return full.select(*[c for c in lines.columns if c != "text"], ids.alias("ids"))
+    ids = F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), number))
+    return ranked.select(*[c for c in lines.columns if c != "text"], ids.alias("ids"))
 
 
 def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """Lines with words: sets, and their size, key and two signatures, which together name the set."""
+    """Lines: sets, and their size, key and two signatures, which together name the set."""
     none, long_set = F.lit(0).cast("long"), F.size("ids") > LONG_SET
 
     def parity(flips) -> Column:
@@ -113,7 +127,7 @@ def _fits(x: str, y: str) -> Column:
     return (
         (F.col(f"{x}.word") == F.col(f"{y}.word"))
         & (F.least(xn, yn) * 5 >= F.greatest(xn, yn) * 4)
-        & (F.least(xn - xp, yn - yp) >= need)
+        & (F.least(xn - xp, yn - yp) * 9 >= (xn + yn) * 4)
         & (F.when(both, apart).otherwise(F.bit_count(one[0].bitwiseXOR(one[1]))) <= xn + yn - 2 * need)
     )
 
@@ -156,7 +170,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     ranks = slot_ranks(docs)
     n, name = F.col("n"), ["key", "sig", "sig2", "n"]
     prefix = F.slice("ids", F.lit(1), (n - F.ceil(n * 4 / F.lit(5)) + 1).cast("int"))
-    lines = materialise(_sets(_lines(docs), ranks).select("at", *name, prefix.alias("prefix")), "lines")
+    # lines without words go when the sizes are written: before, a condition on them would have the words cut twice
+    lines = materialise(_sets(_lines(docs), ranks).select("at", *name, prefix.alias("prefix")), "lines").where(n > 0)
 
     sets = lines.groupBy(*name).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("times"), F.first("prefix").alias("prefix"))
     sets = materialise(sets.select(F.monotonically_increasing_id().alias("number"), "*"), "line-sets")

@@ -93,3 +93,22 @@ def test_lines_carry_no_whole_text_and_words_are_hashed_once(spark):
     assert "xxhash64(text" in below and "xxhash64(text" not in above
     plan = linededup._word_sets(lines, linededup.slot_ranks(docs))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.split("Generate posexplode")[0].count("xxhash64(lambda") == 1
+
+
+def test_texts_are_cut_once_and_numbers_sorted_as_plain_longs(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd e\tf g", 0, "", 0), (2, None, 0, "", 0)], SCHEMA).select("doc_id", "text")
+    lines = linededup._lines(docs)
+    # an inner explode had the texts cut again to see that there are lines
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+    sets = linededup._word_sets(lines, linededup.slot_ranks(docs))
+    assert not sets.schema["ids"].dataType.containsNull
+    assert sorted(len(r["ids"]) for r in sets.collect()) == [3, 4]
+
+
+def test_slots_are_ordered_by_their_words(spark):
+    docs = spark.createDataFrame([(1, "b b\tB\va\n\na C", 0, "", 0), (2, None, 0, "", 0), (3, " ", 0, "", 0)], SCHEMA).select("doc_id", "text")
+    rare = linededup._word_sets(linededup._lines(docs), linededup.slot_ranks(docs)).collect()
+    assert sorted(len(r["ids"]) for r in rare) == [0, 0, 2, 2]
+    ab, ac = [r["ids"] for r in rare if len(r["ids"]) == 2]
+    a = set(ab) & set(ac)
+    assert len(a) == 1 and [x in a for x in ab] == [True, False] and [x in a for x in ac] == [False, True]
