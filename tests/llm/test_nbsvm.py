@@ -1,9 +1,10 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 
-from modelkeel.llm import nbsvm
+from modelkeel.llm import hashing, nbsvm
 
 DOCS = "doc_id long, text string, score string, label int, held string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -90,3 +91,20 @@ def test_fit_against_the_primal_optimum():
     assert not model.weight[65:-1].any()
     # the descent stops once no step moves more than a thousandth
     assert abs(loss(got) - best) <= 1e-3 * best
+
+
+def test_word_hashes_in_small_pieces(monkeypatch):
+    words = ["a", "Bc", "é" * 40, "q" * 3_000, "w" * 900, "end"] * 400
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = hashing.word_bounds(data, np.array([0, len(data)]))
+    hashing._powers.cache_clear()
+    tracemalloc.start()
+    whole = hashing.word_hashes(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the tables of powers took 67 MB while they were made and 34 MB after it
+    assert peak < 24e6
+    monkeypatch.setattr(hashing, "_PIECE", 1000)
+    hashing._powers.cache_clear()
+    assert (hashing.word_hashes(data, starts, ends) == whole).all() and len(set(whole.tolist())) == 6
+    hashing._powers.cache_clear()
